@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name to the module that holds it.
 MODULES = {
     "op4_url_filter": "url_filter",
+    "op5_bpe": "bpe",
     "op8_sharding": "sharding",
     "op9_chat_perspectives": "chat",
     "op10_exact_dedup": "exact_dedup",
