@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op4_url_filter": "url_filter",
     "op5_bpe": "bpe",
+    "op6_warc": "warc",
     "op8_sharding": "sharding",
     "op9_chat_perspectives": "chat",
     "op10_exact_dedup": "exact_dedup",
