@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -121,6 +123,55 @@ def pair_tasks(df: DataFrame, cell: Sequence[str], ident: str, block: int) -> Da
     return sized.withColumns({"_i": F.least("_b", "_o"), "_j": F.greatest("_b", "_o")}).drop("_o", "_n")
 
 
+def task_runs(batches: Iterator[pa.RecordBatch], where: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole tasks of a partition sorted by ``where``: a table, and where its tasks begin and end.
+
+    Batches are cut anywhere, so the last task of each waits for the next batch.
+    """
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = t if rest is None else pa.concat_tables([rest, t])
+        edges = run_edges(t, where)
+        if len(edges) > 2:
+            yield t.slice(0, edges[-2]), edges[:-1]
+        rest = t.slice(edges[-2])
+    if rest is not None:
+        yield rest, run_edges(rest, where)
+
+
+def run_edges(t: pa.Table, where: Sequence[str]) -> np.ndarray:
+    fresh = np.zeros(max(0, t.num_rows - 1), dtype=bool)
+    for n in where:
+        x = t.column(n).to_numpy()
+        fresh |= x[1:] != x[:-1]
+    return np.concatenate([[0], np.flatnonzero(fresh) + 1, [t.num_rows]]).astype(np.int64)
+
+
+class Forest:
+    """Union-find over 0..n-1."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def top(self, x: int) -> int:
+        p = self.parent
+        while p[x] != x:
+            p[x] = p[p[x]]
+            x = p[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Joins the trees of x and y; False if they were one."""
+        a, b = self.top(x), self.top(y)
+        if a == b:
+            return False
+        self.parent[max(a, b)] = min(a, b)
+        return True
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest reachable node of every node that has an edge: columns node, label.
 
@@ -131,7 +182,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = materialize(e, "edges")
     mark = None
-    while True:
+    while not e.isEmpty():
         both = e.union(e.select(F.col("v"), F.col("u")))
         low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -140,7 +191,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
         e = materialize(small, "edges")
-        row = e.agg(F.count("*"), F.sum("v"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        row = e.agg(F.count("*"), F.bit_xor(F.xxhash64("v", "u")), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == tuple(row):
             break
         mark = tuple(row)

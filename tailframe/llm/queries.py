@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name to the module that holds it.
 MODULES = {
+    "op2_simhash": "simhash",
     "op3_packing": "packing",
     "op4_url_filter": "url_filter",
     "op5_bpe": "bpe",
     "op6_warc": "warc",
+    "op7_embedding_dedup": "embed_dedup",
     "op8_sharding": "sharding",
     "op9_chat_perspectives": "chat",
     "op10_exact_dedup": "exact_dedup",
