@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -16,11 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Units kept in each of a worker's two cache generations.
-CACHE = 120_000
+CACHE = 250_000
 #: Unicode White_Space, which the vocabulary's split pattern calls white space.
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: No piece of the split pattern crosses the edge of such a unit.
-UNIT = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+LETTERS = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
+#: A word that punctuation, white space or the end follows; punctuation after such a word; else all up to white space; white space. No piece of the split pattern crosses the edge of such a unit.
+UNIT = re.compile(f" ?[{LETTERS}]+(?=[{SPACES}.,!?;:]|\\Z)|(?<=[{LETTERS}])[.,!?;:]+(?=[{SPACES}]|\\Z)| ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
 
@@ -211,10 +213,12 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
         b = loaded(spec)
         for x in parts:
             out = []
+            gc.disable()  # what is made here has no cycles
             for t in x:
                 found = list(b.runs(t or ""))
                 ids = list(chain.from_iterable([f[1] for f in found]))
                 out.append((len(ids), sha(",".join([f[0] for f in found]).encode()), sha(b.decode(ids).encode())))
+            gc.enable()
             yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(docs[key], run(docs[text]).alias("r")).select(key, "r.*")
