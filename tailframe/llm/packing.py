@@ -24,19 +24,18 @@ RUN = 1 << 20
 INSIDE_DOCUMENT, INSIDE_SENTENCE = 32, 64
 #: A sentence of more tokens may be cut within, every so many tokens.
 LONG_SENTENCE = 1024
-CACHE = 150_000
+CACHE = 400_000
 
-#: A lower-case word that punctuation, white space or the end follows; punctuation that ends such a word; else all up to white space. The vocabulary's own split has an edge wherever such units meet, and drops white space.
+#: Letters that the vocabulary's normalizer leaves alone, and marks that may follow a word. The vocabulary's own split has an edge between such a word and such marks, and drops white space.
 LETTERS = "a-z\xdf-\xf6\xf8-\xff"
-UNIT = re.compile(rf"[{LETTERS}]+(?=[\s.,!?;:]|$)|(?<=[{LETTERS}])[.,!?;:]+(?=\s|$)|\S+")
+PLAIN, MARKS = re.compile(f"[{LETTERS}]+"), "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space to Python, not to the vocabulary
-PLAIN = re.compile(f"[{LETTERS}]+")
 
 
 class WordTokens:
     """Ids of whole texts from a ``tokenizers`` file, remembered unit by unit.
 
-    Lower-case Latin words go to the library's model in one string (its normalizer and split would leave
+    Lower-case Latin words go to the library's model many at a time (its normalizer and split would leave
     them as they are), all other units through the whole library pipeline.
     """
 
@@ -49,47 +48,53 @@ class WordTokens:
         self.full.no_padding()
         self.bare = Tokenizer(self.full.model)
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.letters = {b: c for c, b in byte_letters().items()}
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def learn(self, units: set[str]) -> None:
-        if len(self.young) > CACHE:
-            self.old, self.young = self.young, {}
-        new = [u for u in units if u not in self.young]
-        for u in new:
-            if u in self.old:
-                self.young[u] = self.old[u]
-        new = [u for u in new if u not in self.young]
-        plain = [u for u in new if PLAIN.fullmatch(u)]
-        for i in range(0, len(plain), 200):
-            words = plain[i : i + 200]
-            e = self.bare.encode(" ".join([w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in words]), add_special_tokens=False)
-            ids, word = np.array(e.ids, dtype="<u4"), np.array(e.word_ids)
-            ends = np.searchsorted(word, np.arange(len(words)), side="right")
-            data, at = ids.tobytes(), 0
-            for w, stop in zip(words, (ends * 4).tolist(), strict=True):
-                self.young[w] = data[at:stop]
-                at = stop
-        rest = [u for u in new if u not in self.young]
+        self.letters = {b: c for c, b in byte_letters().items() if b > 127}
+        self.known: dict[str, bytes] = {}
+        suffix = self.full.model.end_of_word_suffix
+        if not suffix:
+            raise ValueError("a vocabulary whose words end in a suffix is needed")
+        n = self.full.get_vocab_size(with_added_tokens=True)
+        self.closes = np.array([(self.full.id_to_token(i) or "").endswith(suffix) for i in range(n)])  # tokens that end a word
+
+    def learn(self, units: list[list[str]]) -> None:
+        known = self.known
+        if len(known) > CACHE:
+            known.clear()
+        words, ended, rest = set(), [], []
+        for u in set().union(*units).difference(known):
+            w = u.rstrip(MARKS)
+            if (w.isascii() and w.isalpha()) or PLAIN.fullmatch(w):
+                words.add(w)
+                if w is not u and len(w) < len(u):
+                    ended.append((u, w))
+            else:
+                rest.append(u)
+        plain = list(words.difference(known))
+        plain.sort(key=str.isascii)  # so that few lines need their bytes spelt out
+        groups = [plain[i : i + 200] for i in range(0, len(plain), 200)]
+        lines = [x if x.isascii() else x.encode().decode("latin-1").translate(self.letters) for x in map(" ".join, groups)]
+        for some, e in zip(groups, self.bare.encode_batch_fast(lines, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            data, ends = ids.tobytes(), ((np.flatnonzero(self.closes[ids]) + 1) * 4).tolist()
+            known.update(zip(some, [data[x:y] for x, y in zip([0, *ends], ends, strict=False)], strict=True))
+        marks = {u[len(w) :] for u, w in ended}
+        rest += marks.difference(known)
         for u, e in zip(rest, self.full.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.young[u] = np.array(e.ids, dtype="<u4").tobytes()
+            known[u] = np.array(e.ids, dtype="<u4").tobytes()
+        for u, w in ended:
+            known[u] = known[w] + known[u[len(w) :]]
 
     def texts(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         for i in range(0, len(texts), 256):
-            units = []
-            for t in texts[i : i + 256]:
-                t = t or ""
-                if ODD_SPACE.search(t):
-                    units.append(t)
-                else:  # A-Z alone is lower-cased here; the library does the rest
-                    units.append(UNIT.findall(t.encode().lower().decode()))
-            self.learn({u for us in units if isinstance(us, list) for u in us})
-            for us in units:
-                if isinstance(us, str):
-                    yield np.array(self.full.encode(us, add_special_tokens=False).ids, dtype="<u4")
+            some = [t or "" for t in texts[i : i + 256]]
+            odd = [bool(ODD_SPACE.search(t)) for t in some]
+            units = [[] if o else t.encode().lower().decode().split() for t, o in zip(some, odd, strict=True)]  # A-Z alone; the library does the rest
+            self.learn(units)
+            for t, o, us in zip(some, odd, units, strict=True):
+                if o:
+                    yield np.array(self.full.encode(t, add_special_tokens=False).ids, dtype="<u4")
                 else:
-                    yield np.frombuffer(b"".join(map(self.young.__getitem__, us)), dtype="<u4")
+                    yield np.frombuffer(b"".join(map(self.known.__getitem__, us)), dtype="<u4")
 
     def sentence_ends(self) -> np.ndarray:
         """For each id, whether its token ends in a mark that ends a sentence."""
