@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name to the module that holds it.
 MODULES = {
+    "op1_toxicity": "toxicity",
     "op2_simhash": "simhash",
     "op3_packing": "packing",
     "op4_url_filter": "url_filter",
