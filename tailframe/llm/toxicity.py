@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Words in a window and words between starts; the last window ends with the text, so all words are scored.
 WINDOW, STRIDE = 32, 24
 #: Labelled texts that the fit may use, of each label, and the longest of them in code points. The sample is taken by a hash of the id.
-FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 1000, 2000, 40_000
+FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 900, 1800, 30_000
 HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 8, 6, 8, 4
 #: Batches that are learnt from, at least; small samples are gone through more often.
 STEPS, BATCH, SEED = 240, 128, 11
@@ -244,6 +244,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Network:
     words = list(names) or ["-"]
     h, starts = gram_hashes(words)
     every, gram = np.unique(h, return_inverse=True)
+    gram = gram.astype(np.int32)
     folds = rng.permutation(len(docs)) % 2
     counts, word_counts = np.zeros((2, 2, len(every))), np.zeros((2, 2, len(words)))  # by fold and label
     for d, label, fold in zip(docs, y.astype(int), folds, strict=True):
@@ -275,14 +276,18 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Network:
     p = {"words": vectors, "chars": chars, "W": f(2, WORD_DIM + CHAR_DIM, 3 * HIDDEN), "b": np.zeros((2, 3 * HIDDEN), dtype=np.float32), "U": f(2, HIDDEN, 3 * HIDDEN), "A": f(2 * HIDDEN, ATTEND), "v": (rng.standard_normal(ATTEND) * 0.1).astype(np.float32), "o": (rng.standard_normal(2 * HIDDEN) * 0.3).astype(np.float32), "c": np.zeros(1, dtype=np.float32)}
     net = Network({words[i]: n + 2 for n, i in enumerate(often)}, prints, rows, p)
     word_row = np.array([net.vocabulary.get(w, 1) for w in words])
-    gram_row = net.gram_rows(h)
+    gram_row = net.gram_rows(every)[gram].astype(np.int32)
+    del h, every, gram
 
     owner, windows = windows_of([d.astype(np.int32) + 1 for d in docs])  # row n + 1 is distinct word n
     by_text = np.searchsorted(owner, np.arange(len(docs) + 1))
 
     def all_inputs() -> np.ndarray:
         out = np.zeros((2, len(words) + 1, 3 * HIDDEN), dtype=np.float32)
-        out[:, 1:] = net.project(word_row, gram_row, starts[:-1])
+        for i in range(0, len(words), 20_000):
+            a = starts[i]
+            some = slice(i, min(i + 20_000, len(words)))
+            out[:, some.start + 1 : some.stop + 1] = net.project(word_row[some], gram_row[a : starts[some.stop]], starts[some] - a)
         return out
 
     by_fold = {x: (evidence(counts, x)[keep], evidence(word_counts, x)[often]) for x in (0, 1, None)}
@@ -321,7 +326,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Network:
             best = np.empty(len(windows))
             for fold in (0, 1):
                 evidence_from(fold)
-                first = np.maximum.reduceat(p["chars"][gram_row, 0], starts[:-1]) + p["words"][word_row, 0]
+                first = np.maximum.reduceat(p["chars"][:, 0][gram_row], starts[:-1]) + p["words"][word_row, 0]
                 own = folds[owner] == fold
                 best[own] = np.concatenate([[-9.0], first])[windows[own]].max(axis=1)
         chosen = []
