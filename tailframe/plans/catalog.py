@@ -1,13 +1,174 @@
-"""Catalogue of queries with their oracle SQL."""
+"""Catalogue of queries: the operators over the panel that the order lines give, and the flagship."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def queries():
-    return {}
+from tailframe.operators import evaluate as ev
+from tailframe.operators import market, models, moments, portfolio, schedule, simulation
+from tailframe.sources import panel, store
 
+from .sql import DECAY, ORACLES, STRESS, WINDOW
 
-def oracle_sql():
-    return {}
+#: Scenarios of the catalogue's simulations, and the window and grain of the flagship.
+SCENARIOS, SEED = 10_000, 20261002
+FLAGSHIP_WINDOW, FLAGSHIP_GRAIN = 52, "week"
+#: Larger movements are flagged; declared for this synthetic panel.
+LARGE = 0.5
+YEARS = ("year_1997", "year_1998", "year_1999", "year_2000")
+#: Stages that several queries start from, by session and folder.
+_STAGES: dict[tuple, DataFrame] = {}
+
+
+def shared(name: str, spark: SparkSession, sf_dir: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A stage's table: written once per session and input, read by every later stage, as snapshots are."""
+    key = (name, spark.sparkContext.applicationId, sf_dir)
+    if key not in _STAGES:
+        _STAGES[key] = store.working_table(make(), name)
+    return _STAGES[key]
+
+
+def prices(spark, d):
+    return panel.complete_sessions(panel.line_prices(spark, d))
+
+
+def returns(spark, d):
+    return shared("returns", spark, d, lambda: market.asset_returns(prices(spark, d)))
+
+
+def targets(spark, d, cash=0.0):
+    return portfolio.equal_weights(returns(spark, d), cash)
+
+
+def path(spark, d):
+    return shared("path", spark, d, lambda: portfolio.portfolio_path(returns(spark, d), targets(spark, d)))
+
+
+def weights(spark, d):
+    return shared("weights", spark, d, lambda: portfolio.portfolio_weights(returns(spark, d), targets(spark, d)))
+
+
+def forecasts(spark, d):
+    """The fact table: rolling and EWMA Gaussian (closed form) and plain historical simulation."""
+
+    def make():
+        r, w, s = returns(spark, d), weights(spark, d), schedule.forecast_schedule(path(spark, d), WINDOW)
+        parts = [("rolling-gaussian", models.rolling_gaussian(r, w, WINDOW)), ("ewma-gaussian", models.ewma_gaussian(r, w, WINDOW, DECAY)), ("historical", models.historical_simulation(path(spark, d), WINDOW))]
+        rows = [models.as_forecasts(name, no, store.working_table(tail.select("forecast_date", "level_bp", "confidence_level", "value_at_risk", "expected_shortfall"), "tails"), s) for no, (name, tail) in enumerate(parts)]
+        return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+    return shared("forecasts", spark, d, make)
+
+
+def rounded(df: DataFrame, digits: int = 8, coarse: tuple[str, ...] = (), drop: tuple[str, ...] = ()) -> DataFrame:
+    """Doubles to ``digits`` decimals (6 for ``coarse``), without negative zeros, so that engines can be compared."""
+    keep = {"confidence_level"}
+    return df.select(*((F.round(c, 6 if c in coarse else digits) + 0.0).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes if c not in drop))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rolling Gaussian backtest with coverage tests, weekly."""
+    r = market.asset_returns(panel.complete_sessions(panel.line_prices(spark, sf_dir, FLAGSHIP_GRAIN)))
+    t = portfolio.equal_weights(r)
+    tails = models.rolling_gaussian(r, portfolio.portfolio_weights(r, t), FLAGSHIP_WINDOW)
+    f = models.as_forecasts("rolling-gaussian", 0, tails, schedule.forecast_schedule(portfolio.portfolio_path(r, t), FLAGSHIP_WINDOW))
+    return rounded(ev.coverage_tests(f))
+
+
+LV = ("confidence_level",)
+NO = ("model_no", "confidence_level")
+
+
+def periods(spark, d):
+    return ev.subperiods(forecasts(spark, d), [STRESS])
+
+
+def _path_query(spark, d):
+    p = path(spark, d)
+    return rounded(p.select("session_date", F.ln("beginning_value").alias("log_beginning_value"), "portfolio_return", F.ln("ending_value").alias("log_ending_value"), (F.col("ending_value") < F.col("beginning_value")).alias("lost"), "rebalanced_after_close", "turnover"))
+
+
+def _tails(df):
+    return rounded(df.select("forecast_date", "level_bp", "value_at_risk", "expected_shortfall"))
+
+
+def _mc(spark, d, decay=None):
+    return simulation.monte_carlo(returns(spark, d), weights(spark, d), WINDOW, scenarios=SCENARIOS, seed=SEED, decay=decay)
+
+
+def _dm(spark, d, lags=None):
+    return ev.diebold_mariano(forecasts(spark, d), lags)
+
+
+def _inference(spark, d):
+    means = ev.full_sample_scores(ev.period_scores(forecasts(spark, d), periods(spark, d)))
+    return rounded(ev.oriented_inference(_dm(spark, d), _dm(spark, d, 0), means, [("ewma-gaussian", "rolling-gaussian"), ("historical", "rolling-gaussian"), ("historical", "ewma-gaussian")]), 6)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    f = forecasts
+    return {
+        "asset_returns": lambda s, d: rounded(returns(s, d)),
+        "large_return_flags": lambda s, d: rounded(market.large_return_flags(returns(s, d), LARGE).select("session_date", "asset", "ret", "flag")),
+        "missing_price_counts": lambda s, d: market.missing_counts(market.on_all_sessions(panel.segment_prices(s, d))),
+        "complete_sessions": lambda s, d: rounded(prices(s, d), 6),
+        "segment_returns": lambda s, d: rounded(market.simple_returns(market.on_all_sessions(panel.segment_prices(s, d)))),
+        "return_diagnostics": lambda s, d: rounded(market.return_diagnostics(path(s, d), "portfolio_return"), coarse=("skewness", "excess_kurtosis")),
+        "equal_weights": lambda s, d: rounded(targets(s, d, 0.1)),
+        "portfolio_path": _path_query,
+        "portfolio_weights": lambda s, d: rounded(weights(s, d)),
+        "rebalance_summary": lambda s, d: rounded(portfolio.rebalance_summary(path(s, d)), 6),
+        "forecast_schedule": lambda s, d: rounded(schedule.forecast_schedule(path(s, d), WINDOW)),
+        "forecast_grid": lambda s, d: schedule.forecast_grid(schedule.forecast_schedule(path(s, d), WINDOW)).select("forecast_date", "level_bp", "confidence_level"),
+        "rolling_moments": lambda s, d: rounded(moments.rolling_means(returns(s, d), WINDOW), drop=("session_no",)),
+        "rolling_covariance": lambda s, d: rounded(moments.rolling_covariance(returns(s, d), WINDOW), drop=("session_no",)),
+        "ewma_covariance": lambda s, d: rounded(moments.ewma_covariance(returns(s, d), WINDOW, DECAY), drop=("session_no",)),
+        "portfolio_moments": lambda s, d: rounded(moments.portfolio_moments(moments.rolling_means(returns(s, d), WINDOW), moments.rolling_covariance(returns(s, d), WINDOW), models.numbered_weights(returns(s, d), weights(s, d)))),
+        "rolling_gaussian_univariate": lambda s, d: rounded(models.rolling_gaussian_univariate(path(s, d), WINDOW), drop=LV),
+        "rolling_gaussian_multivariate": lambda s, d: _tails(models.rolling_gaussian(returns(s, d), weights(s, d), WINDOW)),
+        "ewma_gaussian": lambda s, d: _tails(models.ewma_gaussian(returns(s, d), weights(s, d), WINDOW, DECAY)),
+        "historical_simulation": lambda s, d: _tails(models.historical_simulation(path(s, d), WINDOW)),
+        "forecasts": lambda s, d: rounded(f(s, d), drop=(*NO, "realized_return")),
+        "var_exceedances": lambda s, d: rounded(ev.exceedance_counts(f(s, d)), drop=LV),
+        "exact_binomial_interval": lambda s, d: rounded(ev.with_interval(ev.exceedance_counts(f(s, d)))),
+        "es_tail_severity": lambda s, d: rounded(ev.tail_severity(f(s, d)), drop=LV),
+        "quantile_losses": lambda s, d: rounded(ev.daily_scores(f(s, d)).select("model", "level_bp", "forecast_date", "quantile_loss")),
+        "fz0_losses": lambda s, d: rounded(ev.daily_scores(f(s, d)).select("model", "level_bp", "forecast_date", "fz0_loss"), 6),
+        "identification_residuals": lambda s, d: rounded(ev.daily_scores(f(s, d)).select("model", "level_bp", "forecast_date", "identification"), 6),
+        "quantile_loss_rank": lambda s, d: rounded(ev.score_summary(f(s, d), ev.quantile_loss(), "quantile_loss"), drop=LV),
+        "fz0_rank": lambda s, d: rounded(ev.score_summary(f(s, d), ev.fz0_loss(), "fz0_loss"), drop=LV),
+        "exceedance_transitions": lambda s, d: ev.transitions(f(s, d)).drop(*LV),
+        "coverage_likelihood_ratios": lambda s, d: rounded(ev.coverage_tests(f(s, d)).select(*ev.KEY[:3], "lr_unconditional", "lr_independence", "lr_conditional", "p_conditional", "reject_conditional"), coarse=("lr_unconditional", "lr_independence", "lr_conditional")),
+        "coverage_holm": lambda s, d: rounded(ev.coverage_report(f(s, d)).select(*ev.KEY[:3], "holm_p_value", "holm_reject")),
+        "coverage_report": lambda s, d: rounded(ev.with_interval(ev.coverage_report(f(s, d)))),
+        "var_es_calibration": lambda s, d: rounded(ev.calibration_report(f(s, d)).select(*ev.KEY[:3], "observation_count", "bandwidth", "mean", "long_run_variance", "standard_error", "statistic"), 6),
+        "calibration_report": lambda s, d: rounded(ev.calibration_report(f(s, d)), 6),
+        "diebold_mariano": lambda s, d: rounded(_dm(s, d).select("score_name", "level_bp", "model_a", "model_b", "observation_count", "bandwidth", "mean", "standard_error", "statistic"), 6),
+        "dm_report": lambda s, d: rounded(_dm(s, d), 6),
+        "oriented_inference": _inference,
+        "traffic_light_path": lambda s, d: ev.traffic_path(f(s, d)).select("model", "forecast_date", "window_start_date", "exception_count", "zone"),
+        "traffic_light_summary": lambda s, d: rounded(ev.traffic_summary(ev.traffic_path(f(s, d)))).drop("model_no"),
+        "subperiod_definitions": lambda s, d: periods(s, d),
+        "subperiod_coverage": lambda s, d: rounded(ev.period_coverage(f(s, d), periods(s, d)), drop=(*LV, "expected_rate", "expected_count", "count_difference")),
+        "subperiod_intervals": lambda s, d: rounded(ev.interval_table(ev.period_coverage(f(s, d), periods(s, d)))),
+        "subperiod_severity": lambda s, d: rounded(ev.period_severity(f(s, d), periods(s, d)), drop=LV),
+        "subperiod_calibration": lambda s, d: rounded(ev.period_calibration(f(s, d), periods(s, d)), 6, drop=LV),
+        "subperiod_scores": lambda s, d: rounded(ev.period_scores(f(s, d), periods(s, d)), coarse=("mean_fz0_loss",), drop=LV),
+        "first_place_counts": lambda s, d: ev.first_places(ev.period_scores(f(s, d), periods(s, d))).drop("model_no"),
+        "rank_matrix": lambda s, d: ev.rank_matrix(ev.period_scores(f(s, d), periods(s, d)), YEARS).drop("model_no"),
+        "exception_rate_matrix": lambda s, d: rounded(ev.exception_matrix(ev.period_coverage(f(s, d), periods(s, d)), (*YEARS, STRESS[0])).drop("model_no")),
+        "full_sample_scores": lambda s, d: rounded(ev.full_sample_scores(ev.period_scores(f(s, d), periods(s, d))), coarse=("mean_fz0_loss",), drop=LV),
+        "gaussian_mc": lambda s, d: rounded(_mc(s, d)),
+        "ewma_mc": lambda s, d: rounded(_mc(s, d, DECAY)),
+        "mc_error_summary": lambda s, d: rounded(simulation.simulation_errors(models.rolling_gaussian(returns(s, d), weights(s, d), WINDOW), _mc(s, d)), 4),
+        "standardized_residuals": lambda s, d: simulation.residual_table(returns(s, d), weights(s, d), WINDOW, DECAY).select("residual_date", F.transform("z", lambda x: F.round(x, 8)).alias("z")),
+        "residual_pool_window": lambda s, d: simulation.residual_pools(simulation.residual_table(returns(s, d), weights(s, d), WINDOW, DECAY), WINDOW).select("forecast_date", F.size("pool").alias("pool_size")),
+        "fhs_forecasts": lambda s, d: rounded(simulation.filtered_historical(returns(s, d), weights(s, d), WINDOW, decay=DECAY, scenarios=SCENARIOS, seed=SEED)),
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
