@@ -44,10 +44,10 @@ def build_filter(keys: np.ndarray) -> bytes:
     keys = np.unique(np.asarray(keys, dtype=np.uint64))
     n = len(keys)
     length = 8
-    while length < SEGMENT and length * 24 < n:
+    while length < SEGMENT and length * 48 < n:
         length *= 2
     for seed in range(1, 200):
-        size = int(n * (1.23 + 0.02 * (seed // 4))) + 4 * length
+        size = int(n * (1.2 + 0.02 * (seed // 4))) + 2 * length
         segments = max(1, -(-size // length) - (ARITY - 1))
         h = _mix(keys, seed)
         at = _slots(h, segments, length)

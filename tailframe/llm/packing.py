@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections import deque
@@ -24,11 +25,12 @@ RUN = 1 << 20
 INSIDE_DOCUMENT, INSIDE_SENTENCE = 32, 64
 #: A sentence of more tokens may be cut within, every so many tokens.
 LONG_SENTENCE = 1024
-CACHE = 400_000
+CACHE = 600_000
 
 #: Letters that the vocabulary's normalizer leaves alone, and marks that may follow a word. The vocabulary's own split has an edge between such a word and such marks, and drops white space.
 LETTERS = "a-z\xdf-\xf6\xf8-\xff"
 PLAIN, MARKS = re.compile(f"[{LETTERS}]+"), "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+LATIN = re.compile(f"[{LETTERS}\xc0-\xd6\xd8-\xde]+")  # capitals that each have one small letter
 ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space to Python, not to the vocabulary
 
 
@@ -63,12 +65,15 @@ class WordTokens:
         words, ended, rest = set(), [], []
         for u in set().union(*units).difference(known):
             w = u.rstrip(MARKS)
-            if (w.isascii() and w.isalpha()) or PLAIN.fullmatch(w):
-                words.add(w)
-                if w is not u and len(w) < len(u):
-                    ended.append((u, w))
-            else:
-                rest.append(u)
+            mark = u[len(w) :]
+            if not (w.isascii() and w.isalpha()) and not PLAIN.fullmatch(w):
+                if not LATIN.fullmatch(w):
+                    rest.append(u)
+                    continue
+                w = w.lower()
+            words.add(w)
+            if w != u:
+                ended.append((u, w, mark))
         plain = list(words.difference(known))
         plain.sort(key=str.isascii)  # so that few lines need their bytes spelt out
         groups = [plain[i : i + 200] for i in range(0, len(plain), 200)]
@@ -77,16 +82,16 @@ class WordTokens:
             ids = np.array(e.ids, dtype="<u4")
             data, ends = ids.tobytes(), ((np.flatnonzero(self.closes[ids]) + 1) * 4).tolist()
             known.update(zip(some, [data[x:y] for x, y in zip([0, *ends], ends, strict=False)], strict=True))
-        marks = {u[len(w) :] for u, w in ended}
-        rest += marks.difference(known)
+        known[""] = b""
+        rest += {mark for _, _, mark in ended}.difference(known)
         for u, e in zip(rest, self.full.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             known[u] = np.array(e.ids, dtype="<u4").tobytes()
-        for u, w in ended:
-            known[u] = known[w] + known[u[len(w) :]]
+        for u, w, mark in ended:
+            known[u] = known[w] + known[mark]
 
     def texts(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        for i in range(0, len(texts), 256):
-            some = [t or "" for t in texts[i : i + 256]]
+        for i in range(0, len(texts), 512):
+            some = [t or "" for t in texts[i : i + 512]]
             odd = [bool(ODD_SPACE.search(t)) for t in some]
             units = [[] if o else t.encode().lower().decode().split() for t, o in zip(some, odd, strict=True)]  # A-Z alone; the library does the rest
             self.learn(units)
@@ -114,7 +119,7 @@ def loaded(spec) -> tuple[WordTokens, np.ndarray]:
     return _LOADED[key]
 
 
-def boundaries(docs: list[np.ndarray], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def boundaries(docs: list[np.ndarray], ends: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Where windows may be cut, and what a cut there costs. Documents' ends cost nothing."""
     ids = np.concatenate(docs)
     total = len(ids)
@@ -124,8 +129,9 @@ def boundaries(docs: list[np.ndarray], ends: np.ndarray) -> tuple[np.ndarray, np
     cost[doc_ends] = 0
     cost[0] = 0
     at = np.flatnonzero(cost >= 0)
-    for i in np.flatnonzero(np.diff(at) > LONG_SENTENCE):
-        cost[at[i] + LONG_SENTENCE : at[i + 1] : LONG_SENTENCE] = INSIDE_SENTENCE
+    step = min(LONG_SENTENCE, window)
+    for i in np.flatnonzero(np.diff(at) > step):
+        cost[at[i] + step : at[i + 1] : step] = INSIDE_SENTENCE
     at = np.flatnonzero(cost >= 0)
     return at, cost[at]
 
@@ -186,7 +192,7 @@ class Packer:
     def plan(self, last: bool) -> Iterator[tuple]:
         if not self.docs:
             return
-        at, cost = boundaries([ids[done:] for _, ids, done in self.docs], self.ends)
+        at, cost = boundaries([ids[done:] for _, ids, done in self.docs], self.ends, self.window)
         where = cuts(at, cost, self.window, last)
         lengths = [b - a for a, b in zip([0, *where], where, strict=False)]
         if last:
@@ -236,6 +242,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
             cols += [pa.array([r[2].tobytes() for r in rows], pa.binary()), *(pa.array([x(r) for r in rows], pa.int64()) for x in (lambda r: r[3], lambda r: base + r[4], lambda r: r[5]))]
             return pa.RecordBatch.from_arrays(cols, names=out.names)
 
+        gc.disable()  # the loop makes no cycles
         for b in batches:
             key_type = b.schema.field(0).type
             rows: list[tuple] = []
@@ -247,6 +254,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
             if rows:
                 yield batch(rows)
         rows = list(packer.plan(True))
+        gc.enable()
         if rows:
             yield batch(rows)
 
