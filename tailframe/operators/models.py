@@ -59,7 +59,7 @@ def empirical_tail(losses: Column, level: Column) -> tuple[Column, Column]:
 def historical_simulation(portfolio: DataFrame, window: int, levels: Sequence[float] = LEVELS) -> DataFrame:
     """VaR and ES of the ``window`` realised losses before each session; an array of ``window`` values per session."""
     w = W.orderBy("session_date").rowsBetween(-window, -1)
-    r = portfolio.select(F.col("session_date").alias("forecast_date"), F.array_sort(F.collect_list(-F.col("portfolio_return")).over(w)).alias("losses")).where(F.size("losses") == window)
+    r = portfolio.select(F.col("session_date").alias("forecast_date"), F.array_sort(F.collect_list(-F.col("portfolio_return")).over(w)).alias("losses")).where(F.size("losses") == window).repartition("forecast_date")
     r = r.crossJoin(F.broadcast(level_rows(portfolio.sparkSession, levels)))
     var, es = empirical_tail(F.col("losses"), F.col("confidence_level"))
     return r.select("forecast_date", "level_bp", "confidence_level", var.alias("value_at_risk"), es.alias("expected_shortfall"))
