@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import loaded
+
 #: Units kept in each of a worker's two cache generations.
 CACHE = 250_000
 #: Unicode White_Space, which the vocabulary's split pattern calls white space.
@@ -154,18 +156,6 @@ class Bpe:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_LOADED: dict[int, Bpe] = {}
-
-
-def loaded(spec) -> Bpe:
-    """One encoder for each worker and broadcast vocabulary."""
-    key = hash(spec.value)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Bpe(spec.value)
-    return _LOADED[key]
-
-
 def vocabulary(spark: SparkSession, path: str):
     """The vocabulary file's bytes (some 1.5 MB), broadcast: executors need no copy of the file."""
     with open(path, "rb") as f:
@@ -178,7 +168,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
     @F.pandas_udf("array<int>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        b = loaded(spec)
+        b = loaded(spec, Bpe)
         for x in parts:
             yield pd.Series([b.encode(t or "") for t in x])
 
@@ -191,7 +181,7 @@ def decode(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
 
     @F.pandas_udf("string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        b = loaded(spec)
+        b = loaded(spec, Bpe)
         for x in parts:
             yield pd.Series([b.decode(() if i is None else i) for i in x], dtype=object)
 
@@ -210,7 +200,7 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        b = loaded(spec)
+        b = loaded(spec, Bpe)
         for x in parts:
             out = []
             gc.disable()  # what is made here has no cycles

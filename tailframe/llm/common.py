@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,19 @@ WHITE = r"[\x20\x09-\x0D]"
 CHUNK = 1024
 
 
+_LOADED: dict[tuple, object] = {}
+
+
+def loaded(blob, make: Callable[[bytes], object]):
+    """What ``make`` builds of a broadcast's bytes, one at a time for each worker: the next operator's model replaces
+    the last one's, with all that it remembers."""
+    key = (make.__module__, make.__qualname__, hash(blob.value))
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = make(blob.value)
+    return _LOADED[key]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
@@ -32,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tailframe/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/tailframe-llm/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -50,7 +63,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Deletes every working table. Call it when all results built on them are written."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tailframe")
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tailframe-llm")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

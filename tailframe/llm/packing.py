@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import byte_letters, vocabulary
+from .common import loaded
 
 WINDOW, END_ID = 4096, 2
 #: Tokens that are planned together; the rest of a plan is carried into the next.
@@ -25,7 +26,7 @@ RUN = 1 << 20
 INSIDE_DOCUMENT, INSIDE_SENTENCE = 32, 64
 #: A sentence of more tokens may be cut within, every so many tokens.
 LONG_SENTENCE = 1024
-CACHE = 600_000
+CACHE = 500_000
 
 #: Letters that the vocabulary's normalizer leaves alone, and marks that may follow a word. The vocabulary's own split has an edge between such a word and such marks, and drops white space.
 LETTERS = "a-z\xdf-\xf6\xf8-\xff"
@@ -107,18 +108,6 @@ class WordTokens:
         return np.array([(self.full.id_to_token(i) or "").removesuffix("</w>").endswith((".", "!", "?")) for i in range(n)])
 
 
-_LOADED: dict[int, tuple[WordTokens, np.ndarray]] = {}
-
-
-def loaded(spec) -> tuple[WordTokens, np.ndarray]:
-    key = hash(spec.value)
-    if key not in _LOADED:
-        _LOADED.clear()
-        w = WordTokens(spec.value)
-        _LOADED[key] = w, w.sentence_ends()
-    return _LOADED[key]
-
-
 def boundaries(docs: list[np.ndarray], ends: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Where windows may be cut, and what a cut there costs. Documents' ends cost nothing."""
     ids = np.concatenate(docs)
@@ -231,7 +220,8 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
     d = d.repartitionByRange("k", "_tie").sortWithinPartitions("k", "_tie").select("k", "x")
 
     def run_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, ends = loaded(spec)
+        tokens = loaded(spec, WordTokens)
+        ends = tokens.sentence_ends()
         packer = Packer(ends, window, run)
         base = TaskContext.get().partitionId() << 33
         stop = np.array([end_id], dtype="<u4")

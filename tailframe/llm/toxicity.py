@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import loaded
+
 #: Words in a window and words between starts; the last window ends with the text, so all words are scored.
 WINDOW, STRIDE = 32, 24
 #: Labelled texts that the fit may use, of each label, and the longest of them in code points. The sample is taken by a hash of the id.
@@ -400,9 +402,6 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit(rows["x"].tolist(), rows["y"].to_numpy())
 
 
-_LOADED: dict[int, Network] = {}
-
-
 def probability(docs: DataFrame, model: Network | None, text: str = "text") -> Column:
     """The largest probability of any window of each whole text, as a column of docs; 0 without a model."""
     if model is None:
@@ -412,12 +411,9 @@ def probability(docs: DataFrame, model: Network | None, text: str = "text") -> C
 
     @F.pandas_udf("double")
     def value_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        mark = hash(blob.value)
-        if mark not in _LOADED:
-            _LOADED.clear()
-            _LOADED[mark] = pickle.loads(blob.value)
+        model = loaded(blob, pickle.loads)
         for x in parts:
-            yield pd.Series(_LOADED[mark].scores(x.tolist()))
+            yield pd.Series(model.scores(x.tolist()))
 
     return value_of(docs[text])
 
