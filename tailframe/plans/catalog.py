@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tailframe.functions.special import reference_band
 from tailframe.operators import evaluate as ev
-from tailframe.operators import market, models, moments, portfolio, schedule, simulation
+from tailframe.operators import kernels, market, models, moments, portfolio, schedule, simulation
 from tailframe.sources import panel, store
 
 from .sql import DECAY, ORACLES, STRESS, WINDOW
@@ -108,6 +110,28 @@ def _inference(spark, d):
     return rounded(ev.oriented_inference(_dm(spark, d), _dm(spark, d, 0), means, [("ewma-gaussian", "rolling-gaussian"), ("historical", "rolling-gaussian"), ("historical", "ewma-gaussian")]), 6)
 
 
+def _band(spark, d):
+    """Exception rates that a right model shows with 95 % probability, in a year and in a quarter of stress."""
+    rows = [(n, round(x * 10000), *reference_band(n, 1.0 - x)) for n in (252, 62) for x in schedule.LEVELS]
+    return spark.createDataFrame(rows, "sessions int, level_bp int, rate_lower double, rate_upper double")
+
+
+def _draws(spark, d):
+    rows = [(n, int(k)) for n, k in enumerate(kernels.multiplicity(WINDOW, SCENARIOS, SEED))]
+    return spark.createDataFrame(rows, "pool_position int, draws long")
+
+
+def _histogram(spark, d):
+    """Simulated losses of the last forecast date, as a density."""
+    dates = simulation.packed_dates(returns(spark, d), weights(spark, d), WINDOW, None)
+    last = dates.orderBy(F.desc("forecast_date")).select("mu", "cov", "w").first()  # one date's moments
+    schema = "left double, right double, density double"
+    if last is None:
+        return spark.createDataFrame([], schema)
+    mu, w = np.asarray(last["mu"]), np.asarray(last["w"])
+    return spark.createDataFrame(simulation.loss_histogram(mu, simulation.square(last["cov"], len(mu)), w, SCENARIOS, SEED), schema)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     f = forecasts
     return {
@@ -161,6 +185,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rank_matrix": lambda s, d: ev.rank_matrix(ev.period_scores(f(s, d), periods(s, d)), YEARS).drop("model_no"),
         "exception_rate_matrix": lambda s, d: rounded(ev.exception_matrix(ev.period_coverage(f(s, d), periods(s, d)), (*YEARS, STRESS[0])).drop("model_no")),
         "full_sample_scores": lambda s, d: rounded(ev.full_sample_scores(ev.period_scores(f(s, d), periods(s, d))), coarse=("mean_fz0_loss",), drop=LV),
+        "binomial_reference_band": _band,
+        "fhs_multiplicity": _draws,
+        "loss_histogram": _histogram,
         "gaussian_mc": lambda s, d: rounded(_mc(s, d)),
         "ewma_mc": lambda s, d: rounded(_mc(s, d, DECAY)),
         "mc_error_summary": lambda s, d: rounded(simulation.simulation_errors(models.rolling_gaussian(returns(s, d), weights(s, d), WINDOW), _mc(s, d)), 4),

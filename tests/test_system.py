@@ -106,3 +106,13 @@ def test_without_text_operators(tmp_path):
     for f in (ROOT / "tailframe").rglob("*.py"):
         if "llm" not in f.parts:
             assert "tailframe.llm" not in f.read_text()
+
+
+def test_plans(spark):
+    """Scans read the columns they need, and dimension tables alone are broadcast."""
+    from tailframe.plans import catalog
+
+    plan = catalog.prices(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "l_tax" not in plan and "l_comment" not in plan and "CartesianProduct" not in plan
+    for name in ("binomial_reference_band", "fhs_multiplicity", "loss_histogram"):
+        assert catalog.queries()[name](spark, "/root/testdata/sf0.01").count() > 0
