@@ -22,8 +22,8 @@ REVISIT_BYTES = 100
 FILE_RECORDS = 2048
 #: Digests broadcast when archives are written; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
-#: A header block longer than this is no header.
-HEADER_BYTES = 1 << 16
+#: What ends a header block, and a record.
+BREAK = b"\r\n\r\n"
 
 
 def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", least: int = REVISIT_BYTES) -> None:
@@ -56,38 +56,54 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
 def scan(data: bytes) -> Iterator[tuple]:
     """Every place where a record may start, in or out of payloads: offset, successor, and what the record says.
 
-    A candidate has a whole header with a content length, and two line breaks where that length ends.
+    A candidate has a whole header, however long, with a content length, and two line breaks where that length ends.
+    Places whose headers have the same end are read together, so that each byte is parsed once.
     """
+    starts, end = [], -1
     for m in MAGIC.finditer(data):
-        end = data.find(b"\r\n\r\n", m.start(), m.start() + HEADER_BYTES)
-        if end < 0:
-            continue
-        fields = {}
-        for line in data[m.end() : end].split(b"\r\n"):
+        if m.start() > end:
+            yield from headers(data, starts, end)
+            starts, end = [], data.find(BREAK, m.start())
+            if end < 0:
+                return
+        starts.append((m.start(), m.end()))
+    yield from headers(data, starts, end)
+
+
+def headers(data: bytes, starts: list[tuple[int, int]], end: int) -> Iterator[tuple]:
+    """The candidates among ``starts`` (ascending, where a magic begins and ends), all with their header's end at ``end``.
+
+    Read backwards: the lines of a start are its own up to the next start, and those of the next. The last of equal names counts.
+    """
+    fields: dict[bytes, bytes] = {}
+    start, upto = end + len(BREAK), end
+    for at, begin in reversed(starts):
+        for line in reversed(data[begin:upto].split(b"\r\n")):
             name, colon, value = line.partition(b":")
             if colon:
-                fields[name.strip().lower()] = value.strip()
+                fields.setdefault(name.strip().lower(), value.strip())
+        upto = begin - 2
         length = fields.get(b"content-length", b"")
         if not length.isdigit() or len(length) > 12:
             continue
-        start = end + 4
         stop = start + int(length)
-        if data[stop : stop + 4] != b"\r\n\r\n":
+        if data[stop : stop + len(BREAK)] != BREAK:
             continue
-        text = lambda k: fields[k].decode("utf-8", "replace") if k in fields else None  # noqa: B023, E731
-        yield m.start(), stop + 4, text(b"warc-type"), text(b"warc-record-id"), text(b"warc-target-uri"), text(b"warc-refers-to"), text(b"warc-payload-digest"), start, stop - start, hashlib.sha256(data[start:stop]).hexdigest()
+        text = lambda k: fields[k].decode("utf-8", "replace") if k in fields else None
+        yield at, stop + len(BREAK), text(b"warc-type"), text(b"warc-record-id"), text(b"warc-target-uri"), text(b"warc-refers-to"), text(b"warc-payload-digest"), start, stop - start, hashlib.sha256(data[start:stop]).hexdigest()
 
 
 FIELDS = "file string, off long, next long, type string, id string, uri string, refers string, declared string, start long, length long, sha256 string"
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each candidate record of each archive under ``path``."""
+    """One row for each candidate record of each archive under ``path``, and one at each file's end, with next -1."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for file, content in zip(part["file"], part["content"], strict=True):
-                yield pd.DataFrame([(file, *x) for x in scan(bytes(content))], columns=[f.split()[0] for f in FIELDS.split(", ")])
+                last = (len(content), -1, *[None] * 5, len(content), 0, None)
+                yield pd.DataFrame([(file, *x) for x in (*scan(bytes(content)), last)], columns=[f.split()[0] for f in FIELDS.split(", ")])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "content").mapInPandas(run, FIELDS)
@@ -111,9 +127,16 @@ def reachable(found: DataFrame) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The true records of the archives under ``path``, with the payload's place (start, length) in its file."""
+    """The true records of the archives under ``path``, with the payload's place (start, length) in its file.
+
+    A file whose chain of records does not end exactly at its size fails the job, so no record can be lost in silence.
+    """
     found = materialize(candidates(spark, path), "candidates")
-    return found.join(reachable(found), ["file", "off"])
+    chain = reachable(found)
+    broken = found.where("next < 0").join(chain, ["file", "off"], "left_anti").select("file").first()  # one name, for the message
+    if broken is not None:
+        raise ValueError(f"the records of archive {broken['file']} do not end at its size")
+    return found.where("next >= 0").join(chain, ["file", "off"])
 
 
 def resolve(records: DataFrame) -> DataFrame:

@@ -179,6 +179,37 @@ def test_warc(spark, tmp_path):
     assert rows(warc.resolve(warc.read_archives(spark, empty))) == []
 
 
+def test_warc_long_header(spark, tmp_path):
+    """A header of over 64 KB in the middle of a file costs no record, and a broken chain fails the job."""
+    from tailframe.llm import warc
+
+    long = "http://a/" + "u" * 100_000
+    pages = [(i, long if i in (4, 5) else f"http://a/{i}", "same " * 40 if i in (4, 7) else f"page {i}") for i in range(10)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    path = f"{tmp_path}/w"
+    warc.write_archives(df, path)
+    records = warc.read_archives(spark, path)
+    assert {len(r["uri"]) for r in rows(records.where("length(uri) > 1000"))} == {len(long)}
+    out = {r["page"]: r for r in rows(warc.resolve(records))}
+    assert {i: (r["payload_bytes"], r["record_type"], r["refers_to"]) for i, r in out.items()} == {i: (len(h), "revisit" if i == 7 else "response", 4 if i == 7 else None) for i, _, h in pages}
+    bad = tmp_path / "bad"
+    bad.mkdir()
+    data = b"".join(p.read_bytes() for p in sorted((tmp_path / "w").glob("part-*")))
+    (bad / "cut.txt").write_bytes(data[:-1])
+    with pytest.raises(ValueError, match="cut.txt"):
+        warc.read_archives(spark, str(bad))
+
+
+def test_warc_scan_is_linear():
+    """Very many magics before one header end are candidates all, and no byte is parsed for each of them."""
+    from tailframe.llm import warc
+
+    data = b"WARC/1.1\r\n" * 100_000 + b"WARC-Type: response\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
+    found = list(warc.scan(data))
+    assert len(found) == 100_000
+    assert {(x[1], x[2], x[8]) for x in found} == {(len(data), "response", 1)}
+
+
 # BPE
 
 
