@@ -15,8 +15,8 @@ from tailframe.sources import panel, store
 
 from .sql import DECAY, ORACLES, STRESS, WINDOW
 
-#: Scenarios of the catalogue's simulations, and the window and grain of the flagship.
-SCENARIOS, SEED = 10_000, 20261002
+#: Scenarios for each date of the catalogue's simulations, as many as the reference draws, and the window and grain of the flagship.
+SCENARIOS, SEED = 100_000, 20261002
 FLAGSHIP_WINDOW, FLAGSHIP_GRAIN = 52, "week"
 #: Larger movements are flagged; declared for this synthetic panel.
 LARGE = 0.5

@@ -116,3 +116,14 @@ def test_plans(spark):
     assert "l_tax" not in plan and "l_comment" not in plan and "CartesianProduct" not in plan
     for name in ("binomial_reference_band", "fhs_multiplicity", "loss_histogram"):
         assert catalog.queries()[name](spark, "/root/testdata/sf0.01").count() > 0
+
+
+def test_scenarios(spark):
+    """The catalogue's simulations draw the reference's 100,000 scenarios for each date."""
+    from tailframe.plans import catalog
+
+    q, d = catalog.queries(), "/root/testdata/sf0.01"
+    assert sum(r["draws"] for r in q["fhs_multiplicity"](spark, d).collect()) == 100_000
+    for name in ("gaussian_mc", "fhs_forecasts"):
+        r = q[name](spark, d).where("level_bp = 9900").first()
+        assert r["scenario_count"] == 100_000 and 1000 <= r["tail_scenario_count"] <= (1000 if name == "gaussian_mc" else 2000)
