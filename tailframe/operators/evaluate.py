@@ -290,6 +290,11 @@ def rank_matrix(scores: DataFrame, periods: Sequence[str]) -> DataFrame:
     return long_ranks(scores).groupBy("score_name", "level_bp", "model", "model_no").pivot("period_id", list(periods)).agg(F.first("rank"))
 
 
+def exception_gaps(coverage: DataFrame) -> DataFrame:
+    """Observed minus expected exception rate, a row for each period, level and model."""
+    return coverage.select("level_bp", "model", "period_id", (F.col("observed_rate") - F.col("expected_rate")).alias("rate_gap"))
+
+
 def exception_matrix(coverage: DataFrame, periods: Sequence[str]) -> DataFrame:
     """Observed minus expected exception rate, models and levels by period."""
     gap = F.col("observed_rate") - F.col("expected_rate")

@@ -20,6 +20,7 @@ SCENARIOS, SEED = 100_000, 20261002
 FLAGSHIP_WINDOW, FLAGSHIP_GRAIN = 52, "week"
 #: Larger movements are flagged; declared for this synthetic panel.
 LARGE = 0.5
+#: Columns of the two matrices, as their SQL has them; the queries by period have every year of the data.
 YEARS = ("year_1997", "year_1998", "year_1999", "year_2000")
 #: Stages that several queries start from, by session and folder.
 _STAGES: dict[tuple, DataFrame] = {}
@@ -184,6 +185,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "first_place_counts": lambda s, d: ev.first_places(ev.period_scores(f(s, d), periods(s, d))).drop("model_no"),
         "rank_matrix": lambda s, d: ev.rank_matrix(ev.period_scores(f(s, d), periods(s, d)), YEARS).drop("model_no"),
         "exception_rate_matrix": lambda s, d: rounded(ev.exception_matrix(ev.period_coverage(f(s, d), periods(s, d)), (*YEARS, STRESS[0])).drop("model_no")),
+        "rank_by_period": lambda s, d: ev.long_ranks(ev.period_scores(f(s, d), periods(s, d))).select("score_name", "level_bp", "model", "period_id", "rank"),
+        "exception_rate_by_period": lambda s, d: rounded(ev.exception_gaps(ev.period_coverage(f(s, d), periods(s, d)))),
         "full_sample_scores": lambda s, d: rounded(ev.full_sample_scores(ev.period_scores(f(s, d), periods(s, d))), coarse=("mean_fz0_loss",), drop=LV),
         "binomial_reference_band": _band,
         "fhs_multiplicity": _draws,

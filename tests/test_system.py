@@ -127,3 +127,21 @@ def test_scenarios(spark):
     for name in ("gaussian_mc", "fhs_forecasts"):
         r = q[name](spark, d).where("level_bp = 9900").first()
         assert r["scenario_count"] == 100_000 and 1000 <= r["tail_scenario_count"] <= (1000 if name == "gaussian_mc" else 2000)
+
+
+def test_all_periods(spark):
+    """Ranks and exception rates by period have every period of the data, and in the matrices' years the matrices' values."""
+    from tailframe.plans import catalog
+
+    q, d = catalog.queries(), "/root/testdata/sf0.01"
+    want = {r["period_id"] for r in q["subperiod_definitions"](spark, d).collect()}
+    years = {f"year_{r['y']}" for r in q["forecast_schedule"](spark, d).selectExpr("year(forecast_date) AS y").distinct().collect()}
+    assert years == {p for p in want if p.startswith("year_")} and years > set(catalog.YEARS)
+    for long, wide, value, key in (("rank_by_period", "rank_matrix", "rank", ("score_name", "level_bp", "model")), ("exception_rate_by_period", "exception_rate_matrix", "rate_gap", ("level_bp", "model"))):
+        got = q[long](spark, d).collect()
+        found = {(*(r[k] for k in key), r["period_id"]): r[value] for r in got}
+        assert len(found) == len(got) and {r["period_id"] for r in got} >= years and None not in found.values()
+        assert len(got) == len({k[:-1] for k in found}) * len({k[-1] for k in found})
+        for r in q[wide](spark, d).collect():
+            for p in set(r.asDict()) - set(key):
+                assert found[*(r[k] for k in key), p] == r[p]
