@@ -146,7 +146,7 @@ def near_dedup(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id",
 
     Columns: key, n_links (rows linked directly, copies counted), component_id (smallest key reachable), kept. Null, empty and
     zero vectors, and those with null or non-finite components, link with nothing, as do rows with null label or
-    null key and vectors of another length than most. Rows that repeat a key and vector link to each other. An empty table gives no rows; other columns are ignored.
+    null key. Vectors of different lengths do not link; each length has its own ``Plan``, so a table costs a run for each. Rows that repeat a key and vector link to each other. An empty table gives no rows; other columns are ignored.
     """
     v = F.transform(F.col("v"), lambda x: x.cast("double"))
     rows = vectors.select(vectors[key].alias("k"), vectors[label].alias("label"), vectors[vector].alias("v")).withColumn("v", v)
@@ -154,24 +154,25 @@ def near_dedup(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id",
     rows = rows.withColumn("ok", F.coalesce(fine & F.col("label").isNotNull() & F.col("k").isNotNull(), F.lit(False)))
     rows = rows.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v"), "dim": F.size("v")})
     rows = materialize(rows, "vectors")
-    # the dimension and the largest label: one row for each
-    dims = rows.where("ok").groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    if dims is None:
+    nodes = materialize(rows.where("ok").groupBy("label", "dim", "h1", "h2").agg(F.min("k").alias("id"), F.count("*").alias("n"), F.first("v").alias("v")), "nodes")
+    # of each dimension its largest label: one row for each
+    largest = nodes.groupBy("dim", "label").count().groupBy("dim").agg(F.max("count").alias("most")).orderBy("dim").collect()
+    if not largest:
         return rows.select(F.col("k").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("k").alias("component_id"), F.lit(True).alias("kept"))
-    good = F.col("ok") & (F.col("dim") == dims["dim"])
-    nodes = materialize(rows.where(good).groupBy("label", "h1", "h2").agg(F.min("k").alias("id"), F.count("*").alias("n"), F.first("v").alias("v")), "nodes")
-    largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0]
     # ids can repeat across nodes: nodes are told apart by their hashes
-    nodes = nodes.withColumn("low", F.col("id")).withColumn("id", F.xxhash64("label", "h1", "h2"))
+    nodes = nodes.withColumn("low", F.col("id")).withColumn("id", F.xxhash64("label", "dim", "h1", "h2"))
     nodes = materialize(nodes, "nodes")
-    found = materialize(near_links(nodes, dims["dim"], largest, cosine, block), "links")
+    found = vectors.sparkSession.createDataFrame([], "a long, b long, links long")
+    for d in largest:
+        if d["most"] > 1:  # else no two meet
+            found = found.union(materialize(near_links(nodes.where(F.col("dim") == d["dim"]), d["dim"], d["most"], cosine, block), "links"))
     count = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     labels = components(found.where("b is not null")).select(F.col("node").alias("id"), F.col("label").alias("part"))
-    full = nodes.select("id", "label", "h1", "h2", "n", "low").join(count, "id", "left").join(labels, "id", "left").withColumn("part", F.coalesce("part", "id"))
+    full = nodes.select("id", "label", "dim", "h1", "h2", "n", "low").join(count, "id", "left").join(labels, "id", "left").withColumn("part", F.coalesce("part", "id"))
     lows = full.groupBy("part").agg(F.min("low").alias("component"))
-    full = full.join(lows, "part").select("label", "h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), "component")
+    full = full.join(lows, "part").select("label", "dim", "h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), "component")
     full = materialize(full, "named").withColumn("found", F.lit(True))
-    out = rows.withColumn("label", F.when(good, F.col("label"))).join(full, ["label", "h1", "h2"], "left")
+    out = rows.withColumn("label", F.when(F.col("ok"), F.col("label"))).join(full, ["label", "dim", "h1", "h2"], "left")
     part = F.coalesce("component", "k")
     return out.select(F.col("k").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), part.alias("component_id"), F.coalesce(F.col("k") == part, F.lit(True)).alias("kept"))
 

@@ -364,6 +364,24 @@ def test_embeddings(spark):
     assert rows(near_dedup(df.limit(0))) == []
 
 
+def test_embeddings_of_mixed_lengths(spark):
+    """Vectors of every length link among themselves, of the rarer lengths too, and never across lengths."""
+    from tailframe.llm.embed_dedup import near_dedup
+
+    rng = np.random.default_rng(3)
+    data, want = [], {}
+    for dim, groups in ((8, 6), (16, 3), (24, 2), (32, 1)):
+        for _ in range(groups):
+            base, first = rng.normal(size=dim), len(data)
+            copies = 1 if dim == 32 else 3
+            for v in (base, base, base * 1.5 + 1e-9)[:copies]:
+                want[len(data)] = (copies - 1, first)
+                data.append((len(data), "a", [float(x) for x in v]))
+    out = rows(near_dedup(spark.createDataFrame(data, "vec_id long, label string, embedding array<double>")))
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out} == want
+    assert {r["vec_id"] for r in out if r["kept"]} == {c for _, c in want.values()}
+
+
 # Toxicity
 
 
