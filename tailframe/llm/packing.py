@@ -52,6 +52,7 @@ class WordTokens:
         self.bare = Tokenizer(self.full.model)
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.letters = {b: c for c, b in byte_letters().items() if b > 127}
+        self.added = sorted({a.content.encode().lower() for a in self.full.get_added_tokens_decoder().values()})
         self.known: dict[str, bytes] = {}
         suffix = self.full.model.end_of_word_suffix
         if not suffix:
@@ -90,10 +91,17 @@ class WordTokens:
         for u, w, mark in ended:
             known[u] = known[w] + known[mark]
 
+    def odd(self, text: str) -> bool:
+        """Whether small letters would change more than words: odd white space, or an added token's content in another case,
+        which the library matches on the text as it is."""
+        raw = text.encode()
+        small = raw.lower()
+        return bool(ODD_SPACE.search(text)) or any((n := small.count(a)) and n != raw.count(a) for a in self.added)
+
     def texts(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         for i in range(0, len(texts), 512):
             some = [t or "" for t in texts[i : i + 512]]
-            odd = [bool(ODD_SPACE.search(t)) for t in some]
+            odd = [self.odd(t) for t in some]
             units = [[] if o else t.encode().lower().decode().split() for t, o in zip(some, odd, strict=True)]  # A-Z alone; the library does the rest
             self.learn(units)
             for t, o, us in zip(some, odd, units, strict=True):

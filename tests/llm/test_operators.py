@@ -266,6 +266,19 @@ def test_packing(docs, none):
     assert rows(pack(none, path)) == []
 
 
+def test_added_tokens_in_other_case():
+    """An added token is one token in its own case only, as in the library."""
+    from tokenizers import Tokenizer
+
+    from tailframe.llm.packing import WordTokens
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    odd = ["a <|ENDOFTEXT|> b", "x<|EndOfText|>y Word", "<|endoftext|> <|ENDOFTEXT|>", "<|STARTOFTEXT|>", "A <|startoftext|> B <|endoftext|>", "<|END", ""]
+    for x, ids in zip(odd, WordTokens(open(path, "rb").read()).texts(odd), strict=True):
+        assert ids.tolist() == t.encode(x, add_special_tokens=False).ids
+
+
 def test_cuts_are_optimal():
     from tailframe.llm.packing import cuts
 
