@@ -30,10 +30,15 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of every component of near-duplicates the document with the smallest id."""
-    groups = near_dedup(docs)
-    keep = materialize(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct(), "keep")
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
+    """Keeps one row of every component of near-duplicates, that with the smallest id (null ids last).
+
+    Rows are told apart by a stored number, as ids can be null or repeated.
+    """
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
+    groups = near_dedup(rows.select(row.alias("doc"), "text"), key="doc")
+    keep = materialize(groups.where("doc = component_id").select(F.col("doc.row").alias("_keep")), "keep")
+    return rows.join(keep, rows["_row"] == keep["_keep"], "left_semi").drop("_row")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

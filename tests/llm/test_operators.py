@@ -447,6 +447,18 @@ def test_toxicity(spark, docs, none):
 # Pipeline
 
 
+def test_pipeline_keeps_one_row(spark):
+    """One row of each group of near copies stays, also where ids are null or repeated."""
+    import corpus_pipeline as cp
+
+    one, two, three = (" ".join(f"{w}{i}" for i in range(60)) for w in ("apple", "river", "stone"))
+    data = [(5, one), (5, one), (7, one), (None, one), (None, two), (None, two), (8, three), (9, three), (8, two + " " + one)]
+    docs = spark.createDataFrame([(*d, "en") for d in data], "doc_id long, text string, lang string")
+    out = cp.simhash(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in rows(out)), key=str) == sorted([(5, one), (None, two), (8, three), (8, two + " " + one)], key=str)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
     from tailframe.llm import exact_dedup, simhash, toxicity
