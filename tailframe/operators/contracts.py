@@ -27,6 +27,11 @@ def enforce(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     return df
 
 
+def guarded(ok: Column, value: Column, message: str) -> Column:
+    """The value where ``ok`` holds; a row where it does not fails the job, so nothing is dropped in silence."""
+    return F.when(ok, value).otherwise(F.raise_error(F.lit(message)))
+
+
 def finite(name: str) -> Column:
     c = F.col(name)
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
@@ -77,6 +82,23 @@ def check_weights(targets: DataFrame) -> DataFrame:
     return targets
 
 
+def check_same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> None:
+    """Both tables have the same keys, once each."""
+    both = require_unique(a, keys).select(*keys, F.lit(1).alias("_a")).join(require_unique(b, keys).select(*keys, F.lit(1).alias("_b")), list(keys), "full")
+    n = both.where("_a is null or _b is null").count()
+    if n:
+        raise ContractError(f"{n} rows of {', '.join(keys)} are in one table only")
+
+
+def check_alignment(daily: DataFrame, weights: DataFrame) -> None:
+    """Every day of a portfolio has weights of every asset, and no other day has any."""
+    assets = weights.select("asset").distinct().count()
+    n = weights.groupBy("session_date").agg(F.count_distinct("asset").alias("n"), F.count("*").alias("rows"))
+    if not n.where((F.col("n") != assets) | (F.col("rows") != assets)).isEmpty():
+        raise ContractError("a day lacks weights of some asset, or repeats them")
+    check_same_keys(daily.select("session_date"), n.select("session_date"), ["session_date"])
+
+
 def check_forecasts(f: DataFrame, schedule: DataFrame, levels: Sequence[float]) -> DataFrame:
     """A complete grid of schedule dates and levels without look-ahead, with consistent outcomes, flags and ES >= VaR."""
     require_unique(f, ["model", "forecast_date", "level_bp"])

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tailframe.functions.special import chi2_tail_1, chi2_tail_2, exact_interval, normal_two_sided
 
+from .contracts import guarded
+
 KEY = ("model", "model_no", "level_bp", "confidence_level")
 
 
@@ -157,16 +159,17 @@ def newey_west(rows: DataFrame, value: str, keys: Sequence[str], order: str = "f
 
     Each lag meets its partner by an equi-join on the position, so lags add rows, not passes.
     """
-    at = W.partitionBy(*keys).orderBy(order)
-    g = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("m"))
-    g = g.withColumn("k_max", long(bandwidth(F.col("n")) if lags is None else F.least(F.col("n") - 1, F.lit(lags))))
-    d = rows.select(*keys, F.col(value).alias("v"), F.row_number().over(at).alias("t")).join(g, list(keys)).withColumn("d", F.col("v") - F.col("m"))
-    later = d.select(*keys, "d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k_max"))).alias("k"), "t").withColumn("t", F.col("t") - F.col("k"))
-    earlier = d.select(*keys, "t", F.col("d").alias("e"), "n", "k_max")
-    gamma = later.join(earlier.withColumn("t", long(F.col("t"))), [*keys, "t"])
+    if lags is not None and (isinstance(lags, bool) or lags < 0):
+        raise ValueError("lags is a whole number of at least 0")
+    group = W.partitionBy(*keys)
+    d = rows.select(*keys, F.col(value).alias("v"), long(F.row_number().over(group.orderBy(order))).alias("t"), F.count("*").over(group).alias("n"), F.avg(value).over(group).alias("m"))
+    d = d.withColumns({"d": F.col("v") - F.col("m"), "k_max": long(bandwidth(F.col("n")) if lags is None else F.least(F.col("n") - 1, F.lit(lags)))})
+    later = d.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k_max")))).withColumn("t", F.col("t") - F.col("k")).drop("v")
+    gamma = later.join(d.select(*keys, "t", F.col("d").alias("e")), [*keys, "t"])
     share = F.when(F.col("k") == 0, 1.0).otherwise(2.0 * (1.0 - F.col("k") / (F.col("k_max") + 1.0)))
-    omega = gamma.groupBy(*keys).agg(F.greatest(F.lit(0.0), F.sum(share * F.col("d") * F.col("e") / F.col("n"))).alias("long_run_variance"))
-    out = g.join(omega, list(keys)).withColumn("standard_error", F.sqrt(F.col("long_run_variance") / F.col("n")))
+    omega = F.greatest(F.lit(0.0), F.sum(share * F.col("d") * F.col("e") / F.col("n")))
+    out = gamma.groupBy(*keys).agg(F.first("n").alias("n"), F.first("k_max").alias("k_max"), F.first("m").alias("m"), omega.alias("long_run_variance"))
+    out = out.withColumn("standard_error", F.sqrt(F.col("long_run_variance") / F.col("n")))
     flat = F.col("standard_error") == 0
     stat = F.when(flat & (F.col("m") == 0), 0.0).when(flat & (F.col("m") > 0), float("inf")).when(flat, float("-inf")).otherwise(F.col("m") / F.col("standard_error"))
     out = out.withColumn("statistic", stat)
@@ -228,7 +231,10 @@ SPARSE, WHOLE_YEAR = 5, 0.90
 
 
 def subperiods(f: DataFrame, stress: Sequence[tuple[str, str, str, str]] = ()) -> DataFrame:
-    """Calendar years of the forecasts and named stress periods (id, label, first day, last day). A few rows."""
+    """Calendar years of the forecasts and named stress periods (id, label, first day, last day). A few rows.
+
+    A stress period without forecasts is an error.
+    """
     days = f.select("forecast_date").distinct()
     years = days.groupBy(F.year("forecast_date").alias("y")).agg(F.min("forecast_date").alias("first_forecast_date"), F.max("forecast_date").alias("last_forecast_date"), F.count("*").alias("observation_count"))
     top = F.max("observation_count").over(W.partitionBy())
@@ -238,8 +244,8 @@ def subperiods(f: DataFrame, stress: Sequence[tuple[str, str, str, str]] = ()) -
     )
     if stress:
         s = f.sparkSession.createDataFrame(list(stress), "period_id string, label string, a string, b string").select("period_id", "label", F.to_date("a").alias("a"), F.to_date("b").alias("b"))
-        s = days.join(F.broadcast(s), F.col("forecast_date").between(F.col("a"), F.col("b"))).groupBy("period_id", "label", "a", "b").agg(F.min("forecast_date").alias("x"), F.max("forecast_date").alias("y"), F.count("*").alias("n"))
-        out = out.union(s.select("period_id", F.lit("stress"), "label", "a", "b", "x", "y", "n", F.lit(False)))
+        s = s.join(days, F.col("forecast_date").between(F.col("a"), F.col("b")), "left").groupBy("period_id", "label", "a", "b").agg(F.min("forecast_date").alias("x"), F.max("forecast_date").alias("y"), F.count("forecast_date").alias("n"))
+        out = out.union(s.select("period_id", F.lit("stress"), "label", "a", "b", "x", "y", guarded(F.col("n") > 0, F.col("n"), "a stress period holds no forecast"), F.lit(False)))
     return out
 
 

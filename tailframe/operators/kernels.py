@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 
 
+#: Largest table of shocks that a worker keeps; beyond it shocks are drawn in runs of rows, which give the same numbers.
+SHOCK_VALUES = 8_000_000
+
+
+def check_draws(scenarios: int, seed: int) -> None:
+    for name, x, least in (("scenarios", scenarios, 2), ("seed", seed, 0)):
+        if isinstance(x, bool) or not isinstance(x, (int, np.integer)) or x < least:
+            raise ValueError(f"{name} is a whole number of at least {least}")
+
+
 @lru_cache(maxsize=2)
 def normal_shocks(scenarios: int, assets: int, seed: int) -> np.ndarray:
     """Seeded standard normal draws, one row per scenario. Each worker makes them again instead of receiving them."""
@@ -36,6 +47,25 @@ def losses_from_shocks(mu: np.ndarray, cov: np.ndarray, w: np.ndarray, shocks: n
     return -(np.dot(w, mu) + shocks @ (lower_factor(cov).T @ w))
 
 
+def shock_runs(scenarios: int, assets: int, seed: int) -> Iterator[np.ndarray]:
+    """``normal_shocks`` in runs of rows: one that is kept if it is small, else as many as memory asks for."""
+    if scenarios * assets <= SHOCK_VALUES:
+        yield normal_shocks(scenarios, assets, seed)
+        return
+    rng, most = np.random.default_rng(seed), max(1, SHOCK_VALUES // assets)
+    for i in range(0, scenarios, most):
+        yield rng.standard_normal((min(most, scenarios - i), assets))
+
+
+def losses_of_dates(means: np.ndarray, pulled: np.ndarray, scenarios: int, seed: int) -> np.ndarray:
+    """Losses (dates by scenarios) from portfolio means and weights pulled through the factors (assets by dates)."""
+    out, at = np.empty((len(means), scenarios)), 0
+    for shocks in shock_runs(scenarios, len(pulled), seed):
+        out[:, at : at + len(shocks)] = -(means[:, None] + (shocks @ pulled).T)
+        at += len(shocks)
+    return out
+
+
 def portfolio_losses(mu: np.ndarray, cov: np.ndarray, w: np.ndarray, scenarios: int, seed: int) -> np.ndarray:
     return losses_from_shocks(mu, cov, w, normal_shocks(scenarios, len(mu), seed))
 
@@ -47,6 +77,33 @@ def empirical_tail(losses: np.ndarray, level: float) -> tuple[float, float, int]
     return var, float(tail.mean()), len(tail)
 
 
+def empirical_tails(losses: np.ndarray, levels: Sequence[float]) -> list[tuple[float, float, int]]:
+    """``empirical_tail`` for rising levels; only the tail beyond the lowest is sorted."""
+    n = len(losses)
+    low = int(np.floor((n - 1) * levels[0]))
+    tail = np.sort(np.partition(losses, low)[low:])
+    out = []
+    for level in levels:
+        at = (n - 1) * level
+        k = int(np.floor(at))
+        a, b = tail[k - low], tail[min(k + 1, n - 1) - low]
+        var = float(a if a == b else a + (b - a) * (at - k))
+        over = tail[np.searchsorted(tail, var) :]
+        out.append((var, float(over.mean()), len(over)))
+    return out
+
+
+def sorted_tails(rows: np.ndarray, level: float) -> tuple[np.ndarray, np.ndarray]:
+    """VaR (linear between order statistics) and ES (mean of losses of at least the VaR) of each sorted row."""
+    n = rows.shape[1]
+    at = (n - 1) * level
+    k = int(np.floor(at))
+    a, b = rows[:, k], rows[:, min(k + 1, n - 1)]
+    var = np.where(a == b, a, a + (b - a) * (at - k))
+    tail = rows >= var[:, None]
+    return var, np.where(tail, rows, 0.0).sum(axis=1) / tail.sum(axis=1)
+
+
 def weighted_tail(values: np.ndarray, times: np.ndarray, level: float) -> tuple[float, float, int]:
     """``empirical_tail`` of each value repeated ``times`` times, without repeating it."""
     order = np.argsort(values, kind="stable")
@@ -69,12 +126,9 @@ def rescale(z: np.ndarray, cov: np.ndarray) -> np.ndarray:
     return lower_factor(cov, strict=True) @ z
 
 
-def filtered_scenario(mu: np.ndarray, z: np.ndarray, cov: np.ndarray) -> np.ndarray:
-    return mu + rescale(z, cov)
-
-
-def filtered_loss(scenario: np.ndarray, w: np.ndarray) -> float:
-    return -float(np.dot(scenario, w))
+def filtered_loss(mu: np.ndarray, z: np.ndarray, cov: np.ndarray, w: np.ndarray) -> float:
+    """The portfolio loss of one residual, rescaled by the date's covariance: what the weights pulled through the factor give at once."""
+    return -float(np.dot(mu + rescale(z, cov), w))
 
 
 def initial_pool(window: np.ndarray) -> np.ndarray:

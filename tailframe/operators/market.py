@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tailframe.functions.special import sample_kurtosis, sample_skewness
+from tailframe.sources import store
 
 LOSS_LEVELS = (0.95, 0.975, 0.99)
 
@@ -20,26 +21,38 @@ def simple_returns(prices: DataFrame) -> DataFrame:
 def on_all_sessions(prices: DataFrame) -> DataFrame:
     """Adds a null price for each asset and session that lacks one."""
     sessions, assets = prices.select("session_date").distinct(), prices.select("asset").distinct()
-    grid = sessions.crossJoin(F.broadcast(assets))  # the cells of the panel itself
+    grid = sessions.crossJoin(assets)  # the cells of the panel itself
     return grid.join(prices, ["session_date", "asset"], "left")
 
 
 def drop_empty_sessions(returns: DataFrame) -> DataFrame:
     """Drops sessions in which no asset has a return."""
-    some = returns.groupBy("session_date").agg(F.count("ret").alias("n")).where("n > 0").select("session_date")
-    return returns.join(some, "session_date", "left_semi")
+    return returns.withColumn("_n", F.count("ret").over(W.partitionBy("session_date"))).where("_n > 0").drop("_n")
+
+
+def complete_returns(returns: DataFrame) -> DataFrame:
+    """Keeps the sessions in which every asset of the panel has a return, numbered anew: what a portfolio needs.
+
+    An asset that has no row at all in a session counts as missing there.
+    """
+    assets = returns.agg(F.count_distinct("asset").alias("_all"))  # one row
+    full = returns.withColumn("_n", F.count("ret").over(W.partitionBy("session_date"))).crossJoin(F.broadcast(assets)).where("_n = _all")
+    return numbered(store.working_table(full.select("session_date", "asset", "ret"), "complete"))
 
 
 def numbered(returns: DataFrame) -> DataFrame:
-    """Adds session_no and asset_no, dense from 0, in date and name order. There are few distinct dates and assets."""
+    """Adds session_no and asset_no, dense from 0, in date and name order. There are few distinct dates and assets.
+
+    The table is read three times: give it a stored one.
+    """
     sessions = returns.select("session_date").distinct().withColumn("session_no", F.row_number().over(W.orderBy("session_date")) - 1)
     assets = returns.select("asset").distinct().withColumn("asset_no", F.row_number().over(W.orderBy("asset")) - 1)
-    return returns.join(sessions, "session_date").join(F.broadcast(assets), "asset").select("session_date", "session_no", "asset", "asset_no", "ret")
+    return returns.join(sessions, "session_date").join(assets, "asset").select("session_date", "session_no", "asset", "asset_no", "ret")
 
 
 def asset_returns(prices: DataFrame) -> DataFrame:
-    """Numbered returns of a panel without the first session."""
-    return numbered(drop_empty_sessions(simple_returns(prices)))
+    """Numbered returns of a panel without the first session. Plain returns are stored, so that the prices are read once."""
+    return numbered(store.working_table(drop_empty_sessions(simple_returns(prices)), "returns"))
 
 
 def large_return_flags(returns: DataFrame, threshold: float) -> DataFrame:

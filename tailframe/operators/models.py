@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from . import moments
-from .schedule import LEVELS, forecast_schedule, level_rows
+from . import kernels, moments
+from .contracts import guarded
+from .schedule import check_levels, forecast_schedule, LEVELS, level_rows
 
 #: Order is part of the contract: pairwise tests take the earlier model first.
 MODELS = ("rolling-gaussian", "ewma-gaussian", "filtered-historical")
+#: Sessions that one group of a windowed numpy kernel forecasts; it also gets the window before them.
+BLOCK = 256
 
 
 def gaussian_tail(mean: Column, vol: Column, z: Column, phi: Column, level: Column) -> tuple[Column, Column]:
@@ -20,72 +25,97 @@ def gaussian_tail(mean: Column, vol: Column, z: Column, phi: Column, level: Colu
     return -mean + vol * z, -mean + vol * phi / (1 - level)
 
 
-def gaussian_forecasts(moments_by_date: DataFrame, levels: Sequence[float] = LEVELS) -> DataFrame:
-    """forecast_date, level, mean_return, volatility, value_at_risk, expected_shortfall; volatility must be positive."""
-    rows = moments_by_date.where("volatility > 0").crossJoin(F.broadcast(level_rows(moments_by_date.sparkSession, levels)))
-    var, es = gaussian_tail(F.col("mean_return"), F.col("volatility"), F.col("z"), F.col("phi"), F.col("confidence_level"))
-    return rows.select("forecast_date", "level_bp", "confidence_level", "mean_return", "volatility", var.alias("value_at_risk"), es.alias("expected_shortfall"))
+def gaussian_forecasts(moments_by_date: DataFrame, levels: Sequence[float] = LEVELS, by: Sequence[str] = ()) -> DataFrame:
+    """forecast_date, level, mean_return, volatility, value_at_risk, expected_shortfall. A volatility that is not positive is an error."""
+    vol = F.col("volatility")
+    rows = moments_by_date.withColumn("volatility", guarded(F.coalesce((vol > 0) & (vol < float("inf")) & ~F.isnan("mean_return"), F.lit(False)), vol, "the volatility of a forecast is not positive"))
+    rows = rows.crossJoin(F.broadcast(level_rows(moments_by_date.sparkSession, levels)))
+    var, es = gaussian_tail(F.col("mean_return"), vol, F.col("z"), F.col("phi"), F.col("confidence_level"))
+    return rows.select(*by, "forecast_date", "level_bp", "confidence_level", "mean_return", "volatility", var.alias("value_at_risk"), es.alias("expected_shortfall"))
 
 
-def rolling_gaussian_univariate(portfolio: DataFrame, window: int, levels: Sequence[float] = LEVELS) -> DataFrame:
-    return gaussian_forecasts(moments.rolling_univariate(portfolio, window), levels)
+def rolling_gaussian_univariate(portfolio: DataFrame, window: int, levels: Sequence[float] = LEVELS, by: Sequence[str] = ()) -> DataFrame:
+    return gaussian_forecasts(moments.rolling_univariate(portfolio, window, by), levels, by)
 
 
 def numbered_weights(returns: DataFrame, weights: DataFrame) -> DataFrame:
-    names = returns.select("asset", "asset_no").distinct()
-    return weights.join(F.broadcast(names), "asset")
+    """Weights with the returns' asset_no."""
+    if "asset_no" in weights.columns:
+        return weights
+    return weights.join(returns.select("asset", "asset_no").distinct(), "asset")
+
+
+def packed_dates(returns: DataFrame, weights: DataFrame, window: int, decay: float | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """``moments.packed`` of the rolling, or with ``decay`` the exponentially weighted, moments."""
+    means = moments.rolling_means(returns, window)
+    cov = moments.rolling_covariance(returns, window) if decay is None else moments.ewma_covariance(returns, window, decay)
+    return moments.packed(means, cov, numbered_weights(returns, weights), by)
+
 
+def rolling_gaussian(returns: DataFrame, weights: DataFrame, window: int, levels: Sequence[float] = LEVELS, by: Sequence[str] = ()) -> DataFrame:
+    return gaussian_forecasts(moments.moments_of(packed_dates(returns, weights, window, None, by), by), levels, by)
 
-def rolling_gaussian(returns: DataFrame, weights: DataFrame, window: int, levels: Sequence[float] = LEVELS) -> DataFrame:
-    m = moments.portfolio_moments(moments.rolling_means(returns, window), moments.rolling_covariance(returns, window), numbered_weights(returns, weights))
-    return gaussian_forecasts(m, levels)
 
+def ewma_gaussian(returns: DataFrame, weights: DataFrame, window: int, decay: float = 0.94, levels: Sequence[float] = LEVELS, by: Sequence[str] = ()) -> DataFrame:
+    return gaussian_forecasts(moments.moments_of(packed_dates(returns, weights, window, decay, by), by), levels, by)
 
-def ewma_gaussian(returns: DataFrame, weights: DataFrame, window: int, decay: float = 0.94, levels: Sequence[float] = LEVELS) -> DataFrame:
-    m = moments.portfolio_moments(moments.rolling_means(returns, window), moments.ewma_covariance(returns, window, decay), numbered_weights(returns, weights))
-    return gaussian_forecasts(m, levels)
 
+def with_blocks(rows: DataFrame, at: str, window: int, block: int = BLOCK) -> DataFrame:
+    """Each row for every block of ``block`` sessions whose forecasts need it: its own, and those whose windows reach back to it."""
+    return rows.withColumn("_block", F.explode(F.expr(f"sequence({at} div {block}, ({at} + {window}) div {block})")))
 
-def empirical_tail(losses: Column, level: Column) -> tuple[Column, Column]:
-    """VaR (linear between order statistics) and ES (mean of losses of at least the VaR) of a sorted array column."""
-    at = (F.size(losses) - 1) * level
-    low = F.floor(at).cast("int")
-    a, b = F.element_at(losses, low + 1), F.element_at(losses, F.least(low + 2, F.size(losses)))
-    var = a + (b - a) * (at - low)
-    tail = F.filter(losses, lambda x: x >= var)
-    return var, F.aggregate(tail, F.lit(0.0), lambda s, x: s + x) / F.size(tail)
 
+def historical_simulation(portfolio: DataFrame, window: int, levels: Sequence[float] = LEVELS, by: Sequence[str] = ()) -> DataFrame:
+    """VaR and ES of the ``window`` realised losses before each session.
 
-def historical_simulation(portfolio: DataFrame, window: int, levels: Sequence[float] = LEVELS) -> DataFrame:
-    """VaR and ES of the ``window`` realised losses before each session; an array of ``window`` values per session."""
-    w = W.orderBy("session_date").rowsBetween(-window, -1)
-    r = portfolio.select(F.col("session_date").alias("forecast_date"), F.array_sort(F.collect_list(-F.col("portfolio_return")).over(w)).alias("losses")).where(F.size("losses") == window).repartition("forecast_date")
-    r = r.crossJoin(F.broadcast(level_rows(portfolio.sparkSession, levels)))
-    var, es = empirical_tail(F.col("losses"), F.col("confidence_level"))
-    return r.select("forecast_date", "level_bp", "confidence_level", var.alias("value_at_risk"), es.alias("expected_shortfall"))
+    Sessions are numbered and dealt to blocks with the window before them, so blocks run in parallel. A missing return is an error.
+    """
+    moments.check_window(window)
+    check_levels(levels)
+    at = W.partitionBy(*by).orderBy("session_date")
+    loss = guarded(F.col("portfolio_return").isNotNull(), -F.col("portfolio_return"), moments.SHORT)
+    r = portfolio.select(*by, F.col("session_date").alias("forecast_date"), loss.alias("loss"), (F.row_number().over(at) - 1).alias("t"))
+    kinds = ", ".join(f"`{c}` {portfolio.schema[c].dataType.simpleString()}" for c in by)
+    schema = (kinds + ", " if kinds else "") + "forecast_date date, level_bp int, confidence_level double, value_at_risk double, expected_shortfall double"
+    names = [*by, "forecast_date", "level_bp", "confidence_level", "value_at_risk", "expected_shortfall"]
 
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("t")
+        t, x = part["t"].to_numpy(), part["loss"].to_numpy()
+        own = np.flatnonzero((t // BLOCK == key[-1]) & (t >= window))
+        if not len(own):
+            return pd.DataFrame(columns=names)
+        views = np.sort(np.lib.stride_tricks.sliding_window_view(x, window)[own - window], axis=1)
+        parts = []
+        for level in levels:
+            var, es = kernels.sorted_tails(views, level)
+            parts.append(pd.DataFrame({**dict(zip(by, key, strict=False)), "forecast_date": part["forecast_date"].to_numpy()[own], "level_bp": round(level * 10000), "confidence_level": level, "value_at_risk": var, "expected_shortfall": es}))
+        return pd.concat(parts)[names]
 
-def as_forecasts(model: str, model_no: int, tails: DataFrame, schedule: DataFrame) -> DataFrame:
+    return with_blocks(r, "t", window).groupBy(*by, "_block").applyInPandas(run, schema)
+
+
+def as_forecasts(model: str, model_no: int, tails: DataFrame, schedule: DataFrame, extra: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
     """The fact table's rows of one model: what was forecast, what happened, and whether the loss exceeded the VaR."""
-    rows = tails.join(schedule, "forecast_date")
+    rows = tails.join(schedule, [*by, "forecast_date"])
     return rows.select(
-        F.lit(model).alias("model"), F.lit(model_no).alias("model_no"), "forecast_date", "confidence_level", "level_bp", "estimation_start_date", "estimation_end_date",
-        "realized_return", "realized_loss", "value_at_risk", "expected_shortfall", (F.col("realized_loss") > F.col("value_at_risk")).alias("var_exceedance"),
+        *by, F.lit(model).alias("model"), F.lit(model_no).alias("model_no"), "forecast_date", "confidence_level", "level_bp", "estimation_start_date", "estimation_end_date",
+        "realized_return", "realized_loss", "value_at_risk", "expected_shortfall", (F.col("realized_loss") > F.col("value_at_risk")).alias("var_exceedance"), *extra,
     )
 
 
+#: What simulated forecasts tell of their draws.
+DRAWS = ("simulated_mean_return", "simulated_volatility", "scenario_count", "random_seed", "tail_scenario_count")
+
+
 def model_forecasts(model: str, returns: DataFrame, portfolio: DataFrame, weights: DataFrame, window: int, levels: Sequence[float] = LEVELS, decay: float = 0.94, scenarios: int = 100_000, seed: int = 20261002) -> DataFrame:
     """Forecasts of a named model on the schedule of the portfolio."""
     from .simulation import filtered_historical, monte_carlo
 
-    names: dict[str, Callable[[], DataFrame]] = {
-        "rolling-gaussian": lambda: monte_carlo(returns, weights, window, levels, scenarios, seed),
-        "ewma-gaussian": lambda: monte_carlo(returns, weights, window, levels, scenarios, seed, decay),
-        "filtered-historical": lambda: filtered_historical(returns, weights, window, levels, decay, scenarios, seed),
-    }
-    if model not in names:
+    if model not in MODELS:
         raise ValueError(f"model is one of {MODELS}")
-    tails, schedule = names[model](), forecast_schedule(portfolio, window)
-    extra = [c for c in ("simulated_mean_return", "simulated_volatility", "scenario_count", "random_seed", "tail_scenario_count") if c in tails.columns]
-    rows = as_forecasts(model, MODELS.index(model), tails, schedule)
-    return rows.join(tails.select("forecast_date", "level_bp", *extra), ["forecast_date", "level_bp"])
+    if model == "filtered-historical":
+        tails = filtered_historical(returns, weights, window, levels, decay, scenarios, seed)
+    else:
+        tails = monte_carlo(returns, weights, window, levels, scenarios, seed, decay if model == "ewma-gaussian" else None)
+    return as_forecasts(model, MODELS.index(model), tails, forecast_schedule(portfolio, window), DRAWS)

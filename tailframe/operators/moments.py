@@ -1,25 +1,42 @@
-"""Rolling and exponentially weighted moments as window aggregates."""
+"""Rolling and exponentially weighted moments as window aggregates, and the table of what one date's forecast needs."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .contracts import guarded
 
-def rolling_univariate(portfolio: DataFrame, window: int) -> DataFrame:
-    """forecast_date, mean_return, volatility over the ``window`` sessions before."""
-    w = W.orderBy("session_date").rowsBetween(-window, -1)
-    r = portfolio.select("session_date", F.avg("portfolio_return").over(w).alias("mean_return"), F.stddev_samp("portfolio_return").over(w).alias("volatility"), F.count("*").over(w).alias("n"))
-    return r.where(F.col("n") == window).select(F.col("session_date").alias("forecast_date"), "mean_return", "volatility")
+SHORT = "a forecast's window holds missing returns"
+
+
+def check_window(window: int) -> None:
+    if isinstance(window, bool) or not isinstance(window, int) or window < 2:
+        raise ValueError("a window has two sessions or more")
+
+
+def rolling_univariate(portfolio: DataFrame, window: int, by: Sequence[str] = ()) -> DataFrame:
+    """forecast_date, mean_return, volatility over the ``window`` sessions before. A missing return in a window is an error."""
+    check_window(window)
+    w = W.partitionBy(*by).orderBy("session_date").rowsBetween(-window, -1)
+    x = F.col("portfolio_return")
+    r = portfolio.select(*by, "session_date", F.avg(x).over(w).alias("m"), F.stddev_samp(x).over(w).alias("volatility"), F.count("*").over(w).alias("n"), F.count(x).over(w).alias("known")).where(F.col("n") == window)
+    return r.select(*by, F.col("session_date").alias("forecast_date"), guarded(F.col("known") == window, F.col("m"), SHORT).alias("mean_return"), "volatility")
 
 
 def rolling_means(returns: DataFrame, window: int) -> DataFrame:
-    """forecast_date, session_no, asset_no, mu, and the session's own innovation u = ret - mu (for later sessions only)."""
+    """forecast_date, session_no, asset_no, mu, and the session's own innovation u = ret - mu (for later sessions only).
+
+    A window that does not hold ``window`` returns, or a session without one, is an error.
+    """
+    check_window(window)
     w = W.partitionBy("asset_no").orderBy("session_no").rowsBetween(-window, -1)
-    r = returns.withColumn("mu", F.avg("ret").over(w)).where(F.col("session_no") >= window)
+    r = returns.withColumns({"m": F.avg("ret").over(w), "n": F.count("ret").over(w)}).where(F.col("session_no") >= window)
+    r = r.withColumn("mu", guarded((F.col("n") == window) & F.col("ret").isNotNull(), F.col("m"), SHORT))
     return r.select(F.col("session_date").alias("forecast_date"), "session_no", "asset_no", "mu", (F.col("ret") - F.col("mu")).alias("u"))
 
 
@@ -31,45 +48,73 @@ def asset_pairs(returns: DataFrame) -> DataFrame:
 
 
 def rolling_covariance(returns: DataFrame, window: int) -> DataFrame:
-    """forecast_date, session_no, i, j, cov: sample covariance of the ``window`` sessions before, by pair."""
+    """forecast_date, session_no, i, j, cov: sample covariance of the ``window`` sessions before, by pair, all of them whole."""
+    check_window(window)
     w = W.partitionBy("i", "j").orderBy("session_no").rowsBetween(-window, -1)
-    p = asset_pairs(returns).withColumn("cov", F.covar_samp("ri", "rj").over(w)).where(F.col("session_no") >= window)
-    return p.select(F.col("session_date").alias("forecast_date"), "session_no", "i", "j", "cov")
+    p = asset_pairs(returns).withColumns({"c": F.covar_samp("ri", "rj").over(w), "n": F.count(F.col("ri") + F.col("rj")).over(w)}).where(F.col("session_no") >= window)
+    return p.select(F.col("session_date").alias("forecast_date"), "session_no", "i", "j", guarded(F.col("n") == window, F.col("c"), SHORT).alias("cov"))
 
 
-def ewma_covariance(returns: DataFrame, window: int, decay: float) -> DataFrame:
+def first_covariance(returns: DataFrame, window: int) -> DataFrame:
+    """i, j, cov of the first ``window`` sessions."""
+    c = asset_pairs(returns.where(F.col("session_no") < window)).groupBy("i", "j").agg(F.covar_samp("ri", "rj").alias("c"), F.count(F.col("ri") + F.col("rj")).alias("n"))
+    return c.select("i", "j", guarded(F.col("n") == window, F.col("c"), SHORT).alias("cov"))
+
+
+def ewma_covariance(returns: DataFrame, window: int, decay: float, means: DataFrame | None = None) -> DataFrame:
     """forecast_date, session_no, i, j, cov with cov(t + 1) = decay cov(t) + (1 - decay) u(t) u(t)', started from the first window.
 
     With k the forecast's number this is decay^k cov(0) + (1 - decay) decay^(k-1) sum over s < k of decay^-s u(s) u(s)', a running
     sum. Powers would overflow after some 700 / -ln(decay) forecasts, so sums restart in blocks; over a
-    block the past fades by exp(-600), and the block before is all that is left of it.
+    block the past fades by exp(-600), and the block before is all that is left of it. ``means``: a stored ``rolling_means``.
     """
     if not 0 < decay < 1:
         raise ValueError("the decay lies between 0 and 1")
-    m = rolling_means(returns, window)
+    m = rolling_means(returns, window) if means is None else means
     block = max(1, int(600 / -math.log(decay)))
     u = m.select("forecast_date", "session_no", F.col("asset_no").alias("i"), F.col("u").alias("ui")).join(m.select("session_no", F.col("asset_no").alias("j"), F.col("u").alias("uj")), "session_no").where("i <= j")
     u = u.withColumn("k", (F.col("session_no") - window).cast("int")).withColumns({"b": F.expr(f"k div {block}"), "s": F.expr(f"k % {block}")})
     lam = F.lit(float(decay))
     inside = W.partitionBy("i", "j", "b").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
-    term = F.pow(lam, -F.col("s")) * F.col("ui") * F.col("uj")
-    fresh = (1 - lam) * F.pow(lam, F.col("s") - 1) * F.coalesce(F.sum(term).over(inside), F.lit(0.0))
-    ends = u.groupBy("i", "j", "b").agg(((1 - lam) * F.sum(F.pow(lam, F.lit(block - 1) - F.col("s")) * F.col("ui") * F.col("uj"))).alias("carry"))
-    ends = ends.withColumn("b", F.col("b") + 1)
-    first = rolling_covariance(returns, window).where(F.col("session_no") == window).select("i", "j", F.lit(0).cast("long").alias("b"), F.col("cov").alias("carry"))
-    start = first.union(ends.select("i", "j", F.col("b").cast("long"), "carry"))
-    out = u.withColumn("fresh", fresh).withColumn("b", F.col("b").cast("long")).join(start, ["i", "j", "b"])
-    return out.select("forecast_date", "session_no", "i", "j", (F.pow(lam, F.col("s")) * F.col("carry") + F.col("fresh")).alias("cov"))
+    before = W.partitionBy("i", "j").orderBy("b").rangeBetween(-1, -1)  # the rows of the block before
+    product = F.col("ui") * F.col("uj")
+    fresh = (1 - lam) * F.pow(lam, F.col("s") - 1) * F.coalesce(F.sum(F.pow(lam, -F.col("s")) * product).over(inside), F.lit(0.0))
+    carry = (1 - lam) * F.sum(F.pow(lam, F.lit(block - 1) - F.col("s")) * product).over(before)
+    out = u.withColumns({"carry": carry, "fresh": fresh}).join(first_covariance(returns, window), ["i", "j"])
+    start = F.when(F.col("b") == 0, F.col("cov")).otherwise(F.col("carry"))
+    return out.select("forecast_date", "session_no", "i", "j", (F.pow(lam, F.col("s")) * start + F.col("fresh")).alias("cov"))
+
+
+def in_order(index: str, value: str) -> Column:
+    """Aggregate: the values as an array in the order of ``index``."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(index, value))), lambda x: x[value])
+
 
+def packed(means: DataFrame, cov: DataFrame, weights: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """forecast_date, session_no, mu, u, cov (pairs i <= j in order) and w: what one date's forecast needs, a row for each portfolio.
 
-def portfolio_moments(means: DataFrame, cov: DataFrame, weights: DataFrame) -> DataFrame:
-    """forecast_date, mean_return, variance, volatility of the weights with which each session begins.
+    All tables are grouped by the date, so the joins move nothing again. A date without a weight for every asset is an error.
 
     weights: session_date, asset_no, begin_weight.
     """
-    w = weights.select(F.col("session_date").alias("forecast_date"), "asset_no", F.col("begin_weight").alias("w"))
-    mean = means.join(w, ["forecast_date", "asset_no"]).groupBy("forecast_date").agg(F.sum(F.col("w") * F.col("mu")).alias("mean_return"))
-    wi, wj = (w.select("forecast_date", F.col("asset_no").alias(c), F.col("w").alias(f"w{c}")) for c in "ij")
-    part = F.col("wi") * F.col("wj") * F.col("cov") * F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0)
-    var = cov.join(wi, ["forecast_date", "i"]).join(wj, ["forecast_date", "j"]).groupBy("forecast_date").agg(F.sum(part).alias("variance"))
-    return mean.join(var, "forecast_date").withColumn("volatility", F.sqrt("variance"))
+    m = means.groupBy("forecast_date").agg(F.first("session_no").alias("session_no"), in_order("asset_no", "mu").alias("mu"), in_order("asset_no", "u").alias("u"))
+    pairs = F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "cov"))), lambda x: x["cov"])
+    c = cov.groupBy("forecast_date").agg(pairs.alias("cov"))
+    w = weights.groupBy(F.col("session_date").alias("forecast_date"), *by).agg(in_order("asset_no", "begin_weight").alias("w"))
+    out = m.join(c, "forecast_date").join(w, "forecast_date", "left")
+    whole = F.coalesce(F.size("w") == F.size("mu"), F.lit(False))
+    return out.withColumn("w", guarded(whole, F.col("w"), "a forecast date lacks weights of some asset"))
+
+
+def moments_of(dates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """forecast_date, mean_return, variance, volatility of the weights with which each session begins, from ``packed``."""
+    add = lambda s, x: s + x
+    mean = F.aggregate(F.zip_with("w", "mu", lambda a, b: a * b), F.lit(0.0), add)
+    pairs = F.expr("flatten(transform(sequence(0, size(w) - 1), i -> transform(sequence(i, size(w) - 1), j -> w[i] * w[j] * IF(i = j, 1.0D, 2.0D))))")
+    variance = F.aggregate(F.zip_with(pairs, "cov", lambda a, b: a * b), F.lit(0.0), add)
+    out = dates.select(*by, "forecast_date", mean.alias("mean_return"), variance.alias("variance"))
+    return out.withColumn("volatility", F.sqrt("variance"))
+
+
+def portfolio_moments(means: DataFrame, cov: DataFrame, weights: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return moments_of(packed(means, cov, weights, by), by)

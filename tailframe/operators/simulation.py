@@ -10,28 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import kernels, moments
-from .models import numbered_weights
-from .schedule import LEVELS
+from tailframe.sources import store
 
-SIMULATED = "forecast_date date, level_bp int, confidence_level double, simulated_mean_return double, simulated_volatility double, scenario_count long, random_seed long, tail_scenario_count long, value_at_risk double, expected_shortfall double"
-
-
-def packed_vector(df: DataFrame, index: str, value: str, name: str) -> DataFrame:
-    """forecast_date and an array in index order (one entry for each asset)."""
-    pairs = F.array_sort(F.collect_list(F.struct(index, value)))
-    return df.groupBy("forecast_date").agg(F.transform(pairs, lambda x: x[value]).alias(name))
+from . import kernels
+from .contracts import guarded
+from .models import BLOCK, packed_dates, with_blocks
+from .moments import SHORT, in_order
+from .schedule import LEVELS, check_levels
 
-
-def packed_dates(returns: DataFrame, weights: DataFrame, window: int, decay: float | None) -> DataFrame:
-    """forecast_date, mu, cov (pairs i <= j in order), w, u: what one date's kernel needs."""
-    cov = moments.rolling_covariance(returns, window) if decay is None else moments.ewma_covariance(returns, window, decay)
-    pairs = F.array_sort(F.collect_list(F.struct("i", "j", "cov")))
-    cov = cov.groupBy("forecast_date").agg(F.transform(pairs, lambda x: x["cov"]).alias("cov"))
-    means = moments.rolling_means(returns, window)
-    w = numbered_weights(returns, weights).withColumnRenamed("session_date", "forecast_date")
-    out = cov.join(packed_vector(means, "asset_no", "mu", "mu"), "forecast_date").join(packed_vector(means, "asset_no", "u", "u"), "forecast_date")
-    return out.join(packed_vector(w, "asset_no", "begin_weight", "w"), "forecast_date")
+SIMULATED = "forecast_date date, level_bp int, confidence_level double, simulated_mean_return double, simulated_volatility double, scenario_count long, random_seed long, tail_scenario_count long, value_at_risk double, expected_shortfall double"
+NAMES = [c.split()[0] for c in SIMULATED.split(", ")]
+#: Dates whose losses a task holds at once (by 100,000 scenarios: 13 MB).
+DATES = 16
 
 
 def square(pairs: Sequence[float], n: int) -> np.ndarray:
@@ -40,73 +30,100 @@ def square(pairs: Sequence[float], n: int) -> np.ndarray:
     return np.triu(out) + np.triu(out, 1).T
 
 
-def monte_carlo(returns: DataFrame, weights: DataFrame, window: int, levels: Sequence[float] = LEVELS, scenarios: int = 100_000, seed: int = 20261002, decay: float | None = None) -> DataFrame:
-    """Gaussian Monte Carlo VaR and ES by date and level; EWMA covariances with ``decay``. All dates share the shocks."""
+def monte_carlo_of(dates: DataFrame, levels: Sequence[float] = LEVELS, scenarios: int = 100_000, seed: int = 20261002) -> DataFrame:
+    """Gaussian Monte Carlo VaR and ES by date and level, from ``packed`` rows. All dates share the shocks."""
+    check_levels(levels)
+    kernels.check_draws(scenarios, seed)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for day, mu, cov, w in zip(part["forecast_date"], part["mu"], part["cov"], part["w"], strict=True):
-                n = len(mu)
-                losses = kernels.losses_from_shocks(np.asarray(mu), square(cov, n), np.asarray(w), kernels.normal_shocks(scenarios, n, seed))
-                mean, vol = -losses.mean(), losses.std(ddof=1)
-                for level in levels:
-                    var, es, tail = kernels.empirical_tail(losses, level)
-                    rows.append((day, round(level * 10000), level, mean, vol, scenarios, seed, tail, var, es))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SIMULATED.split(", ")])
+            for i in range(0, len(part), DATES):
+                some = part.iloc[i : i + DATES]
+                w = [np.asarray(x) for x in some["w"]]
+                pulled = np.stack([kernels.lower_factor(square(c, len(x))).T @ x for c, x in zip(some["cov"], w, strict=True)], axis=1)
+                means = np.array([np.dot(x, m) for x, m in zip(w, some["mu"], strict=True)])
+                losses = kernels.losses_of_dates(means, pulled, scenarios, seed)
+                for day, x in zip(some["forecast_date"], losses, strict=True):
+                    mean, vol = -x.mean(), x.std(ddof=1)
+                    for level, (var, es, tail) in zip(levels, kernels.empirical_tails(x, levels), strict=True):
+                        rows.append((day, round(level * 10000), level, mean, vol, scenarios, seed, tail, var, es))
+            yield pd.DataFrame(rows, columns=NAMES)
 
-    dates = packed_dates(returns, weights, window, decay)
-    return dates.repartition("forecast_date").mapInPandas(run, SIMULATED)
+    return dates.select("forecast_date", "mu", "cov", "w").repartition("forecast_date").mapInPandas(run, SIMULATED)
 
 
-def residual_table(returns: DataFrame, weights: DataFrame, window: int, decay: float) -> DataFrame:
-    """residual_date, z: every session's standardised innovation.
+def monte_carlo(returns: DataFrame, weights: DataFrame, window: int, levels: Sequence[float] = LEVELS, scenarios: int = 100_000, seed: int = 20261002, decay: float | None = None) -> DataFrame:
+    """``monte_carlo_of`` rolling moments, or of EWMA covariances with ``decay``."""
+    return monte_carlo_of(packed_dates(returns, weights, window, decay), levels, scenarios, seed)
+
+
+def residuals_of(returns: DataFrame, dates: DataFrame, window: int) -> DataFrame:
+    """session_no, residual_date, z: every session's standardised innovation; ``dates`` is a stored ``packed`` table.
 
     Sessions with a forecast use the mean and covariance forecast for them; the first window uses its own moments.
     """
-    dates = packed_dates(returns, weights, window, decay)
-    first = dates.orderBy("forecast_date").limit(1).select("mu", "cov", F.lit(True).alias("start"))
-    early = packed_vector(returns.where(F.col("session_no") < window).withColumnRenamed("session_date", "forecast_date"), "asset_no", "ret", "ret")
-    early = early.crossJoin(F.broadcast(first)).select("forecast_date", F.zip_with("ret", "mu", lambda r, m: r - m).alias("u"), "cov")  # one row
-    late = dates.select("forecast_date", "u", "cov")
+    first = dates.where(F.col("session_no") == window).select("mu", "cov")  # one row
+    early = returns.where(F.col("session_no") < window).groupBy("session_no", F.col("session_date").alias("residual_date")).agg(in_order("asset_no", "ret").alias("ret"))
+    early = early.crossJoin(F.broadcast(first)).select("session_no", "residual_date", guarded(F.size("ret") == F.size("mu"), F.zip_with("ret", "mu", lambda r, m: r - m), SHORT).alias("u"), "cov")
+    late = dates.select("session_no", F.col("forecast_date").alias("residual_date"), "u", "cov")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             z = [kernels.standardize(np.asarray(u), square(c, len(u))) for u, c in zip(part["u"], part["cov"], strict=True)]
-            yield pd.DataFrame({"residual_date": part["forecast_date"], "z": z})
+            yield pd.DataFrame({"session_no": part["session_no"], "residual_date": part["residual_date"], "z": z})
 
-    return early.union(late).mapInPandas(run, "residual_date date, z array<double>")
+    return early.union(late).mapInPandas(run, "session_no int, residual_date date, z array<double>")
+
+
+def residual_table(returns: DataFrame, weights: DataFrame, window: int, decay: float) -> DataFrame:
+    return residuals_of(returns, store.working_table(packed_dates(returns, weights, window, decay), "packed"), window)
 
 
 def residual_pools(residuals: DataFrame, window: int) -> DataFrame:
-    """forecast_date, pool: the ``window`` residuals before each session, oldest first."""
-    w = W.orderBy("residual_date").rowsBetween(-window, -1)
-    return residuals.select(F.col("residual_date").alias("forecast_date"), F.collect_list("z").over(w).alias("pool")).where(F.size("pool") == window)
+    """forecast_date, and size, first and last date of the ``window`` residuals before each session: what it draws from."""
+    w = W.orderBy("session_no").rowsBetween(-window, -1)  # a row for each session
+    day = F.col("residual_date")
+    pools = residuals.select(day.alias("forecast_date"), F.count("*").over(w).alias("pool_size"), F.min(day).over(w).alias("pool_start_date"), F.max(day).over(w).alias("pool_end_date"))
+    return pools.where(F.col("pool_size") == window)
 
 
-def filtered_historical(returns: DataFrame, weights: DataFrame, window: int, levels: Sequence[float] = LEVELS, decay: float = 0.94, scenarios: int = 100_000, seed: int = 20261002) -> DataFrame:
-    """VaR and ES of resampled residuals, rescaled by each date's EWMA covariance.
+def filtered_historical_of(dates: DataFrame, residuals: DataFrame, window: int, levels: Sequence[float] = LEVELS, scenarios: int = 100_000, seed: int = 20261002) -> DataFrame:
+    """VaR and ES of resampled residuals, rescaled by each date's EWMA covariance (``packed``).
 
-    A date has only ``window`` distinct losses, so drawn scenarios are counted, not built.
+    A date has only ``window`` distinct losses, so drawn scenarios are counted, not built. Residuals are dealt to blocks
+    of sessions with the window before them: a task gets each residual once, not once for every date.
     """
-    pools = residual_pools(residual_table(returns, weights, window, decay), window)
-    dates = packed_dates(returns, weights, window, decay).join(pools, "forecast_date")
+    check_levels(levels)
+    kernels.check_draws(scenarios, seed)
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame(columns=NAMES)
+        times, right = kernels.multiplicity(window, scenarios, seed), right.sort_values("session_no")
+        at, z = right["session_no"].to_numpy(), np.stack(right["z"].to_list())
+        rows = []
+        for no, day, mu, cov, w in zip(left["session_no"], left["forecast_date"], left["mu"], left["cov"], left["w"], strict=True):
+            w, stop = np.asarray(w), int(np.searchsorted(at, no))
+            if stop < window or at[stop - window] != no - window:
+                raise ValueError(f"residuals before {day} are missing")
+            loading = kernels.lower_factor(square(cov, len(w)), strict=True).T @ w
+            losses = -(np.dot(w, mu) + z[stop - window : stop] @ loading)
+            mean = -(losses * times).sum() / scenarios
+            vol = np.sqrt((times * (losses + mean) ** 2).sum() / (scenarios - 1))
+            for level in levels:
+                var, es, tail = kernels.weighted_tail(losses, times, level)
+                rows.append((day, round(level * 10000), level, mean, vol, scenarios, seed, tail, var, es))
+        return pd.DataFrame(rows, columns=NAMES)
+
+    left = dates.select("forecast_date", "session_no", "mu", "cov", "w").withColumn("_block", F.expr(f"session_no div {BLOCK}"))
+    return left.groupBy("_block").cogroup(with_blocks(residuals, "session_no", window).groupBy("_block")).applyInPandas(run, SIMULATED)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        times = kernels.multiplicity(window, scenarios, seed)
-        for part in parts:
-            rows = []
-            for day, mu, cov, w, pool in zip(part["forecast_date"], part["mu"], part["cov"], part["w"], part["pool"], strict=True):
-                w = np.asarray(w)
-                losses = -(np.dot(w, mu) + np.stack(pool) @ (kernels.lower_factor(square(cov, len(w)), strict=True).T @ w))
-                mean = -(losses * times).sum() / scenarios
-                vol = np.sqrt((times * (losses + mean) ** 2).sum() / (scenarios - 1))
-                for level in levels:
-                    var, es, tail = kernels.weighted_tail(losses, times, level)
-                    rows.append((day, round(level * 10000), level, mean, vol, scenarios, seed, tail, var, es))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SIMULATED.split(", ")])
 
-    return dates.repartition("forecast_date").mapInPandas(run, SIMULATED)
+def filtered_historical(returns: DataFrame, weights: DataFrame, window: int, levels: Sequence[float] = LEVELS, decay: float = 0.94, scenarios: int = 100_000, seed: int = 20261002) -> DataFrame:
+    """``filtered_historical_of`` the EWMA moments of the returns, which are stored once."""
+    dates = store.working_table(packed_dates(returns, weights, window, decay), "packed")
+    return filtered_historical_of(dates, residuals_of(returns, dates, window), window, levels, scenarios, seed)
 
 
 def loss_histogram(mu: np.ndarray, cov: np.ndarray, w: np.ndarray, scenarios: int, seed: int, bins: int = 90) -> pd.DataFrame:
@@ -115,6 +132,12 @@ def loss_histogram(mu: np.ndarray, cov: np.ndarray, w: np.ndarray, scenarios: in
     return pd.DataFrame({"left": edges[:-1], "right": edges[1:], "density": density})
 
 
+def loss_marks(mu: np.ndarray, cov: np.ndarray, w: np.ndarray, scenarios: int, seed: int, levels: Sequence[float] = LEVELS) -> list[tuple[int, float, float]]:
+    """level_bp, VaR and ES of the same losses: the lines drawn into the histogram."""
+    losses = kernels.portfolio_losses(mu, cov, w, scenarios, seed)
+    return [(round(x * 10000), *kernels.empirical_tail(losses, x)[:2]) for x in levels]
+
+
 def simulation_errors(analytic: DataFrame, simulated: DataFrame) -> DataFrame:
     """Bias, mean, median, 95 % and largest absolute error of simulated VaR and ES in basis points, by level and metric."""
     a = analytic.select("forecast_date", "level_bp", F.col("value_at_risk").alias("va"), F.col("expected_shortfall").alias("ea"))

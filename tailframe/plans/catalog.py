@@ -13,54 +13,82 @@ from tailframe.operators import evaluate as ev
 from tailframe.operators import kernels, market, models, moments, portfolio, schedule, simulation
 from tailframe.sources import panel, store
 
-from .sql import DECAY, ORACLES, STRESS, WINDOW
+from .sql import DECAY, ORACLES, SCENARIOS, SEED, STRESS, WINDOW
 
-#: Scenarios for each date of the catalogue's simulations, as many as the reference draws, and the window and grain of the flagship.
-SCENARIOS, SEED = 100_000, 20261002
+#: Window and grain of the flagship. The catalogue's simulations draw as many scenarios for each date as the reference.
 FLAGSHIP_WINDOW, FLAGSHIP_GRAIN = 52, "week"
 #: Larger movements are flagged; declared for this synthetic panel.
 LARGE = 0.5
-#: Columns of the two matrices, as their SQL has them; the queries by period have every year of the data.
-YEARS = ("year_1997", "year_1998", "year_1999", "year_2000")
-#: Stages that several queries start from, by session and folder.
-_STAGES: dict[tuple, DataFrame] = {}
+#: Tables whose files the stored stages depend on.
+PANEL = ("lineitem", "orders", "customer")
 
 
 def shared(name: str, spark: SparkSession, sf_dir: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A stage's table: written once per session and input, read by every later stage, as snapshots are."""
-    key = (name, spark.sparkContext.applicationId, sf_dir)
-    if key not in _STAGES:
-        _STAGES[key] = store.working_table(make(), name)
-    return _STAGES[key]
+    return store.stage(spark, sf_dir, name, PANEL, make)
 
 
-def prices(spark, d):
-    return panel.complete_sessions(panel.line_prices(spark, d))
+def line_prices(spark, d, grain="day"):
+    return shared(f"prices-{grain}", spark, d, lambda: panel.line_prices(spark, d, grain))
 
 
-def returns(spark, d):
-    return shared("returns", spark, d, lambda: market.asset_returns(prices(spark, d)))
+def prices(spark, d, grain="day"):
+    return panel.complete_sessions(line_prices(spark, d, grain))
 
 
-def targets(spark, d, cash=0.0):
-    return portfolio.equal_weights(returns(spark, d), cash)
+def returns(spark, d, grain="day"):
+    return shared(f"returns-{grain}", spark, d, lambda: market.asset_returns(prices(spark, d, grain)))
 
 
-def path(spark, d):
-    return shared("path", spark, d, lambda: portfolio.portfolio_path(returns(spark, d), targets(spark, d)))
+def targets(spark, d, cash=0.0, grain="day"):
+    return portfolio.equal_weights(returns(spark, d, grain), cash)
 
 
-def weights(spark, d):
-    return shared("weights", spark, d, lambda: portfolio.portfolio_weights(returns(spark, d), targets(spark, d)))
+def assets(spark, d, grain="day"):
+    return shared(f"assets-{grain}", spark, d, lambda: portfolio.asset_path(returns(spark, d, grain), targets(spark, d, grain=grain)))
+
+
+def path(spark, d, grain="day"):
+    return shared(f"path-{grain}", spark, d, lambda: portfolio.path_of(assets(spark, d, grain)))
+
+
+def weights(spark, d, grain="day"):
+    return portfolio.weights_of(assets(spark, d, grain))
+
+
+def means(spark, d, grain="day", window=WINDOW):
+    return shared(f"means-{grain}", spark, d, lambda: moments.rolling_means(returns(spark, d, grain), window))
+
+
+def packed(spark, d, decay=None, grain="day", window=WINDOW):
+    """What each date's forecast needs, of the rolling or of the exponentially weighted moments."""
+
+    def make():
+        r = returns(spark, d, grain)
+        cov = moments.rolling_covariance(r, window) if decay is None else moments.ewma_covariance(r, window, decay, means(spark, d, grain, window))
+        return moments.packed(means(spark, d, grain, window), cov, weights(spark, d, grain))
+
+    return shared(f"packed-{grain}-{'rolling' if decay is None else 'ewma'}", spark, d, make)
+
+
+def gaussian(spark, d, decay=None, grain="day", window=WINDOW):
+    return models.gaussian_forecasts(moments.moments_of(packed(spark, d, decay, grain, window)))
+
+
+def residuals(spark, d):
+    return shared("residuals", spark, d, lambda: simulation.residuals_of(returns(spark, d), packed(spark, d, DECAY), WINDOW))
+
+
+def fhs(spark, d):
+    return shared("fhs", spark, d, lambda: simulation.filtered_historical_of(packed(spark, d, DECAY), residuals(spark, d), WINDOW, scenarios=SCENARIOS, seed=SEED))
 
 
 def forecasts(spark, d):
-    """The fact table: rolling and EWMA Gaussian (closed form) and plain historical simulation."""
+    """The fact table: rolling and EWMA Gaussian, in closed form, and filtered historical simulation."""
 
     def make():
-        r, w, s = returns(spark, d), weights(spark, d), schedule.forecast_schedule(path(spark, d), WINDOW)
-        parts = [("rolling-gaussian", models.rolling_gaussian(r, w, WINDOW)), ("ewma-gaussian", models.ewma_gaussian(r, w, WINDOW, DECAY)), ("historical", models.historical_simulation(path(spark, d), WINDOW))]
-        rows = [models.as_forecasts(name, no, store.working_table(tail.select("forecast_date", "level_bp", "confidence_level", "value_at_risk", "expected_shortfall"), "tails"), s) for no, (name, tail) in enumerate(parts)]
+        s = schedule.forecast_schedule(path(spark, d), WINDOW)
+        tails = (gaussian(spark, d), gaussian(spark, d, DECAY), fhs(spark, d))
+        rows = [models.as_forecasts(name, no, tail, s) for no, (name, tail) in enumerate(zip(models.MODELS, tails, strict=True))]
         return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
     return shared("forecasts", spark, d, make)
@@ -74,11 +102,9 @@ def rounded(df: DataFrame, digits: int = 8, coarse: tuple[str, ...] = (), drop:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rolling Gaussian backtest with coverage tests, weekly."""
-    r = market.asset_returns(panel.complete_sessions(panel.line_prices(spark, sf_dir, FLAGSHIP_GRAIN)))
-    t = portfolio.equal_weights(r)
-    tails = models.rolling_gaussian(r, portfolio.portfolio_weights(r, t), FLAGSHIP_WINDOW)
-    f = models.as_forecasts("rolling-gaussian", 0, tails, schedule.forecast_schedule(portfolio.portfolio_path(r, t), FLAGSHIP_WINDOW))
-    return rounded(ev.coverage_tests(f))
+    tails = gaussian(spark, sf_dir, None, FLAGSHIP_GRAIN, FLAGSHIP_WINDOW)
+    f = models.as_forecasts("rolling-gaussian", 0, tails, schedule.forecast_schedule(path(spark, sf_dir, FLAGSHIP_GRAIN), FLAGSHIP_WINDOW))
+    return rounded(ev.coverage_tests(store.working_table(f, "flagship")))
 
 
 LV = ("confidence_level",)
@@ -99,16 +125,20 @@ def _tails(df):
 
 
 def _mc(spark, d, decay=None):
-    return simulation.monte_carlo(returns(spark, d), weights(spark, d), WINDOW, scenarios=SCENARIOS, seed=SEED, decay=decay)
+    return shared(f"mc-{'rolling' if decay is None else 'ewma'}", spark, d, lambda: simulation.monte_carlo_of(packed(spark, d, decay), scenarios=SCENARIOS, seed=SEED))
 
 
 def _dm(spark, d, lags=None):
     return ev.diebold_mariano(forecasts(spark, d), lags)
 
 
+#: Published comparisons: model and reference.
+PAIRS = (("ewma-gaussian", "rolling-gaussian"), ("filtered-historical", "rolling-gaussian"), ("filtered-historical", "ewma-gaussian"))
+
+
 def _inference(spark, d):
     means = ev.full_sample_scores(ev.period_scores(forecasts(spark, d), periods(spark, d)))
-    return rounded(ev.oriented_inference(_dm(spark, d), _dm(spark, d, 0), means, [("ewma-gaussian", "rolling-gaussian"), ("historical", "rolling-gaussian"), ("historical", "ewma-gaussian")]), 6)
+    return rounded(ev.oriented_inference(_dm(spark, d), _dm(spark, d, 0), means, PAIRS), 6)
 
 
 def _band(spark, d):
@@ -122,15 +152,28 @@ def _draws(spark, d):
     return spark.createDataFrame(rows, "pool_position int, draws long")
 
 
+def _last_date(spark, d):
+    """mu, cov and w of the last forecast date; None if there is none."""
+    last = packed(spark, d).orderBy(F.desc("forecast_date")).select("mu", "cov", "w").first()
+    return None if last is None else (np.asarray(last["mu"]), simulation.square(last["cov"], len(last["mu"])), np.asarray(last["w"]))
+
+
 def _histogram(spark, d):
     """Simulated losses of the last forecast date, as a density."""
-    dates = simulation.packed_dates(returns(spark, d), weights(spark, d), WINDOW, None)
-    last = dates.orderBy(F.desc("forecast_date")).select("mu", "cov", "w").first()  # one date's moments
-    schema = "left double, right double, density double"
-    if last is None:
-        return spark.createDataFrame([], schema)
-    mu, w = np.asarray(last["mu"]), np.asarray(last["w"])
-    return spark.createDataFrame(simulation.loss_histogram(mu, simulation.square(last["cov"], len(mu)), w, SCENARIOS, SEED), schema)
+    date = _last_date(spark, d)
+    return spark.createDataFrame([] if date is None else simulation.loss_histogram(*date, SCENARIOS, SEED), "left double, right double, density double")
+
+
+def _marks(spark, d):
+    """VaR and ES of the histogram's losses."""
+    date = _last_date(spark, d)
+    return spark.createDataFrame([] if date is None else simulation.loss_marks(*date, SCENARIOS, SEED), "level_bp int, value_at_risk double, expected_shortfall double")
+
+
+def _columns(spark, d, years=False):
+    """The periods of the data in order, as columns of a matrix: a row for each year and stress period."""
+    rows = periods(spark, d).select("period_id", "period_type").collect()
+    return sorted(r["period_id"] for r in rows if not years or r["period_type"] == "calendar_year")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -144,17 +187,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "return_diagnostics": lambda s, d: rounded(market.return_diagnostics(path(s, d), "portfolio_return"), coarse=("skewness", "excess_kurtosis")),
         "equal_weights": lambda s, d: rounded(targets(s, d, 0.1)),
         "portfolio_path": _path_query,
-        "portfolio_weights": lambda s, d: rounded(weights(s, d)),
+        "portfolio_weights": lambda s, d: rounded(weights(s, d).drop("asset_no")),
         "rebalance_summary": lambda s, d: rounded(portfolio.rebalance_summary(path(s, d)), 6),
         "forecast_schedule": lambda s, d: rounded(schedule.forecast_schedule(path(s, d), WINDOW)),
         "forecast_grid": lambda s, d: schedule.forecast_grid(schedule.forecast_schedule(path(s, d), WINDOW)).select("forecast_date", "level_bp", "confidence_level"),
-        "rolling_moments": lambda s, d: rounded(moments.rolling_means(returns(s, d), WINDOW), drop=("session_no",)),
+        "complete_segment_returns": lambda s, d: rounded(market.complete_returns(market.numbered(shared("segment-returns", s, d, lambda: market.drop_empty_sessions(market.simple_returns(market.on_all_sessions(panel.segment_prices(s, d)))))))),
+        "rolling_moments": lambda s, d: rounded(means(s, d), drop=("session_no",)),
         "rolling_covariance": lambda s, d: rounded(moments.rolling_covariance(returns(s, d), WINDOW), drop=("session_no",)),
-        "ewma_covariance": lambda s, d: rounded(moments.ewma_covariance(returns(s, d), WINDOW, DECAY), drop=("session_no",)),
-        "portfolio_moments": lambda s, d: rounded(moments.portfolio_moments(moments.rolling_means(returns(s, d), WINDOW), moments.rolling_covariance(returns(s, d), WINDOW), models.numbered_weights(returns(s, d), weights(s, d)))),
+        "ewma_covariance": lambda s, d: rounded(moments.ewma_covariance(returns(s, d), WINDOW, DECAY, means(s, d)), drop=("session_no",)),
+        "portfolio_moments": lambda s, d: rounded(moments.moments_of(packed(s, d))),
         "rolling_gaussian_univariate": lambda s, d: rounded(models.rolling_gaussian_univariate(path(s, d), WINDOW), drop=LV),
-        "rolling_gaussian_multivariate": lambda s, d: _tails(models.rolling_gaussian(returns(s, d), weights(s, d), WINDOW)),
-        "ewma_gaussian": lambda s, d: _tails(models.ewma_gaussian(returns(s, d), weights(s, d), WINDOW, DECAY)),
+        "rolling_gaussian_multivariate": lambda s, d: _tails(gaussian(s, d)),
+        "ewma_gaussian": lambda s, d: _tails(gaussian(s, d, DECAY)),
         "historical_simulation": lambda s, d: _tails(models.historical_simulation(path(s, d), WINDOW)),
         "forecasts": lambda s, d: rounded(f(s, d), drop=(*NO, "realized_return")),
         "var_exceedances": lambda s, d: rounded(ev.exceedance_counts(f(s, d)), drop=LV),
@@ -168,7 +212,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "exceedance_transitions": lambda s, d: ev.transitions(f(s, d)).drop(*LV),
         "coverage_likelihood_ratios": lambda s, d: rounded(ev.coverage_tests(f(s, d)).select(*ev.KEY[:3], "lr_unconditional", "lr_independence", "lr_conditional", "p_conditional", "reject_conditional"), coarse=("lr_unconditional", "lr_independence", "lr_conditional")),
         "coverage_holm": lambda s, d: rounded(ev.coverage_report(f(s, d)).select(*ev.KEY[:3], "holm_p_value", "holm_reject")),
-        "coverage_report": lambda s, d: rounded(ev.with_interval(ev.coverage_report(f(s, d)))),
+        "coverage_report": lambda s, d: rounded(ev.with_interval(ev.coverage_report(f(s, d))), coarse=("lr_unconditional", "lr_independence", "lr_conditional")),
         "var_es_calibration": lambda s, d: rounded(ev.calibration_report(f(s, d)).select(*ev.KEY[:3], "observation_count", "bandwidth", "mean", "long_run_variance", "standard_error", "statistic"), 6),
         "calibration_report": lambda s, d: rounded(ev.calibration_report(f(s, d)), 6),
         "diebold_mariano": lambda s, d: rounded(_dm(s, d).select("score_name", "level_bp", "model_a", "model_b", "observation_count", "bandwidth", "mean", "standard_error", "statistic"), 6),
@@ -183,20 +227,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "subperiod_calibration": lambda s, d: rounded(ev.period_calibration(f(s, d), periods(s, d)), 6, drop=LV),
         "subperiod_scores": lambda s, d: rounded(ev.period_scores(f(s, d), periods(s, d)), coarse=("mean_fz0_loss",), drop=LV),
         "first_place_counts": lambda s, d: ev.first_places(ev.period_scores(f(s, d), periods(s, d))).drop("model_no"),
-        "rank_matrix": lambda s, d: ev.rank_matrix(ev.period_scores(f(s, d), periods(s, d)), YEARS).drop("model_no"),
-        "exception_rate_matrix": lambda s, d: rounded(ev.exception_matrix(ev.period_coverage(f(s, d), periods(s, d)), (*YEARS, STRESS[0])).drop("model_no")),
+        "rank_matrix": lambda s, d: ev.rank_matrix(ev.period_scores(f(s, d), periods(s, d)), _columns(s, d, True)).drop("model_no"),
+        "exception_rate_matrix": lambda s, d: rounded(ev.exception_matrix(ev.period_coverage(f(s, d), periods(s, d)), _columns(s, d)).drop("model_no")),
         "rank_by_period": lambda s, d: ev.long_ranks(ev.period_scores(f(s, d), periods(s, d))).select("score_name", "level_bp", "model", "period_id", "rank"),
         "exception_rate_by_period": lambda s, d: rounded(ev.exception_gaps(ev.period_coverage(f(s, d), periods(s, d)))),
         "full_sample_scores": lambda s, d: rounded(ev.full_sample_scores(ev.period_scores(f(s, d), periods(s, d))), coarse=("mean_fz0_loss",), drop=LV),
         "binomial_reference_band": _band,
         "fhs_multiplicity": _draws,
         "loss_histogram": _histogram,
+        "loss_marks": _marks,
         "gaussian_mc": lambda s, d: rounded(_mc(s, d)),
         "ewma_mc": lambda s, d: rounded(_mc(s, d, DECAY)),
-        "mc_error_summary": lambda s, d: rounded(simulation.simulation_errors(models.rolling_gaussian(returns(s, d), weights(s, d), WINDOW), _mc(s, d)), 4),
-        "standardized_residuals": lambda s, d: simulation.residual_table(returns(s, d), weights(s, d), WINDOW, DECAY).select("residual_date", F.transform("z", lambda x: F.round(x, 8)).alias("z")),
-        "residual_pool_window": lambda s, d: simulation.residual_pools(simulation.residual_table(returns(s, d), weights(s, d), WINDOW, DECAY), WINDOW).select("forecast_date", F.size("pool").alias("pool_size")),
-        "fhs_forecasts": lambda s, d: rounded(simulation.filtered_historical(returns(s, d), weights(s, d), WINDOW, decay=DECAY, scenarios=SCENARIOS, seed=SEED)),
+        "mc_error_summary": lambda s, d: rounded(simulation.simulation_errors(gaussian(s, d), _mc(s, d)), 4),
+        "standardized_residuals": lambda s, d: rounded(residuals(s, d).select("residual_date", F.posexplode("z").alias("asset_no", "z"))),
+        "residual_pool_window": lambda s, d: simulation.residual_pools(residuals(s, d), WINDOW),
+        "fhs_forecasts": lambda s, d: rounded(fhs(s, d)),
     }
 
 

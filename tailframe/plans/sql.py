@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from tailframe.functions.special import normal_point
+from tailframe.operators.kernels import multiplicity
 from tailframe.operators.schedule import LEVELS
 
+#: The catalogue's simulations: scenarios of each date, and their seed.
+SCENARIOS, SEED = 100_000, 20261002
 WINDOW, DECAY, STRESS = 504, 0.94, ("stress_1998", "early 1998", "1998-02-01", "1998-04-30")
 
 
@@ -12,10 +15,47 @@ def r(expression: str, digits: int = 8) -> str:
     return f"round({expression}, {digits}) + 0.0"
 
 
+def erfc(x: str) -> str:
+    """1 - erf by the series exp(-x^2) sum of x^(2k+1) / gamma(k + 3/2), for x >= 0: not the approximation that the engine uses."""
+    terms = f"list_sum(list_transform(range(0, 180), lambda k: exp((2 * k + 1) * ln({x}) - lgamma(k + 1.5))))"
+    return f"CASE WHEN {x} = 0 THEN 1.0 WHEN {x} > 6.5 THEN 0.0 ELSE 1 - exp(-({x}) * ({x})) * {terms} END"
+
+
+def two_sided(z: str) -> str:
+    return erfc(f"(abs({z}) / sqrt(2.0))")
+
+
+def holm(p: str, order: str, family: str = "") -> str:
+    """The step-down adjusted value as a window expression over a column ``step``, and that step."""
+    part = f"PARTITION BY {family} " if family else ""
+    return f"least(1.0, max(step) OVER ({part}ORDER BY {p}, {order}))"
+
+
+def holm_step(p: str, order: str, family: str = "") -> str:
+    part = f"PARTITION BY {family} " if family else ""
+    return f"{p} * (count(*) OVER ({part.strip()}) - row_number() OVER ({part}ORDER BY {p}, {order}) + 1)"
+
+
+def intervals(pairs: str) -> str:
+    """CTEs: ``bi`` (x, n, low, high), exact binomial intervals of the distinct pairs of a relation, by bisection."""
+    tail = lambda x, p: f"coalesce(list_sum(list_transform(range({x}, n + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({p}) + (n - k) * ln(1 - {p})))), 0.0)"
+    return f"""
+b0 AS (SELECT DISTINCT CAST(x AS BIGINT) AS x, CAST(n AS BIGINT) AS n FROM {pairs}),
+b1 AS (SELECT x, n, 0 AS step, CAST(0 AS DOUBLE) AS a0, CAST(1 AS DOUBLE) AS a1, CAST(0 AS DOUBLE) AS c0, CAST(1 AS DOUBLE) AS c1 FROM b0 UNION ALL
+  SELECT x, n, step + 1, CASE WHEN under THEN am ELSE a0 END, CASE WHEN under THEN a1 ELSE am END, CASE WHEN above THEN cm ELSE c0 END, CASE WHEN above THEN c1 ELSE cm END
+  FROM (SELECT *, {tail('x', 'am')} < 0.025 AS under, 1 - {tail('x + 1', 'cm')} > 0.025 AS above FROM (SELECT *, (a0 + a1) / 2 AS am, (c0 + c1) / 2 AS cm FROM b1 WHERE step < 45))),
+bi AS (SELECT x, n, CASE WHEN x = 0 THEN 0.0 ELSE (a0 + a1) / 2 END AS low, CASE WHEN x = n THEN 1.0 ELSE (c0 + c1) / 2 END AS high FROM b1 WHERE step = 45)"""
+
+
 def level_values() -> str:
     return ", ".join(f"({round(x * 10000)}, CAST({x!r} AS DOUBLE), CAST({normal_point(x)[0]!r} AS DOUBLE), CAST({normal_point(x)[1]!r} AS DOUBLE))" for x in LEVELS)
 
 
+def draw_values() -> str:
+    """How often each position of the pool is drawn: the seeded generator's numbers, as the engine counts them."""
+    return ", ".join(f"({p}, {int(n)})" for p, n in enumerate(multiplicity(WINDOW, SCENARIOS, SEED)))
+
+
 PRIOR = f"ROWS BETWEEN {WINDOW} PRECEDING AND 1 PRECEDING"
 BASE = f"""
 px AS (SELECT CAST(l_shipdate AS DATE) AS session_date, l_returnflag AS asset,
@@ -27,13 +67,13 @@ n AS (SELECT count(DISTINCT asset) AS n FROM ret),
 dy AS (SELECT session_date, lead(session_date) OVER (ORDER BY session_date) AS nx FROM (SELECT DISTINCT session_date FROM ret)),
 rb AS (SELECT session_date, nx IS NOT NULL AND date_trunc('month', session_date) <> date_trunc('month', nx) AS reb FROM dy),
 bl AS (SELECT *, coalesce(sum(CAST(reb AS INTEGER)) OVER (ORDER BY session_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS block FROM rb),
-ap AS (SELECT ret.*, reb, block, 1.0 / n AS weight, product(1 + ret) OVER (PARTITION BY asset, block ORDER BY session_date) AS after,
+ap AS MATERIALIZED (SELECT ret.*, reb, block, 1.0 / n AS weight, product(1 + ret) OVER (PARTITION BY asset, block ORDER BY session_date) AS after,
   coalesce(product(1 + ret) OVER (PARTITION BY asset, block ORDER BY session_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) AS before FROM ret JOIN bl USING (session_date), n),
-bg AS (SELECT session_date, block, reb, sum(weight * before) + (1 - sum(weight)) AS g0, sum(weight * after) + (1 - sum(weight)) AS g1 FROM ap GROUP BY 1, 2, 3),
+bg AS MATERIALIZED (SELECT session_date, block, reb, sum(weight * before) + (1 - sum(weight)) AS g0, sum(weight * after) + (1 - sum(weight)) AS g1 FROM ap GROUP BY 1, 2, 3),
 be AS (SELECT block, coalesce(product(grown) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) AS base FROM (SELECT block, arg_max(g1, session_date) AS grown FROM bg GROUP BY 1)),
 tu AS (SELECT session_date, sum(abs(weight - weight * after / g1)) / 2 AS moved FROM ap JOIN bg USING (session_date) GROUP BY 1),
-pa AS (SELECT session_date, 1e6 * base * g0 AS beginning_value, 1e6 * base * g1 AS ending_value, g1 / g0 - 1 AS portfolio_return, reb, CASE WHEN reb THEN moved ELSE 0.0 END AS turnover FROM bg JOIN be USING (block) JOIN tu USING (session_date)),
-wt AS (SELECT session_date, asset, asset_no, weight * before / g0 AS bw, weight * after / g1 AS pw FROM ap JOIN bg USING (session_date)),
+pa AS MATERIALIZED (SELECT session_date, 1e6 * base * g0 AS beginning_value, 1e6 * base * g1 AS ending_value, g1 / g0 - 1 AS portfolio_return, reb, CASE WHEN reb THEN moved ELSE 0.0 END AS turnover FROM bg JOIN be USING (block) JOIN tu USING (session_date)),
+wt AS MATERIALIZED (SELECT session_date, asset, asset_no, weight * before / g0 AS bw, weight * after / g1 AS pw FROM ap JOIN bg USING (session_date)),
 sc AS (SELECT * FROM (SELECT session_date AS forecast_date, lag(session_date, {WINDOW}) OVER w AS estimation_start_date, lag(session_date, 1) OVER w AS estimation_end_date, portfolio_return AS realized_return, -portfolio_return AS realized_loss FROM pa WINDOW w AS (ORDER BY session_date)) WHERE estimation_start_date IS NOT NULL),
 lv(level_bp, confidence_level, z, phi) AS (VALUES {level_values()}),
 um AS (SELECT session_date AS forecast_date, avg(portfolio_return) OVER w AS mean_return, stddev_samp(portfolio_return) OVER w AS volatility, count(*) OVER w AS c FROM pa WINDOW w AS (ORDER BY session_date {PRIOR})),
@@ -50,16 +90,35 @@ hl AS (SELECT * FROM (SELECT session_date AS forecast_date, list(-portfolio_retu
 hv AS (SELECT forecast_date, level_bp, confidence_level, losses, list_sort(losses) AS s, ({WINDOW} - 1) * confidence_level AS spot FROM hl, lv),
 hq AS (SELECT *, s[CAST(floor(spot) AS INTEGER) + 1] + (s[CAST(floor(spot) AS INTEGER) + 2] - s[CAST(floor(spot) AS INTEGER) + 1]) * (spot - floor(spot)) AS var FROM hv),
 hs AS (SELECT forecast_date, level_bp, confidence_level, var AS value_at_risk, list_avg(list_filter(losses, lambda x: x >= var)) AS expected_shortfall FROM hq),
+c6 AS (SELECT session_no, max(cov) FILTER (i = 0 AND j = 0) AS c00, max(cov) FILTER (i = 0 AND j = 1) AS c01, max(cov) FILTER (i = 0 AND j = 2) AS c02, max(cov) FILTER (i = 1 AND j = 1) AS c11, max(cov) FILTER (i = 1 AND j = 2) AS c12, max(cov) FILTER (i = 2 AND j = 2) AS c22 FROM ew GROUP BY 1),
+f1 AS (SELECT *, sqrt(c00) AS l00, c01 / sqrt(c00) AS l10, c02 / sqrt(c00) AS l20 FROM c6),
+f2 AS (SELECT *, sqrt(c11 - l10 * l10) AS l11, (c12 - l20 * l10) / sqrt(c11 - l10 * l10) AS l21 FROM f1),
+fc AS (SELECT session_no, l00, l10, l20, l11, l21, sqrt(c22 - l20 * l20 - l21 * l21) AS l22 FROM f2),
+in0 AS (SELECT session_no, session_no AS law, asset_no, u FROM mu UNION ALL SELECT ret.session_no, {WINDOW}, ret.asset_no, ret.ret - mu.mu FROM ret JOIN mu ON mu.session_no = {WINDOW} AND mu.asset_no = ret.asset_no WHERE ret.session_no < {WINDOW}),
+in3 AS (SELECT session_no, law, max(u) FILTER (asset_no = 0) AS u0, max(u) FILTER (asset_no = 1) AS u1, max(u) FILTER (asset_no = 2) AS u2 FROM in0 GROUP BY 1, 2),
+z1 AS (SELECT in3.session_no, u1, u2, l10, l20, l11, l21, l22, u0 / l00 AS z0 FROM in3 JOIN fc ON fc.session_no = law),
+z2 AS (SELECT *, (u1 - l10 * z0) / l11 AS z1 FROM z1),
+zz AS MATERIALIZED (SELECT session_no, z0, z1, (u2 - l20 * z0 - l21 * z1) / l22 AS z2 FROM z2),
+w3 AS (SELECT mu.session_no, mu.forecast_date, sum(bw * mu) AS m, max(bw) FILTER (mu.asset_no = 0) AS w0, max(bw) FILTER (mu.asset_no = 1) AS w1, max(bw) FILTER (mu.asset_no = 2) AS w2 FROM mu JOIN wt ON session_date = forecast_date AND wt.asset_no = mu.asset_no GROUP BY 1, 2),
+pull AS (SELECT session_no, forecast_date, m, l00 * w0 + l10 * w1 + l20 * w2 AS a0, l11 * w1 + l21 * w2 AS a1, l22 * w2 AS a2 FROM w3 JOIN fc USING (session_no)),
+dr0(p, times) AS (VALUES {draw_values()}),
+fl AS MATERIALIZED (SELECT forecast_date, p, times, -(m + z0 * a0 + z1 * a1 + z2 * a2) AS loss FROM pull, dr0 JOIN zz ON zz.session_no = pull.session_no - {WINDOW} + p),
+fo AS (SELECT *, sum(times) OVER (PARTITION BY forecast_date ORDER BY loss, p) AS upto FROM fl),
+fq AS (SELECT forecast_date, level_bp, confidence_level, ({SCENARIOS} - 1) * confidence_level AS spot, min(loss) FILTER (upto > floor(({SCENARIOS} - 1) * confidence_level)) AS qa, min(loss) FILTER (upto > least(floor(({SCENARIOS} - 1) * confidence_level) + 1, {SCENARIOS} - 1)) AS qb FROM fo, lv GROUP BY ALL),
+fv AS (SELECT forecast_date, level_bp, confidence_level, CASE WHEN qa = qb THEN qa ELSE qa + (qb - qa) * (spot - floor(spot)) END AS var FROM fq),
+fs AS (SELECT forecast_date, level_bp, confidence_level, var AS value_at_risk, sum(loss * times) FILTER (loss >= var) / sum(times) FILTER (loss >= var) AS expected_shortfall, CAST(sum(times) FILTER (loss >= var) AS BIGINT) AS tail_scenario_count FROM fv JOIN fl USING (forecast_date) GROUP BY 1, 2, 3, 4),
 gt AS (SELECT 'rolling-gaussian' AS model, 0 AS model_no, forecast_date, mean_return, sqrt(variance) AS vol FROM pm JOIN rv USING (forecast_date) UNION ALL
   SELECT 'ewma-gaussian', 1, forecast_date, mean_return, sqrt(variance) FROM pm JOIN ev USING (forecast_date)),
 tl AS (SELECT model, model_no, forecast_date, level_bp, confidence_level, -mean_return + vol * z AS value_at_risk, -mean_return + vol * phi / (1 - confidence_level) AS expected_shortfall FROM gt, lv UNION ALL
-  SELECT 'historical', 2, forecast_date, level_bp, confidence_level, value_at_risk, expected_shortfall FROM hs),
-f AS (SELECT tl.*, estimation_start_date, estimation_end_date, realized_return, realized_loss, realized_loss > value_at_risk AS hit FROM tl JOIN sc USING (forecast_date)),
+  SELECT 'filtered-historical', 2, forecast_date, level_bp, confidence_level, value_at_risk, expected_shortfall FROM fs),
+f AS MATERIALIZED (SELECT tl.*, estimation_start_date, estimation_end_date, realized_return, realized_loss, realized_loss > value_at_risk AS hit FROM tl JOIN sc USING (forecast_date)),
 s AS (SELECT *, CASE WHEN hit THEN confidence_level ELSE 1.0 - confidence_level END * abs(realized_loss - value_at_risk) AS ql,
   CASE WHEN hit THEN (realized_loss - value_at_risk) / ((1.0 - confidence_level) * expected_shortfall) ELSE 0.0 END + value_at_risk / expected_shortfall + ln(expected_shortfall) - 1 AS fz,
   value_at_risk + CASE WHEN hit THEN (realized_loss - value_at_risk) / (1.0 - confidence_level) ELSE 0.0 END - expected_shortfall AS id FROM f)
 """
 KEY = "model, model_no, level_bp"
+#: Calendar years of the test data's forecasts: a second engine's matrix needs its columns named; the query takes them from the data.
+YEARS = tuple(f"year_{y}" for y in range(1996, 2002))
 COUNTS = f"ec AS (SELECT {KEY}, confidence_level, count(*) AS n, count(*) FILTER (hit) AS x FROM f GROUP BY ALL)"
 TRANS = f"""tr AS (SELECT {KEY}, count(*) FILTER (NOT a AND NOT hit) AS n00, count(*) FILTER (NOT a AND hit) AS n01, count(*) FILTER (a AND NOT hit) AS n10, count(*) FILTER (a AND hit) AS n11
   FROM (SELECT *, lag(hit) OVER (PARTITION BY model, level_bp ORDER BY forecast_date) AS a FROM f) GROUP BY ALL)"""
@@ -75,13 +134,14 @@ LR = f"""lr AS (SELECT *, greatest(0.0, -2 * ({ll('x', '(n - x)', '(1.0 - confid
   FROM ec JOIN tr USING (model, model_no, level_bp))"""
 
 
-def newey_west(rows: str, keys: str) -> str:
-    """CTEs nw_* over a relation ``rows`` (keys, forecast_date, v)."""
+def newey_west(rows: str, keys: str, lags: str = "", to: str = "nw") -> str:
+    """CTEs over a relation ``rows`` (keys, forecast_date, v), the last of them called ``to``; the bandwidth is ``lags`` if given."""
+    lags = lags or "floor(4 * pow(n / 100.0, 2.0 / 9.0))"
     return f"""
-nw0 AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY forecast_date) AS t, count(*) OVER (PARTITION BY {keys}) AS n, avg(v) OVER (PARTITION BY {keys}) AS m FROM {rows}),
-nw1 AS (SELECT *, v - m AS d, CAST(least(n - 1, floor(4 * pow(n / 100.0, 2.0 / 9.0))) AS BIGINT) AS k_max FROM nw0),
-nw2 AS (SELECT a.*, k, b.d AS e FROM nw1 a, LATERAL (SELECT unnest(range(0, a.k_max + 1)) AS k) JOIN nw1 b ON {' AND '.join(f'a.{k.strip()} = b.{k.strip()}' for k in keys.split(','))} AND b.t = a.t - k),
-nw AS (SELECT {keys}, any_value(n) AS n, any_value(k_max) AS k_max, any_value(m) AS m, greatest(0.0, sum(CASE WHEN k = 0 THEN 1.0 ELSE 2.0 * (1 - k / (k_max + 1.0)) END * d * e / n)) AS omega FROM nw2 GROUP BY {keys})"""
+{to}0 AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY forecast_date) AS t, count(*) OVER (PARTITION BY {keys}) AS n, avg(v) OVER (PARTITION BY {keys}) AS m FROM {rows}),
+{to}1 AS (SELECT *, v - m AS d, CAST(least(n - 1, {lags}) AS BIGINT) AS k_max FROM {to}0),
+{to}2 AS (SELECT a.*, k, b.d AS e FROM {to}1 a, LATERAL (SELECT unnest(range(0, a.k_max + 1)) AS k) JOIN {to}1 b ON {' AND '.join(f'a.{k.strip()} = b.{k.strip()}' for k in keys.split(','))} AND b.t = a.t - k),
+{to} AS (SELECT {keys}, any_value(n) AS n, any_value(k_max) AS k_max, any_value(m) AS m, greatest(0.0, sum(CASE WHEN k = 0 THEN 1.0 ELSE 2.0 * (1 - k / (k_max + 1.0)) END * d * e / n)) AS omega FROM {to}2 GROUP BY {keys})"""
 
 
 PERIODS = f"""
@@ -105,7 +165,16 @@ def severity(key: str, rows: str) -> str:
 
 DM_ROWS = """
 sl AS (SELECT 'quantile_loss' AS score_name, model, model_no, level_bp, forecast_date, ql AS s FROM s UNION ALL SELECT 'fz0_loss', model, model_no, level_bp, forecast_date, fz FROM s),
-dr AS (SELECT a.score_name, a.level_bp, a.model AS model_a, b.model AS model_b, a.forecast_date, a.s - b.s AS v FROM sl a JOIN sl b ON a.score_name = b.score_name AND a.level_bp = b.level_bp AND a.forecast_date = b.forecast_date AND a.model_no < b.model_no)"""
+dr AS (SELECT a.score_name, a.level_bp, a.model AS model_a, b.model AS model_b, a.model_no AS a, b.model_no AS b, CASE a.score_name WHEN 'quantile_loss' THEN 0 ELSE 1 END AS score_no, a.forecast_date, a.s - b.s AS v FROM sl a JOIN sl b ON a.score_name = b.score_name AND a.level_bp = b.level_bp AND a.forecast_date = b.forecast_date AND a.model_no < b.model_no)"""
+DM_KEY = "score_no, score_name, level_bp, a, b, model_a, model_b"
+
+
+def tested(source: str, to: str) -> str:
+    """CTE ``to``: the statistics of ``source`` with their p-values and the adjusted ones, by score."""
+    order = "level_bp, a, b"
+    return f"""{to} AS (SELECT *, {holm('p', order, 'score_name')} AS hp FROM (SELECT *, {holm_step('p', order, 'score_name')} AS step FROM (SELECT *, {two_sided('st')} AS p FROM (SELECT *, sqrt(omega / n) AS se, m / sqrt(omega / n) AS st FROM {source}))))"""
+
+
 TRAFFIC = f"""
 tp AS (SELECT * FROM (SELECT model, model_no, forecast_date, first_value(forecast_date) OVER w AS window_start_date, count(*) OVER w AS c, CAST(sum(CAST(hit AS INTEGER)) OVER w AS BIGINT) AS exception_count FROM f WHERE level_bp = 9900
   WINDOW w AS (PARTITION BY model ORDER BY forecast_date ROWS BETWEEN 249 PRECEDING AND CURRENT ROW)) WHERE c = 250),
@@ -134,7 +203,8 @@ ORACLES = {
     "ewma_covariance": sql(f"SELECT forecast_date, i, j, {r('cov')} AS cov FROM ed"),
     "portfolio_moments": sql(f"SELECT forecast_date, {r('mean_return')} AS mean_return, {r('variance')} AS variance, {r('sqrt(variance)')} AS volatility FROM pm JOIN rv USING (forecast_date)"),
     "rolling_gaussian_univariate": sql(f"SELECT forecast_date, level_bp, {r('mean_return')} AS mean_return, {r('volatility')} AS volatility, {r('-mean_return + volatility * z')} AS value_at_risk, {r('-mean_return + volatility * phi / (1 - confidence_level)')} AS expected_shortfall FROM um, lv WHERE c = {WINDOW}"),
-    **{name: sql(f"SELECT forecast_date, level_bp, {r('value_at_risk')} AS value_at_risk, {r('expected_shortfall')} AS expected_shortfall FROM tl WHERE model_no = {no}") for name, no in (("rolling_gaussian_multivariate", 0), ("ewma_gaussian", 1), ("historical_simulation", 2))},
+    **{name: sql(f"SELECT forecast_date, level_bp, {r('value_at_risk')} AS value_at_risk, {r('expected_shortfall')} AS expected_shortfall FROM tl WHERE model_no = {no}") for name, no in (("rolling_gaussian_multivariate", 0), ("ewma_gaussian", 1))},
+    "historical_simulation": sql(f"SELECT forecast_date, level_bp, {r('value_at_risk')} AS value_at_risk, {r('expected_shortfall')} AS expected_shortfall FROM hs"),
     "forecasts": sql(f"SELECT model, forecast_date, level_bp, estimation_start_date, estimation_end_date, {r('realized_loss')} AS realized_loss, {r('value_at_risk')} AS value_at_risk, {r('expected_shortfall')} AS expected_shortfall, hit AS var_exceedance FROM f"),
     "var_exceedances": sql(f"SELECT {KEY}, n AS observation_count, x AS observed_count, {r('1.0 - confidence_level')} AS expected_rate, {r('x / n')} AS observed_rate, {r('(1.0 - confidence_level) * n')} AS expected_count, {r('x - (1.0 - confidence_level) * n')} AS count_difference FROM ec", COUNTS),
     "es_tail_severity": sql(severity(KEY, "f")),
@@ -159,7 +229,46 @@ ORACLES = {
     "subperiod_calibration": sql(f"SELECT period_id, {KEY}, count(*) AS observation_count, {r('avg(id)', 6)} AS mean_identification FROM sp GROUP BY period_id, {KEY}", PERIODS),
     "subperiod_scores": sql(f"SELECT period_id, {KEY}, n AS observation_count, {r('ql')} AS mean_quantile_loss, {r('fz', 6)} AS mean_fz0_loss, rq AS quantile_loss_rank, rf AS fz0_loss_rank FROM pk", PERIODS),
     "first_place_counts": sql("SELECT score_name, level_bp, model, count(*) FILTER (k = 1) AS first_places FROM (SELECT 'quantile_loss' AS score_name, level_bp, model, rq AS k FROM pk WHERE starts_with(period_id, 'year_') UNION ALL SELECT 'fz0_loss', level_bp, model, rf FROM pk WHERE starts_with(period_id, 'year_')) GROUP BY ALL", PERIODS),
-    "exception_rate_matrix": sql("SELECT level_bp, model, " + ", ".join(r(f"max(g) FILTER (period_id = '{p}')") + f" AS {p}" for p in ("year_1997", "year_1998", "year_1999", "year_2000", STRESS[0])) + f" FROM (SELECT period_id, {KEY}, count(*) FILTER (hit) / count(*) - (1.0 - confidence_level) AS g FROM sp GROUP BY period_id, {KEY}, confidence_level) GROUP BY ALL", PERIODS),
+    "exception_rate_matrix": sql("SELECT level_bp, model, " + ", ".join(r(f"max(g) FILTER (period_id = '{p}')") + f" AS {p}" for p in (*YEARS, STRESS[0])) + f" FROM (SELECT period_id, {KEY}, count(*) FILTER (hit) / count(*) - (1.0 - confidence_level) AS g FROM sp GROUP BY period_id, {KEY}, confidence_level) GROUP BY ALL", PERIODS),
     "full_sample_scores": sql(f"SELECT {KEY}, CAST(sum(n) AS BIGINT) AS observation_count, {r('sum(n * ql) / sum(n)')} AS mean_quantile_loss, {r('sum(n * fz) / sum(n)', 6)} AS mean_fz0_loss FROM ps WHERE starts_with(period_id, 'year_') GROUP BY {KEY}", PERIODS),
-    "rank_matrix": sql("SELECT score_name, level_bp, model, " + ", ".join(f"max(k) FILTER (period_id = '{p}') AS {p}" for p in ("year_1997", "year_1998", "year_1999", "year_2000")) + " FROM (SELECT 'quantile_loss' AS score_name, level_bp, model, period_id, rq AS k FROM pk UNION ALL SELECT 'fz0_loss', level_bp, model, period_id, rf FROM pk) GROUP BY ALL", PERIODS),
+    "rank_matrix": sql("SELECT score_name, level_bp, model, " + ", ".join(f"max(k) FILTER (period_id = '{p}') AS {p}" for p in YEARS) + " FROM (SELECT 'quantile_loss' AS score_name, level_bp, model, period_id, rq AS k FROM pk UNION ALL SELECT 'fz0_loss', level_bp, model, period_id, rf FROM pk) GROUP BY ALL", PERIODS),
+    "exact_binomial_interval": sql(f"""SELECT {KEY}, confidence_level, n AS observation_count, x AS observed_count, {r('1.0 - confidence_level')} AS expected_rate, {r('x / n')} AS observed_rate, {r('(1.0 - confidence_level) * n')} AS expected_count,
+      {r('x - (1.0 - confidence_level) * n')} AS count_difference, {r('low')} AS rate_lower, {r('high')} AS rate_upper FROM ec JOIN bi USING (x, n)""", COUNTS, intervals("ec")),
+    "coverage_report": sql(f"""SELECT {KEY}, confidence_level, n AS observation_count, x AS observed_count, {r('1.0 - confidence_level')} AS expected_rate, {r('x / n')} AS observed_rate, {r('(1.0 - confidence_level) * n')} AS expected_count, {r('x - (1.0 - confidence_level) * n')} AS count_difference,
+      n00, n01, n10, n11, {r('uc', 6)} AS lr_unconditional, {r('ind', 6)} AS lr_independence, {r('uc + ind', 6)} AS lr_conditional, {r('(n01 + n11) / (n00 + n01 + n10 + n11)')} AS transition_rate, {r('CASE WHEN n00 + n01 > 0 THEN n01 / (n00 + n01) END')} AS rate_after_normal,
+      {r('CASE WHEN n10 + n11 > 0 THEN n11 / (n10 + n11) END')} AS rate_after_exceedance, {r('pu')} AS p_unconditional, {r('pi')} AS p_independence, {r('pc')} AS p_conditional, pu < 0.05 AS reject_unconditional, pi < 0.05 AS reject_independence, pc < 0.05 AS reject_conditional,
+      {r(holm('pc', 'model_no, level_bp'))} AS holm_p_value, {holm('pc', 'model_no, level_bp')} < 0.05 AS holm_reject, {r('low')} AS rate_lower, {r('high')} AS rate_upper
+      FROM (SELECT *, {holm_step('pc', 'model_no, level_bp')} AS step FROM (SELECT *, {erfc('sqrt(uc / 2)')} AS pu, {erfc('sqrt(ind / 2)')} AS pi, exp(-(uc + ind) / 2) AS pc FROM lr)) JOIN bi USING (x, n)""", COUNTS, TRANS, LR, intervals("ec")),
+    "calibration_report": sql(f"""SELECT {KEY}, confidence_level, n AS observation_count, k_max AS bandwidth, {r('m', 6)} AS mean, {r('omega', 6)} AS long_run_variance, {r('se', 6)} AS standard_error, {r('st', 6)} AS statistic, {r('p', 6)} AS p_value, p < 0.05 AS reject,
+      {r(holm('p', 'model_no, level_bp'), 6)} AS holm_p_value, {holm('p', 'model_no, level_bp')} < 0.05 AS holm_reject
+      FROM (SELECT *, {holm_step('p', 'model_no, level_bp')} AS step FROM (SELECT *, {two_sided('st')} AS p FROM (SELECT *, sqrt(omega / n) AS se, m / sqrt(omega / n) AS st FROM nw))) JOIN lv USING (level_bp)""", f"ci AS (SELECT {KEY}, forecast_date, id AS v FROM s)", newey_west("ci", KEY)),
+    "dm_report": sql(f"""SELECT score_no, score_name, level_bp, confidence_level, a, b, model_a, model_b, n AS observation_count, k_max AS bandwidth, {r('m', 6)} AS mean, {r('omega', 6)} AS long_run_variance, {r('se', 6)} AS standard_error, {r('st', 6)} AS statistic, {r('p', 6)} AS p_value, p < 0.05 AS reject,
+      {r('hp', 6)} AS holm_p_value, hp < 0.05 AS holm_reject FROM da JOIN lv USING (level_bp)""", DM_ROWS, newey_west("dr", DM_KEY), tested("nw", "da")),
+    "oriented_inference": sql(f"""SELECT score_name, level_bp, pair_no, model, reference, {r('mm', 6)} AS model_mean, {r('rm', 6)} AS reference_mean, {r('g', 6)} AS mean_difference, {r("CASE WHEN score_name = 'quantile_loss' THEN 100 * g / rm END", 6)} AS percent_difference, {r('t * st', 6)} AS statistic,
+      {r('p', 6)} AS p_value, {r('hp', 6)} AS holm_p_value, hp < 0.05 AS holm_reject, CASE WHEN g < 0 THEN model WHEN g > 0 THEN reference END AS lower_score_model, {r('t * st0', 6)} AS plain_statistic, {r('hp0', 6)} AS plain_holm_p_value, hp0 < 0.05 AS plain_reject,
+      (hp < 0.05) <> (hp0 < 0.05) AS decision_changed, CASE WHEN hp < 0.001 THEN '<0.001' ELSE printf('%.3f', hp) END AS p_label
+      FROM (SELECT da.*, st0, hp0, pair_no, wanted.model, wanted.reference, fa.s AS mm, fb.s AS rm, CASE WHEN model_a = wanted.model THEN 1.0 ELSE -1.0 END AS t, CASE WHEN model_a = wanted.model THEN 1.0 ELSE -1.0 END * da.m AS g
+        FROM da JOIN (SELECT score_name, level_bp, a, b, st AS st0, hp AS hp0 FROM dz) USING (score_name, level_bp, a, b) JOIN wanted ON (model_a = wanted.model AND model_b = wanted.reference) OR (model_a = wanted.reference AND model_b = wanted.model)
+        JOIN fm fa ON fa.model = wanted.model AND fa.level_bp = da.level_bp AND fa.score_name = da.score_name JOIN fm fb ON fb.model = wanted.reference AND fb.level_bp = da.level_bp AND fb.score_name = da.score_name)""",
+      PERIODS, DM_ROWS, newey_west("dr", DM_KEY), tested("nw", "da"), newey_west("dr", DM_KEY, "0", "nz"), tested("nz", "dz"),
+      "wanted(pair_no, model, reference) AS (VALUES (0, 'ewma-gaussian', 'rolling-gaussian'), (1, 'filtered-historical', 'rolling-gaussian'), (2, 'filtered-historical', 'ewma-gaussian'))",
+      "fm AS (SELECT 'quantile_loss' AS score_name, model, level_bp, sum(n * ql) / sum(n) AS s FROM ps WHERE starts_with(period_id, 'year_') GROUP BY 2, 3 UNION ALL SELECT 'fz0_loss', model, level_bp, sum(n * fz) / sum(n) FROM ps WHERE starts_with(period_id, 'year_') GROUP BY 2, 3)"),
+    "subperiod_intervals": sql(f"SELECT period_id, {KEY}, confidence_level, n AS observation_count, {r('x / n')} AS observed_rate, {r('1.0 - confidence_level')} AS expected_rate, {r('low')} AS rate_lower, {r('high')} AS rate_upper FROM pc JOIN bi USING (x, n)", PERIODS,
+      f"pc AS (SELECT period_id, {KEY}, confidence_level, count(*) AS n, count(*) FILTER (hit) AS x FROM sp GROUP BY ALL)", intervals("pc")),
+    "rank_by_period": sql("SELECT 'quantile_loss' AS score_name, level_bp, model, period_id, rq AS rank FROM pk UNION ALL SELECT 'fz0_loss', level_bp, model, period_id, rf FROM pk", PERIODS),
+    "exception_rate_by_period": sql(f"SELECT level_bp, model, period_id, {r('count(*) FILTER (hit) / count(*) - (1.0 - confidence_level)')} AS rate_gap FROM sp GROUP BY period_id, {KEY}, confidence_level", PERIODS),
+    "binomial_reference_band": f"""WITH lv(level_bp, level) AS (VALUES {', '.join(f"({round(x * 10000)}, CAST({x!r} AS DOUBLE))" for x in LEVELS)}), t(sessions) AS (VALUES (252), (62)),
+      pm AS (SELECT sessions, level_bp, k, exp(lgamma(sessions + 1) - lgamma(k + 1) - lgamma(sessions - k + 1) + k * ln(1 - level) + (sessions - k) * ln(level)) AS q FROM t, lv, LATERAL (SELECT unnest(range(0, sessions + 1)) AS k)),
+      cu AS (SELECT *, sum(q) OVER (PARTITION BY sessions, level_bp ORDER BY k) AS c FROM pm)
+      SELECT sessions, level_bp, min(k) FILTER (c >= 0.025) / sessions AS rate_lower, min(k) FILTER (c >= 0.975) / sessions AS rate_upper FROM cu GROUP BY 1, 2""",
+    "fhs_multiplicity": f"SELECT p AS pool_position, CAST(n AS BIGINT) AS draws FROM (VALUES {draw_values()}) AS t(p, n)",
+    "standardized_residuals": sql(f"SELECT session_date AS residual_date, asset_no, {r('z')} AS z FROM (SELECT session_no, unnest([0, 1, 2]) AS asset_no, unnest([z0, z1, z2]) AS z FROM zz) JOIN (SELECT DISTINCT session_no, session_date FROM ret) USING (session_no)"),
+    "residual_pool_window": sql(f"SELECT forecast_date, {WINDOW} AS pool_size, estimation_start_date AS pool_start_date, estimation_end_date AS pool_end_date FROM sc"),
+    "fhs_forecasts": sql(f"""SELECT forecast_date, level_bp, confidence_level, {r('mean')} AS simulated_mean_return, {r('sqrt(v)')} AS simulated_volatility, CAST({SCENARIOS} AS BIGINT) AS scenario_count, CAST({SEED} AS BIGINT) AS random_seed, tail_scenario_count,
+      {r('value_at_risk')} AS value_at_risk, {r('expected_shortfall')} AS expected_shortfall FROM fs JOIN (SELECT forecast_date, any_value(mean) AS mean, sum(times * (loss + mean) * (loss + mean)) / ({SCENARIOS} - 1) AS v FROM fl JOIN (SELECT forecast_date, -sum(loss * times) / {SCENARIOS} AS mean FROM fl GROUP BY 1) USING (forecast_date) GROUP BY 1) USING (forecast_date)"""),
+    "complete_segment_returns": f"""WITH p AS (SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS d, c_mktsegment AS a, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS price FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+      g AS (SELECT x.d, x.a, price FROM (SELECT * FROM (SELECT DISTINCT d FROM p), (SELECT DISTINCT a FROM p)) x LEFT JOIN p ON p.d = x.d AND p.a = x.a),
+      q AS (SELECT d, a, price / lag(price) OVER (PARTITION BY a ORDER BY d) - 1 AS ret FROM g),
+      k AS (SELECT * FROM q WHERE d IN (SELECT d FROM q GROUP BY 1 HAVING count(ret) = (SELECT count(DISTINCT a) FROM q)))
+      SELECT d AS session_date, CAST(dense_rank() OVER (ORDER BY d) - 1 AS INTEGER) AS session_no, a AS asset, CAST(dense_rank() OVER (ORDER BY a) - 1 AS INTEGER) AS asset_no, {r('ret')} AS ret FROM k""",
 }

@@ -6,12 +6,12 @@ import hashlib
 import json
 import tempfile
 import uuid
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from datetime import datetime
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 MANIFEST = "manifest.json"
 
@@ -21,12 +21,15 @@ class SnapshotError(ValueError):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is named, as in tests."""
+    """The folder in spark.checkpoint.dir. Only a local session that names none gets a temporary one: a folder of
+    one machine is no use to executors elsewhere."""
     own = spark.conf.get("spark.checkpoint.dir", None)
     if own:
         return own.rstrip("/")
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise SnapshotError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tailframe-"))
     return jsc.getCheckpointDir().get().rstrip("/")
 
@@ -38,6 +41,46 @@ def working_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes every working table. Call it when all results built on them are written."""
+    fs, p = _filesystem(spark, f"{shared_dir(spark)}/tailframe")
+    fs.delete(p, True)
+
+
+#: Stored stages: (name, application, input) to (what the input looked like, where the table is, the table).
+_STAGES: dict[tuple, tuple] = {}
+
+
+def input_state(spark: SparkSession, path: str, tables: Iterable[str]) -> tuple:
+    """Name, length and time of change of the files of some tables, by a listing on the driver."""
+    out = []
+    for table in tables:
+        fs, p = _filesystem(spark, f"{path}/{table}.parquet")
+        if fs.exists(p):
+            found = fs.listFiles(p, True)
+            while found.hasNext():
+                f = found.next()
+                out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def stage(spark: SparkSession, path: str, name: str, tables: Iterable[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """A stage's table, written once for each session and state of the input and read by every later stage.
+
+    It is made again if the input's files have changed or the stored table is gone.
+    """
+    key, state = (name, spark.sparkContext.applicationId, path), input_state(spark, path, tables)
+    if key in _STAGES:
+        seen, at, table = _STAGES[key]
+        fs, p = _filesystem(spark, f"{at}/_SUCCESS")
+        if seen == state and fs.exists(p):
+            return table
+    table = working_table(make(), name)
+    at = table.inputFiles()[0].rsplit("/", 1)[0] if table.inputFiles() else ""
+    _STAGES[key] = (state, at, table)
+    return table
+
+
 def _filesystem(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -60,10 +103,32 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def checksums(spark: SparkSession, path: str) -> dict[str, str]:
-    """SHA-256 of each data file below ``path``, computed where the files are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
-    rows = files.select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("f"), F.sha2("content", 256).alias("h")).collect()  # one row per file
-    return {r["f"]: r["h"] for r in rows}
+    """SHA-256 of each data file below ``path``: files are listed here and hashed in pieces by tasks, so size is no limit."""
+    fs, p = _filesystem(spark, path)
+    names, found = [], fs.listFiles(p, True)
+    while found.hasNext():
+        at = found.next().getPath().toString()
+        if at.endswith(".parquet"):
+            names.append((at,))
+    if not names:
+        return {}
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs as arrow
+
+        for part in parts:
+            out = []
+            for at in part["at"]:
+                where, inner = arrow.FileSystem.from_uri(at if ":/" in at and not at.startswith("file:/") else "file://" + at.removeprefix("file:"))
+                h = hashlib.sha256()
+                with where.open_input_stream(inner) as f:
+                    while piece := f.read(1 << 22):
+                        h.update(piece)
+                out.append(h.hexdigest())
+            yield pd.DataFrame({"at": part["at"], "h": out})
+
+    tasks = spark.createDataFrame(names, "at string").repartition(min(len(names), 512))
+    return {"/".join(r["at"].split("/")[-2:]): r["h"] for r in tasks.mapInPandas(run, "at string, h string").collect()}  # one row per file
 
 
 def file_sha256(path: str) -> str:
@@ -71,8 +136,11 @@ def file_sha256(path: str) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
-def save_snapshot(root: str, snapshot_id: str, tables: Mapping[str, DataFrame], created_at: datetime, lineage: Mapping[str, Any] | None = None, partition_by: Mapping[str, list[str]] | None = None) -> str:
-    """Writes tables and manifest below root/snapshot_id, which must not exist. ``created_at`` needs a time zone."""
+def save_snapshot(root: str, snapshot_id: str, tables: Mapping[str, DataFrame], created_at: datetime, lineage: Mapping[str, Any] | None = None, partition_by: Mapping[str, list[str]] | None = None, facts: Mapping[str, Any] | None = None) -> str:
+    """Writes tables and manifest below root/snapshot_id, which must not exist. ``created_at`` needs a time zone.
+
+    ``facts``: what a loader may check again (dates, counts).
+    """
     if created_at.tzinfo is None:
         raise SnapshotError("created_at needs a time zone")
     spark = next(iter(tables.values())).sparkSession
@@ -80,14 +148,14 @@ def save_snapshot(root: str, snapshot_id: str, tables: Mapping[str, DataFrame],
     fs, p = _filesystem(spark, base)
     if fs.exists(p):
         raise SnapshotError(f"{base} exists")
-    facts = {}
+    found = {}
     for name, df in tables.items():
         writer = df.write.mode("errorifexists")
         if partition_by and name in partition_by:
             writer = writer.partitionBy(*partition_by[name])
         writer.parquet(f"{base}/{name}")
-        facts[name] = {"columns": [[c, t] for c, t in df.dtypes], "rows": spark.read.parquet(f"{base}/{name}").count(), "sha256": checksums(spark, f"{base}/{name}")}
-    manifest = {"snapshot_id": snapshot_id, "created_at": created_at.isoformat(), "tables": facts, "lineage": dict(lineage or {})}
+        found[name] = {"columns": [[c, t] for c, t in df.dtypes], "rows": spark.read.parquet(f"{base}/{name}").count(), "sha256": checksums(spark, f"{base}/{name}")}
+    manifest = {"snapshot_id": snapshot_id, "created_at": created_at.isoformat(), "tables": found, "lineage": dict(lineage or {}), "facts": dict(facts or {})}
     write_text(spark, f"{base}/{MANIFEST}", json.dumps(manifest, indent=1, sort_keys=True))
     return base
 

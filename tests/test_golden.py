@@ -299,3 +299,91 @@ def test_contracts(spark):
         contracts.check_weights(spark.createDataFrame([("A", 0.8), ("B", 0.3)], "asset string, weight double"))
     with pytest.raises(ValueError):
         portfolio.rebalances(F.lit(1), F.lit(2), "weekly")
+
+
+def test_rejections(spark):
+    """Each guard refuses what it is there for."""
+    schema = "session_date date, asset string, field string, value double"
+    ds = business(3)
+    good = [(d, a, "Close", 10.0) for d in ds for a in "AB"]
+    check = lambda data: contracts.check_market(spark.createDataFrame(data, schema), ["A", "B"], ["Close"], ["Close"])
+    assert check(good).count() == 6
+    for bad in (good[::2], [(d, a, "Open", v) for d, a, _, v in good], [*good, good[0]], [*good, (None, "A", "Close", 1.0)], [*good[1:], (ds[0], "A", "Close", 0.0)], [*good[1:], (ds[0], "A", "Close", math.nan)], [*good[1:], (ds[0], "A", "Close", math.inf)]):
+        with pytest.raises(contracts.ContractError):
+            check(bad)
+    assert check([*good[1:], (ds[0], "A", "Close", None)]).count() == 6
+    _, r, w = panel(spark, 30)
+    for bad in (r.withColumn("ret", F.lit(None).cast("double")), r.withColumn("ret", F.lit(math.inf)), r.union(r.limit(1))):
+        with pytest.raises(contracts.ContractError):
+            contracts.check_returns(bad)
+    for bad in ([("A", -0.1)], [("A", None)], [("A", 0.4), ("A", 0.4)]):
+        with pytest.raises(contracts.ContractError):
+            contracts.check_weights(spark.createDataFrame(bad, "asset string, weight double"))
+    path = portfolio.portfolio_path(r, portfolio.equal_weights(r))
+    contracts.check_alignment(path, w)
+    last = business(30)[-1]
+    for days_, weights_ in ((path.where(F.col("session_date") < last), w), (path, w.where(f"session_date < '{last}' or asset <> 'A'")), (path, w.where(F.col("session_date") < last))):
+        with pytest.raises(contracts.ContractError):
+            contracts.check_alignment(days_, weights_)
+    for call in (
+        lambda: moments.rolling_means(r, 1), lambda: moments.rolling_means(r, True), lambda: schedule.forecast_schedule(path, 1), lambda: schedule.level_rows(spark, [0.99, 0.95]), lambda: schedule.level_rows(spark, [True]),
+        lambda: schedule.level_rows(spark, []), lambda: kernels.check_draws(1, 3), lambda: kernels.check_draws(10, True), lambda: kernels.check_draws(10, -1), lambda: moments.ewma_covariance(r, 5, 1.0), lambda: market.large_return_flags(r, 0.0),
+        lambda: portfolio.equal_weights(r, 1.0), lambda: portfolio.portfolio_path(r, portfolio.equal_weights(r), 0.0), lambda: models.model_forecasts("other", r, path, w, 20), lambda: ev.newey_west(path, "pnl", [], "session_date", lags=-1), lambda: special.clopper_pearson(3, 2, 0.95), lambda: special.normal_point(1.0),
+        lambda: simulation.monte_carlo(r, w, 20, scenarios=True), lambda: kernels.lower_factor(np.array([[1.0, 0.5], [0.2, 1.0]])),
+    ):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_nothing_is_dropped_in_silence(spark):
+    """What cannot be forecast fails the job instead of vanishing."""
+    _, r, w = panel(spark, 30)
+    gap = r.withColumn("ret", F.when((F.col("session_no") != 12) | (F.col("asset") != "B"), F.col("ret")))
+    flat = r.withColumn("ret", F.lit(0.01))
+    last = business(30)[-1]
+    path = portfolio.portfolio_path(r, portfolio.equal_weights(r))
+    holed = path.withColumn("portfolio_return", F.when(F.col("session_date") < last, F.col("portfolio_return")))
+    two = path.withColumn("portfolio_return", F.when(F.dayofmonth("session_date") != 8, F.col("portfolio_return")))
+    for make in (
+        lambda: moments.rolling_means(gap, 20), lambda: moments.rolling_covariance(gap, 20), lambda: moments.ewma_covariance(gap, 20, 0.9), lambda: models.rolling_gaussian(flat, w, 20),
+        lambda: models.rolling_gaussian(r, w.where(F.col("session_date") < last), 20), lambda: models.rolling_gaussian(r, w.where("asset <> 'A'"), 20), lambda: simulation.filtered_historical(r, w.where(F.col("session_date") < last), 20, scenarios=100),
+        lambda: models.rolling_gaussian_univariate(two, 20), lambda: models.historical_simulation(holed, 20),
+        lambda: ev.subperiods(facts(spark, [1.0] * 9, [[2.0] * 9], [[3.0] * 9], [9500]), [("s", "none", "1990-01-01", "1990-02-01")]),
+    ):
+        with pytest.raises(Exception, match="missing|positive|lacks|holds no|weights"):
+            make().collect()
+
+
+def test_many_portfolios(spark):
+    """Portfolios side by side give what each gives alone, over shared asset moments."""
+    _, r, _ = panel(spark, 40)
+    mixes = {"even": [1 / 3] * 3, "one": [0.7, 0.2, 0.0], "cash": [0.1, 0.1, 0.1]}
+    book = spark.createDataFrame([(p, a, v) for p, x in mixes.items() for a, v in zip("ABC", x)], "book string, asset string, weight double")
+    by = ["book"]
+    w, path = portfolio.portfolio_weights(r, book, by=by), portfolio.portfolio_path(r, book, by=by)
+    both = {(q["book"], q["forecast_date"], q["level_bp"]): q for q in rows(models.rolling_gaussian(r, w, 20, by=by))}
+    past = {(q["book"], q["forecast_date"], q["level_bp"]): q for q in rows(models.historical_simulation(path, 20, by=by))}
+    assert len(both) == len(past) == 3 * 20 * 3 and schedule.forecast_schedule(path, 20, by).count() == 60
+    for p in mixes:
+        own = book.where(F.col("book") == p).drop("book")
+        one = portfolio.portfolio_path(r, own)
+        for q in rows(models.rolling_gaussian(r, portfolio.portfolio_weights(r, own), 20)):
+            assert both[p, q["forecast_date"], q["level_bp"]]["value_at_risk"] == pytest.approx(q["value_at_risk"], rel=1e-12)
+        x = np.array([-q["portfolio_return"] for q in sorted(rows(one), key=lambda q: q["session_date"])])
+        for t, day in list(enumerate(business(40)))[20:]:
+            var, es, _ = kernels.empirical_tail(x[t - 20 : t], 0.975)
+            assert (past[p, day, 9750]["value_at_risk"], past[p, day, 9750]["expected_shortfall"]) == pytest.approx((var, es), rel=1e-12)
+    f = models.as_forecasts("m", 0, models.rolling_gaussian(r, w, 20, by=by), schedule.forecast_schedule(path, 20, by), by=by)
+    assert f.count() == 180 and ev.exceedance_counts(f, ["book", *ev.KEY]).count() == 9
+
+
+def test_shocks_in_runs(monkeypatch):
+    """Shocks that are too many to keep are drawn in runs that give the same losses."""
+    mu, pulled = np.array([0.001, -0.002]), np.random.default_rng(1).normal(size=(3, 2))
+    whole = kernels.losses_of_dates(mu, pulled, 1001, 5)
+    monkeypatch.setattr(kernels, "SHOCK_VALUES", 100)
+    assert kernels.losses_of_dates(mu, pulled, 1001, 5) == pytest.approx(whole, abs=1e-15)
+    x = whole[0]
+    for level, got in zip((0.9, 0.95, 0.999), kernels.empirical_tails(x, (0.9, 0.95, 0.999))):
+        assert got == (pytest.approx((t := kernels.empirical_tail(x, level))[0]), pytest.approx(t[1]), t[2])
+    assert kernels.filtered_loss(mu, np.array([0.5, -1.0]), np.eye(2) * 4.0, np.array([0.6, 0.4])) == pytest.approx(-(0.6 * (0.001 + 1) + 0.4 * (-0.002 - 2)))
