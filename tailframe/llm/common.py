@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +34,15 @@ def loaded(blob, make: Callable[[bytes], object]):
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the cluster names none (local tests) a temporary folder is made.
+    Only a local session that names none gets a temporary one; elsewhere executors could not read it.
     """
     own = spark.conf.get("spark.checkpoint.dir", None)
     if own:
         return own.rstrip("/")
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tailframe-"))
     return jsc.getCheckpointDir().get().rstrip("/")
 
@@ -48,6 +51,23 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tailframe-llm/{name}-{uuid.uuid4().hex}"
 
 
+#: Working tables that the innermost ``scratch`` deletes when it ends.
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the working tables that are written inside it, when it ends. What is built on them must be stored by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for name in _SCRATCH.pop():
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back, which cuts the lineage.
 
@@ -56,6 +76,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = table_path(spark, name)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -75,9 +97,35 @@ def same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
     return cond
 
 
-def gated(df: DataFrame, rows: int, most: int) -> DataFrame:
-    """Broadcast hint for df if its counted rows are within ``most``; else it joins by shuffle."""
-    return F.broadcast(df) if rows <= most else df
+def gated(df: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """Broadcast hint for a stored table if its measured bytes are within ``most``; else the join shuffles.
+
+    A value counts its bytes, or 8, and a row 48 more for the hash table that holds it.
+    """
+    width = F.lit(48).cast("long")
+    for f in df.schema.fields:
+        kind = f.dataType.simpleString()
+        width = width + (F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)) if kind in ("string", "binary") else F.lit(8 if kind in ("long", "bigint", "int", "boolean", "double") else 64))
+    size = df.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
+
+
+#: Groups of at least so many rows, or of one in so many of all rows, are met by broadcast.
+HOT_ROWS, HOT_GROUPS = 20_000, 10_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: Sequence[str], size: str, total: int) -> DataFrame:
+    """rows left-joined with one row for each group, when a group may hold a large share of all rows.
+
+    Groups of over max(HOT_ROWS, total / HOT_GROUPS) rows are HOT_GROUPS at most, so these are broadcast and their rows stay where
+    they are; the others are joined by shuffle, where none is large. ``size`` is dropped. Both are stored tables.
+    """
+    limit = max(HOT_ROWS, total // HOT_GROUPS)
+    hot, rest = (groups.where(c).drop(size) for c in (F.col(size) > limit, F.col(size) <= limit))
+    if hot.isEmpty():
+        return rows.join(rest, list(on), "left")
+    hot = F.broadcast(hot)
+    return rows.join(hot, list(on)).unionByName(rows.join(hot, list(on), "left_anti").join(rest, list(on), "left"))
 
 
 def prefix_sums(df: DataFrame, order: Sequence[str], values: dict[str, str], group: Sequence[str] = ()) -> DataFrame:

@@ -7,12 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, gated, materialize
+from .common import WHITE, gated, join_groups, materialize
 
 #: Keys that one filter holds, about; a snapshot has as many filters as that needs.
 FILTER_KEYS = 50_000
-#: Groups whose ids may be broadcast (24 bytes each); more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
 SEGMENT, ARITY = 1 << 12, 3
 
 
@@ -123,9 +121,10 @@ def snapshot_filters(groups: DataFrame, buckets: int) -> DataFrame:
     return groups.select(bucket_of(buckets).alias("bucket"), "digest").groupBy("bucket").applyInPandas(build, "bucket int, filter binary")
 
 
-def screen(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
-    """The incoming digests that a snapshot's filters may hold. Bucket by bucket: digests are
-    distinct and hashed, so buckets are even whatever the texts repeat."""
+def screen(incoming: DataFrame, filters: DataFrame, buckets: int, count: int) -> DataFrame:
+    """The ``count`` incoming digests that a snapshot's filters may hold. Bucket by bucket: digests are
+    distinct and hashed, so buckets are even whatever the texts repeat. A batch larger than the snapshot cuts each
+    bucket into parts that get a copy of its filter, so no task gets more than about FILTER_KEYS of either side."""
 
     def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -133,8 +132,51 @@ def screen(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
         keys = np.array([int(x[8:24], 16) for x in left["digest"]], dtype=np.uint64)
         return pd.DataFrame({"digest": left["digest"][probe_filter(bytes(right["filter"].iloc[0]), keys)]})
 
-    left = incoming.select(bucket_of(buckets).alias("bucket"), "digest").groupBy("bucket")
-    return left.cogroup(filters.groupBy("bucket")).applyInPandas(probe, "digest string")
+    parts = max(1, -(-count // (buckets * FILTER_KEYS)))
+    part = F.pmod(F.conv(F.substring("digest", 25, 8), 16, 10).cast("long"), F.lit(parts)).cast("int")
+    left = incoming.select(bucket_of(buckets).alias("bucket"), part.alias("part"), "digest").groupBy("bucket", "part")
+    right = filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).groupBy("bucket", "part")
+    return left.cogroup(right).applyInPandas(probe, "digest string")
+
+
+def buckets_for(count: int) -> int:
+    return max(1, -(-count // FILTER_KEYS))
+
+
+def write_snapshot(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
+    """Stores docs as an immutable snapshot for later batches: one row for each distinct text (digest, the key that stays, the
+    text without white space) under ``path``/texts, and the filters of its digests under ``path``/filters.
+
+    Null text is empty. Nothing is overwritten: an existing path is an error.
+    """
+    rows = materialize(digests(docs, key, text, 1), "digests")
+    own = materialize(group_batch(rows).select("digest", F.col("best.k").alias("k")), "batch")
+    source = docs.select(docs[key].alias("dk"), docs[text].alias("x")).join(gated(own), F.col("dk").eqNullSafe(F.col("k")))
+    body = source.select("digest", "k", normalised(F.col("x")).alias("x")).where(F.sha2("x", 256) == F.col("digest"))
+    body.groupBy("digest").agg(F.first("k").alias("k"), F.min("x").alias("x")).write.parquet(f"{path}/texts")
+    snapshot_filters(own, buckets_for(own.count())).write.parquet(f"{path}/filters")
+
+
+def against_snapshot(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, text_sha256, seen, seen_id of every row: whether a stored snapshot has the same text, and under which key.
+
+    The batch's own duplicates are grouped first; the distinct digests are screened by the snapshot's filters, positives join
+    its exact digests, and texts that meet are compared byte for byte. An empty batch gives no rows, an empty snapshot has seen nothing.
+    """
+    spark = docs.sparkSession
+    texts, filters = spark.read.parquet(f"{path}/texts"), spark.read.parquet(f"{path}/filters")
+    known = texts.count()
+    rows = materialize(digests(docs, key, text, 1), "digests")
+    own = materialize(group_batch(rows), "batch")
+    met = own.where("false").select("digest", F.lit(None).cast(texts.schema["k"].dataType).alias("seen_id"))
+    if known:
+        maybe = materialize(screen(own.select("digest"), filters, buckets_for(known), own.count()), "maybe")
+        near = materialize(own.join(maybe, "digest", "left_semi").select("digest", F.col("best.k").alias("k")), "near")
+        source = docs.select(docs[key].alias("dk"), docs[text].alias("y")).join(gated(near), F.col("dk").eqNullSafe(F.col("k"))).select("digest", normalised(F.col("y")).alias("y"))
+        met = source.join(texts, "digest").where(F.col("x") == F.col("y")).groupBy("digest").agg(F.first("k").alias("seen_id"))
+    met = materialize(met.withColumn("seen", F.lit(True)).join(own.select("digest", "n"), "digest"), "met")
+    out = join_groups(rows.select("k", "digest"), met, ["digest"], "n", rows.count())
+    return out.select(F.col("k").alias(key), F.col("digest").alias("text_sha256"), F.coalesce("seen", F.lit(False)).alias("seen"), "seen_id")
 
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = 2) -> DataFrame:
@@ -153,19 +195,19 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", batche
     rows = materialize(digests(docs, key, text, batches), "digests")
     groups = None  # digest, side (batch), n, best
     links = None
-    snapshots: list[tuple[int, DataFrame, DataFrame, int]] = []
+    snapshots: list[tuple[int, DataFrame, DataFrame, int]] = []  # those that hold anything
     for b in range(batches):
         own = materialize(group_batch(rows.where(F.col("batch") == b)), "batch")
         count = own.count()
-        for sb, sown, filters, buckets in snapshots:
-            maybe = screen(own, filters, buckets)
+        for sb, sown, filters, buckets in snapshots if count else ():
+            maybe = screen(own, filters, buckets, count)
             met = own.join(maybe, "digest", "left_semi").join(sown.select("digest", F.col("best").alias("old")), "digest")
             met = materialize(met.select("digest", F.col("best.k").alias("k1"), F.col("old.k").alias("k0")), "met")
             pair = same_bytes(docs, key, text, met).select("digest", F.lit(b).alias("b1"), F.lit(sb).alias("b0"))
             links = pair if links is None else links.union(pair)
-        buckets = max(1, -(-count // FILTER_KEYS))
-        filters = materialize(snapshot_filters(own, buckets), "filters")
-        snapshots.append((b, own, filters, buckets))
+        if count and b + 1 < batches:
+            filters = materialize(snapshot_filters(own, buckets_for(count)), "filters")
+            snapshots.append((b, own, filters, buckets_for(count)))
         mine = own.withColumn("batch", F.lit(b))
         groups = mine if groups is None else groups.union(mine)
     # The class of a batch's group is the first batch with equal bytes; only groups of several rows are kept apart.
@@ -177,7 +219,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", batche
     merged = groups.groupBy("digest", "cls").agg(F.sum("n").alias("group_size"), F.min("best").alias("best"), F.collect_list("batch").alias("in"))  # at most one for each batch
     merged = merged.where("group_size > 1").select("digest", F.explode("in").alias("batch"), "group_size", F.col("best.k").alias("keep"), F.col("best.rid").alias("keep_rid"))
     merged = materialize(merged, "groups")
-    out = rows.join(gated(merged, merged.count(), BROADCAST_ROWS // 4), ["digest", "batch"], "left")
+    out = join_groups(rows, merged.withColumn("_size", F.col("group_size")), ["digest", "batch"], "_size", rows.count())
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("k")).otherwise(F.col("keep"))
     return out.select(F.col("k").alias(key), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (alone | (F.col("rid") == F.col("keep_rid"))).alias("kept"), F.col("digest").alias("text_sha256"))
@@ -186,7 +228,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", batche
 def same_bytes(docs: DataFrame, key: str, text: str, met: DataFrame) -> DataFrame:
     """The digests of ``met`` whose two texts, named by k0 and k1, are the same bytes."""
     wanted = materialize(met.select("digest", F.explode(F.array("k0", "k1")).alias("k")).distinct(), "wanted")
-    wanted = gated(wanted, wanted.count(), BROADCAST_ROWS)
+    wanted = gated(wanted)
     source = docs.select(docs[key].alias("dk"), docs[text].alias("x"))
     texts = source.join(wanted, source.dk.eqNullSafe(F.col("k"))).select("digest", normalised(F.col("x")).alias("x"))
     texts = texts.where(F.sha2("x", 256) == F.col("digest"))  # of rows that share a key, the one that was meant

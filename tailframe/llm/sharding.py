@@ -38,3 +38,24 @@ def op8_sharding(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     s = shard_by_bytes(docs)
     return s.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def crc_table() -> list[int]:
+    """CRC-32 of every byte, from its polynomial: DuckDB has no such function."""
+    out = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        out.append(value)
+    return out
+
+
+ORACLE_SQL = f"""
+WITH t AS (SELECT CAST({crc_table()} AS BIGINT[]) AS crc),
+d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+c AS (SELECT doc_id, strlen(x) + 1 AS size,
+  xor(list_reduce(list_transform(regexp_extract_all(hex(x), '..'), lambda h: CAST('0x' || h AS BIGINT)), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32 FROM d, t),
+p AS (SELECT *, CAST(sum(size) OVER w AS BIGINT) - size AS before, CAST(sum(size) OVER () AS BIGINT) AS total FROM c WINDOW w AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, CAST(least({SHARDS - 1}, ((before * 2 + size) * {SHARDS}) // (2 * total)) AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY before) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""

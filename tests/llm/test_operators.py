@@ -48,8 +48,9 @@ def same_as_sql(spark, name, module):
 
 
 def test_sql_queries(spark):
-    from tailframe.llm import chat, exact_dedup, url_filter, warc
+    from tailframe.llm import chat, exact_dedup, sharding, url_filter, warc
 
+    same_as_sql(spark, "op8_sharding", sharding)
     same_as_sql(spark, "op4_url_filter", url_filter)
     same_as_sql(spark, "op6_warc", warc)
     same_as_sql(spark, "op9_chat_perspectives", chat)
@@ -124,6 +125,26 @@ def test_exact_dedup(docs, none):
     assert rows(exact_dedup(none)) == [] and rows(keep_one(none)) == []
 
 
+def test_stored_snapshot(spark, docs, none, tmp_path, monkeypatch):
+    """A batch against a stored snapshot: equal texts are seen, also when the batch is much larger than it, others are not."""
+    from tailframe.llm import exact_dedup as ed
+
+    monkeypatch.setattr(ed, "FILTER_KEYS", 7)
+    monkeypatch.setattr("tailframe.llm.common.HOT_ROWS", 20)
+    old = spark.createDataFrame([(n, f"text {n % 5}") for n in range(12)] + [(None, "null key")], "doc_id long, text string")
+    ed.write_snapshot(old, f"{tmp_path}/s")
+    new = spark.createDataFrame([(100 + n, f"te xt{n % 60}") for n in range(120)] + [(7, "nullkey"), (8, None)] + [(300 + n, "hot") for n in range(40)] + [(400 + n, "text3") for n in range(40)], "doc_id long, text string")
+    out = {r["doc_id"]: (r["seen"], r["seen_id"]) for r in rows(ed.against_snapshot(new, f"{tmp_path}/s"))}
+    assert len(out) == 202
+    assert all(out[100 + n] == ((True, n % 60) if n % 60 < 5 else (False, None)) for n in range(120))
+    assert out[7] == (True, None) and out[8] == (False, None) and out[300] == (False, None) and {out[400 + n] for n in range(40)} == {(True, 3)}
+    ed.write_snapshot(none, f"{tmp_path}/e")
+    assert {r["seen"] for r in rows(ed.against_snapshot(new, f"{tmp_path}/e"))} == {False}
+    assert rows(ed.against_snapshot(none, f"{tmp_path}/s")) == []
+    both = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in rows(ed.exact_dedup(new))}
+    assert both[339] == (300, 40) and both[103] == both[439] == (103, 42)
+
+
 @pytest.mark.parametrize("n", [1, 2, 50, 5000, 60000])
 def test_fuse_filter(n):
     from tailframe.llm.exact_dedup import build_filter, probe_filter
@@ -194,7 +215,7 @@ def test_warc_long_header(spark, tmp_path):
     assert {i: (r["payload_bytes"], r["record_type"], r["refers_to"]) for i, r in out.items()} == {i: (len(h), "revisit" if i == 7 else "response", 4 if i == 7 else None) for i, _, h in pages}
     bad = tmp_path / "bad"
     bad.mkdir()
-    data = b"".join(p.read_bytes() for p in sorted((tmp_path / "w").glob("part-*")))
+    data = b"".join(p.read_bytes() for p in sorted((tmp_path / "w").glob("class*/part-*")))
     (bad / "cut.txt").write_bytes(data[:-1])
     with pytest.raises(ValueError, match="cut.txt"):
         warc.read_archives(spark, str(bad))
@@ -210,6 +231,41 @@ def test_warc_scan_is_linear():
     assert {(x[1], x[2], x[8]) for x in found} == {(len(data), "response", 1)}
 
 
+def test_warc_files_and_digests(spark, tmp_path, monkeypatch):
+    """Files are cut by bytes; nested candidates are digested within bounds; keys of any type, WARC/1.0 and gzip members are read."""
+    import gzip
+
+    from tailframe.llm import warc
+
+    inner = "x"
+    for _ in range(40):  # records in payloads of records: each but the outermost is a fake
+        inner = f"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: {len(inner)}\r\n\r\n{inner}\r\n\r\n"
+    pages = [("a b>", "u", inner), ("", "u", "plain" * 50), (None, "u", "last" * 40), ("c", "u", "y" * 40_000), ("d", "u", "z" * 3000)]
+    df = spark.createDataFrame(pages, "page_id string, url string, html string").coalesce(1)
+    path = f"{tmp_path}/w"
+    monkeypatch.setattr(warc, "FILE_BYTES", 128 << 10)
+    warc.write_archives(df, path)
+    assert len(list((tmp_path / "w").glob("class0/part-*"))) == 1 and len(list((tmp_path / "w").glob("class1/part-*"))) == 1
+    want = {k: (len(h.encode()), hashlib.sha256(h.encode()).hexdigest()) for k, _, h in pages}
+    data = next((tmp_path / "w").glob("class0/part-*")).read_bytes()
+    assert any(x[-1] is None for x in warc.scan(data)) and sum(x[-2] for x in warc.scan(data) if x[-1]) <= warc.DIGEST_PASSES * len(data)
+    out = {r["page"]: (r["payload_bytes"], r["payload_digest"]) for r in rows(warc.resolve(warc.read_archives(spark, path), "string"))}
+    assert out == want
+    packed = tmp_path / "z"
+    packed.mkdir()
+    places = [(x[0], x[1]) for x in warc.scan(data)]
+    at, members = 0, []
+    while at < len(data):
+        stop = dict(places)[at]
+        members.append(gzip.compress(data[at:stop].replace(b"WARC/1.1", b"WARC/1.0", 1)))
+        at = stop
+    (packed / "one.warc.gz").write_bytes(b"".join(members))
+    out = {r["page"]: (r["payload_bytes"], r["payload_digest"]) for r in rows(warc.resolve(warc.read_archives(spark, str(packed)), "string"))}
+    assert out == {k: v for k, v in want.items() if k != "c"}
+    with pytest.raises(Exception, match="CAST"):
+        rows(warc.resolve(warc.read_archives(spark, path)))
+
+
 # BPE
 
 
