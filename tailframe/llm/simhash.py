@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, materialize, pair_tasks, task_runs
+from .common import Forest, components, join_groups, materialize, pair_tasks, task_runs
 
 SHINGLE, SEED, BITS = 4, 42, 4
 #: Reference fingerprints; the table has the distance of every fingerprint to each.
@@ -149,7 +149,7 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: i
     are null. Repeated rows give repeated results; an empty table gives none; other columns are ignored.
     """
     rows = materialize(fingerprints(docs, key, text, shingle), "fingerprints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("k").alias("low")), "nodes")
+    nodes = materialize(rows.groupBy("fp").agg(F.min("k").alias("low"), F.count("*").alias("n")), "nodes")
     refs = pivot_bits(pivots)
 
     def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,12 +158,13 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: i
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in t], pa.binary())], names=["fp", "t"])
 
     table = materialize(nodes.select("fp").mapInArrow(distances, "fp long, t binary"), "pivots")
-    links = materialize(near_links(table, nodes.count(), bits), "links")
+    count = nodes.count()
+    links = materialize(near_links(table, count, bits), "links")
     labels = components(links)
-    named = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
-    lows = named.groupBy("label").agg(F.min("low").alias("component_id"))
-    named = materialize(named.join(lows, "label").select("fp", "component_id"), "named")
-    out = rows.join(named, "fp")
+    named = materialize(nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "low", "n", F.coalesce("label", "fp").alias("label")), "labelled")
+    lows = materialize(named.groupBy("label").agg(F.min("low").alias("component_id"), F.count("*").alias("_size")), "lows")
+    named = materialize(join_groups(named, lows, ["label"], "_size", count).select("fp", "component_id", "n"), "named")
+    out = join_groups(rows, named, ["fp"], "n", rows.count())
     return out.select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
