@@ -1,4 +1,7 @@
-"""Toxicity: a bidirectional gated recurrent network with attention pooling, trained and run in numpy."""
+"""Toxicity: a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
+
+Each word is read as a sequence of bytes by a small convolution, beside a vector of its own; both are trained with the recurrent part.
+"""
 
 from __future__ import annotations
 
@@ -18,15 +21,23 @@ from .common import loaded
 WINDOW, STRIDE = 32, 24
 #: Labelled texts that the fit may use, of each label, and the longest of them in code points. The sample is taken by a hash of the id.
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 900, 1800, 30_000
-HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 8, 6, 8, 4
-#: Batches that are learnt from, at least; small samples are gone through more often.
-STEPS, BATCH, SEED = 240, 128, 11
-#: Byte n-grams of marked words, and the slots of their table.
-GRAMS, SLOTS = (3, 4, 5), 1 << 18
-#: Words or n-grams in fewer texts have no vector of their own.
-WORD_TEXTS, GRAM_TEXTS = 4, 3
-#: Distinct words whose projected inputs a worker keeps.
-CACHE = 250_000
+HIDDEN, WORD_DIM, ATTEND = 8, 6, 4
+#: The character reader: size of a byte's vector, bytes that a filter sees, filters.
+BYTE_DIM, WIDTH, FILTERS = 8, 8, 32
+#: Batches of words for the reader's start and their size; passes over the texts' windows after it and the size of their batches.
+WORD_STEPS, WORD_BATCH, EPOCHS, BATCH, SEED = 1200, 1024, 12, 64, 11
+#: Rates of the start, of the recurrent part and of the reader under it; weight of words that one text has.
+WORD_RATE, RATE, READER_RATE, ONCE = 0.003, 0.005, 0.003, 0.3
+#: Word logit from which the recurrent part begins to take notice, and how steeply.
+FLOOR, GAIN = 3.0, 0.7
+#: Words in fewer texts have no vector of their own; a longer run without white space is read as several words.
+WORD_TEXTS, WORD_CHARS = 4, 40
+#: Where between the largest logits of clean and toxic texts that were learnt from the threshold lies at least.
+TOXIC_SIDE = 0.7
+#: Windows of a text that the fit looks at, of the highest word logits and at random.
+TOP_WINDOWS, SOME_WINDOWS = 6, 6
+#: Distinct words that the reader's start takes at most, and distinct words whose projected inputs a worker keeps.
+FIT_WORDS, CACHE = 120_000, 250_000
 THRESHOLD = 0.5
 STRIP = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -35,56 +46,84 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def gram_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all byte n-grams of the words (marked at both ends), and where each word's begin."""
-    raw = [b"^" + w.encode() + b"$" for w in words]
-    b = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.uint64) + np.uint64(1)
-    length = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
-    ends = np.repeat(np.cumsum(length), length)
-    owner = np.repeat(np.arange(len(raw)), length)
-    at = np.arange(len(b))
-    hashes, owners = [], []
-    for n in GRAMS:
-        if len(b) < n:
-            continue
-        h = np.full(len(b) - n + 1, n, dtype=np.uint64)
-        for k in range(n):
-            h = (h + b[k : len(b) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        inside = at[: len(h)] + n <= ends[: len(h)]
-        hashes.append(h[inside])
-        owners.append(owner[: len(h)][inside])
-    h, o = np.concatenate(hashes), np.concatenate(owners)
-    order = np.argsort(o, kind="stable")
-    return h[order], np.searchsorted(o[order], np.arange(len(raw) + 1))
-
-
 def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+    """Lower-case runs without white space, longer ones in pieces of WORD_CHARS, so that a text without spaces is many words too."""
+    words = (text or "").lower().split()
+    if words and max(map(len, words)) > WORD_CHARS:
+        words = [w[i : i + WORD_CHARS] for w in words for i in range(0, len(w), WORD_CHARS)]
+    return words
+
+
+def byte_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of all words' bytes (0 padding, 1 a word's begin, 2 its end, a byte plus 3), where each filter's look
+    begins (as many for a word as it has bytes), and the number of each word's first look."""
+    raw = [w.encode() for w in words]
+    size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+    first = np.concatenate([[0], np.cumsum(size)[:-1]])
+    owner = np.repeat(np.arange(len(raw)), size)
+    at = np.arange(int(size.sum())) + (WIDTH - 1) * owner
+    codes = np.zeros(int(size.sum()) + (WIDTH - 1) * len(raw), dtype=np.int64)
+    codes[at + 1] = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64) + 3
+    begin = first + (WIDTH - 1) * np.arange(len(raw))
+    codes[begin] = 1
+    codes[begin + size + 1] = 2
+    return codes, at, first
+
+
+def looks(p: dict, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """What every filter says at every place: a convolution over byte vectors, by a table for each byte and offset."""
+    out = np.repeat(p["fb"][None, :], len(at), axis=0)
+    for k in range(WIDTH):
+        out += (p["bytes"] @ p["filters"][k])[codes[at + k]]
+    return out
+
+
+def read_words(p: dict, words: list[str]) -> np.ndarray:
+    """The reader: of each word, every filter's largest value over its bytes, not below 0."""
+    out = np.zeros((len(words), FILTERS), dtype=np.float32)
+    i = 0
+    while i < len(words):
+        j, size = i, 0
+        while j < len(words) and size < 400_000:
+            size += len(words[j])
+            j += 1
+        codes, at, first = byte_codes(words[i:j])
+        out[i:j] = np.maximum(np.maximum.reduceat(looks(p, codes, at), first, axis=0), 0)
+        i = j
+    return out
+
+
+def reader_gradients(p: dict, words: list[str], dtop: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of the reader's parameters from those of its output."""
+    codes, at, first = byte_codes(words)
+    value = looks(p, codes, at)
+    top = np.maximum.reduceat(value, first, axis=0)
+    size = np.diff(np.append(first, len(at)))
+    place, f = np.nonzero((value == np.repeat(top, size, axis=0)) & (value > 0))
+    d = np.repeat(dtop, size, axis=0)[place, f]
+    g = {"fb": np.bincount(f, d, FILTERS).astype(np.float32), "bytes": np.zeros_like(p["bytes"]), "filters": np.zeros_like(p["filters"])}
+    for k in range(WIDTH):
+        table = np.bincount(codes[at[place] + k] * FILTERS + f, d, len(p["bytes"]) * FILTERS).reshape(-1, FILTERS).astype(np.float32)
+        g["filters"][k] = p["bytes"].T @ table
+        g["bytes"] += table @ p["filters"][k].T
+    return g
 
 
 @dataclass
 class Network:
-    """Parameters. Word rows: 0 is padding, 1 any word without a row. N-gram rows: 0 any n-gram without one."""
+    """Parameters. Word rows: 0 is padding, 1 any word without a row."""
 
     vocabulary: dict[str, int]
-    prints: np.ndarray  # by slot: the hash that owns it
-    rows: np.ndarray  # by slot: its vector's row
     p: dict[str, np.ndarray]
     scale: tuple[float, float] = (1.0, 0.0)
     known: dict[str, int] = field(default_factory=dict)
     inputs: np.ndarray | None = None
     used: int = 0
 
-    def gram_rows(self, h: np.ndarray) -> np.ndarray:
-        slot = (h >> np.uint64(7)) & np.uint64(SLOTS - 1)
-        return np.where(self.prints[slot] == h, self.rows[slot], 0)
-
-    def project(self, word: np.ndarray, grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Inputs of both directions' gates for distinct words: word vector and largest n-gram values, times the weights."""
-        chars = np.maximum.reduceat(self.p["chars"][grams], starts, axis=0)
-        x = np.concatenate([self.p["words"][word], chars], axis=1)
-        return x @ self.p["W"] + self.p["b"][:, None]
+    def project(self, words: list[str]) -> np.ndarray:
+        """Inputs of both directions' gates for distinct words: word vector and what the reader says, times the weights."""
+        own = self.p["words"][[self.vocabulary.get(w, 1) for w in words]]
+        return np.concatenate([own, read_words(self.p, words)], axis=1) @ self.p["W"] + self.p["b"][:, None]
 
     def index(self, texts: list[str | None]) -> list[np.ndarray]:
         """Rows of ``inputs`` for every word of every text; new words are projected."""
@@ -101,11 +140,7 @@ class Network:
             distinct = list(forms)
             while self.used + len(distinct) > self.inputs.shape[1]:
                 self.inputs = np.concatenate([self.inputs, np.zeros_like(self.inputs)], axis=1)
-            for i in range(0, len(distinct), 20_000):
-                some = distinct[i : i + 20_000]
-                h, starts = gram_hashes(some)
-                word = np.array([self.vocabulary.get(w, 1) for w in some])
-                self.inputs[:, self.used + i : self.used + i + len(some)] = self.project(word, self.gram_rows(h), starts[:-1])
+            self.inputs[:, self.used : self.used + len(distinct)] = self.project(distinct)
             base = self.used
             self.known.update((u, base + forms[w]) for u, w in zip(new, bare, strict=True))
             self.used += len(distinct)
@@ -229,156 +264,181 @@ def one_of_each(texts: list[str]) -> list[int]:
     return list(seen.values())
 
 
+class Adam:
+    """Moments of every parameter, and one step for the gradients that are given."""
+
+    def __init__(self, p: dict[str, np.ndarray], rate: float):
+        self.p, self.rate, self.steps = p, rate, 0
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+
+    def step(self, g: dict[str, np.ndarray], decay: dict[str, float] | None = None) -> None:
+        self.steps += 1
+        for k, d in g.items():
+            d = d + (decay or {}).get(k, 0.0) * self.p[k]
+            self.m[k] += 0.1 * (d - self.m[k])
+            self.v[k] += 0.01 * (d * d - self.v[k])
+            self.p[k] -= (self.rate * (self.m[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.v[k] / (1 - 0.99**self.steps)) + 1e-7)).astype(np.float32)
+
+
+def start_reader(p: dict, words: list[str], rows: np.ndarray, counts: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, float]:
+    """Fits byte vectors, filters and word vectors to tell, of single words, toxic texts from clean ones, through a linear
+    head; gives the head and every word's logit. ``counts``: texts of each label that hold the word.
+
+    Both labels weigh the same in sum. Most words occur in both kinds alike and learn nothing; what a toxic word's relatives share
+    is learnt by the filters.
+    """
+    head = {"u": (rng.standard_normal(WORD_DIM + FILTERS) * 0.3).astype(np.float32), "u0": np.zeros(1, dtype=np.float32)}
+    names = ("bytes", "filters", "fb", "words")
+    adam = Adam({**{k: p[k] for k in names}, **head}, WORD_RATE)
+    total = np.maximum(counts.sum(axis=1), 1)
+    weight = counts / total[:, None] * np.where(counts.sum(axis=0) == 1, ONCE, 1.0)
+    at = np.flatnonzero(counts[:, 0] + counts[:, 1] > 1)
+    rest = np.setdiff1d(np.arange(len(words)), at)
+    some = np.concatenate([at, rng.permutation(rest)[: max(0, FIT_WORDS - len(at))]])[:FIT_WORDS]
+    chance = np.minimum(counts.sum(axis=0)[some], 60.0)
+    chance[chance == 1] = ONCE
+    chance /= chance.sum()
+    for _ in range(WORD_STEPS):
+        b = some[np.searchsorted(np.cumsum(chance), rng.random(WORD_BATCH)).clip(0, len(some) - 1)]
+        b = np.unique(b)
+        own = [words[i] for i in b]
+        x = np.concatenate([p["words"][rows[b]], read_words(p, own)], axis=1)
+        q = sigmoid(x @ head["u"] + head["u0"][0])
+        share = (weight[:, b] / np.maximum(weight[:, b].sum(axis=0), 1e-9))
+        d = ((q * share[0] - (1 - q) * share[1]) / len(b)).astype(np.float32)
+        dx = d[:, None] * head["u"]
+        g = reader_gradients(p, own, dx[:, WORD_DIM:])
+        g["u"], g["u0"] = x.T @ d, np.array([d.sum()], dtype=np.float32)
+        g["words"] = np.zeros_like(p["words"])
+        np.add.at(g["words"], rows[b], dx[:, :WORD_DIM])
+        g["words"][:2] = 0
+        adam.step(g, {"words": 2e-5, "u": 1e-4, "filters": 1e-3})
+        p["words"][:2] = 0
+    out = np.empty(len(words), dtype=np.float32)
+    for i in range(0, len(words), 20_000):
+        x = np.concatenate([p["words"][rows[i : i + 20_000]], read_words(p, words[i : i + 20_000])], axis=1)
+        out[i : i + 20_000] = x @ head["u"] + head["u0"][0]
+    return out, head["u"], float(head["u0"][0])
+
+
+def gate_start(p: dict, head: np.ndarray, u0: float) -> None:
+    """Lets one unit of each direction begin as the start's head: it is above 0 at words whose logit exceeds FLOOR, and attention
+    begins where it is high. All of it is trained on."""
+    for side in (0, 1):
+        at = side * HIDDEN
+        p["W"][side, :, 2 * HIDDEN] = head * GAIN
+        p["b"][side, 2 * HIDDEN] = (u0 - FLOOR) * GAIN
+        p["b"][side, 0] = -2.0  # the unit forgets at once
+        p["W"][side, :, 0] *= 0.1
+        p["U"][side, :, 2 * HIDDEN] *= 0.1
+        p["A"][:, 0] *= 0.1
+        p["o"][at] = 2.0
+    p["A"][[0, HIDDEN], 0] = 1.0
+    p["v"][0] = 3.0
+
+
 def fit(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Network:
     """Learns from whole texts of which only the label is known, by multiple instances.
 
-    The first component of n-gram and word vectors is the evidence that labels give (log-odds less their doubt), in training that of
-    the other half of the texts, so that the network learns what evidence is worth on new texts. Every epoch scores all windows; a toxic text teaches with its most toxic window, a clean one with its most toxic and a random
-    one. At last the texts' largest logits are scaled to probabilities.
+    The reader and the word vectors start from single words (``start_reader``); then everything is trained together: a toxic text teaches with
+    its most toxic window, a clean one with its most toxic and a random one, out of those whose words looked most toxic at the start and some others. At
+    last the texts' largest logits, over all their windows, are scaled to probabilities.
     """
     rng = np.random.default_rng(seed)
     one = one_of_each(texts)
     none = 1 + len(one) // 40  # texts without words are clean
     texts, y = [*(texts[i] for i in one), *[""] * none], np.append(np.asarray(labels, dtype=np.float64)[one], np.zeros(none))
-    split = [[w.strip(STRIP) or w for w in words_of(t)] for t in texts]
     names: dict[str, int] = {}
-    docs = [np.array([names.setdefault(w, len(names)) for w in ws], dtype=np.int64) for ws in split]
+    docs = [np.array([names.setdefault(w.strip(STRIP) or w, len(names)) for w in words_of(t)], dtype=np.int64) for t in texts]
     words = list(names) or ["-"]
-    h, starts = gram_hashes(words)
-    every, gram = np.unique(h, return_inverse=True)
-    gram = gram.astype(np.int32)
-    folds = rng.permutation(len(docs)) % 2
-    counts, word_counts = np.zeros((2, 2, len(every))), np.zeros((2, 2, len(words)))  # by fold and label
-    for d, label, fold in zip(docs, y.astype(int), folds, strict=True):
-        own = np.unique(d)
-        word_counts[fold, label, own] += 1
-        if len(own):
-            counts[fold, label, np.unique(np.concatenate([gram[starts[i] : starts[i + 1]] for i in own]))] += 1
-    texts_of = np.array([[((y == label) & (folds == fold)).sum() for label in (0, 1)] for fold in (0, 1)])
-
-    def evidence(c: np.ndarray, fold: int | None) -> np.ndarray:
-        """Log-odds less their doubt, from the other fold's texts; from all for None."""
-        c, size = (c.sum(axis=0), texts_of.sum(axis=0)) if fold is None else (c[1 - fold], texts_of[1 - fold])
-        odds = np.log((c[1] + 0.5) / (size[1] + 1)) - np.log((c[0] + 0.5) / (size[0] + 1))
-        doubt = 1.5 * np.sqrt(1 / (c[1] + 0.5) + 1 / (c[0] + 0.5))
-        return np.sign(odds) * np.maximum(np.abs(odds) - doubt, 0) / 1.5
-
-    prints, rows = np.zeros(SLOTS, dtype=np.uint64), np.zeros(SLOTS, dtype=np.int32)
-    z, total = evidence(counts, None), counts.sum(axis=(0, 1))
-    keep = np.flatnonzero(total >= GRAM_TEXTS)
-    keep = keep[np.argsort(np.abs(z[keep]), kind="stable")]  # the most telling is written last
-    slot = (every[keep] >> np.uint64(7)) & np.uint64(SLOTS - 1)
-    prints[slot], rows[slot] = every[keep], np.arange(1, len(keep) + 1)
-    chars = (rng.standard_normal((len(keep) + 1, CHAR_DIM)) * 0.05).astype(np.float32)
-    chars[0], chars[1:, 0] = 0, z[keep]
-    often = np.flatnonzero(word_counts.sum(axis=(0, 1)) >= WORD_TEXTS)
-    vectors = (rng.standard_normal((len(often) + 2, WORD_DIM)) * 0.05).astype(np.float32)
-    vectors[:2], vectors[2:, 0] = 0, evidence(word_counts, None)[often]
+    counts = np.zeros((2, len(words)))
+    for d, label in zip(docs, y.astype(int), strict=True):
+        counts[label, np.unique(d)] += 1
+    often = np.flatnonzero(counts.sum(axis=0) >= WORD_TEXTS)
     f = lambda *s: (rng.standard_normal(s) / np.sqrt(s[-2])).astype(np.float32)
-    p = {"words": vectors, "chars": chars, "W": f(2, WORD_DIM + CHAR_DIM, 3 * HIDDEN), "b": np.zeros((2, 3 * HIDDEN), dtype=np.float32), "U": f(2, HIDDEN, 3 * HIDDEN), "A": f(2 * HIDDEN, ATTEND), "v": (rng.standard_normal(ATTEND) * 0.1).astype(np.float32), "o": (rng.standard_normal(2 * HIDDEN) * 0.3).astype(np.float32), "c": np.zeros(1, dtype=np.float32)}
-    net = Network({words[i]: n + 2 for n, i in enumerate(often)}, prints, rows, p)
-    word_row = np.array([net.vocabulary.get(w, 1) for w in words])
-    gram_row = net.gram_rows(every)[gram].astype(np.int32)
-    del h, every, gram
+    vectors = (rng.standard_normal((len(often) + 2, WORD_DIM)) * 0.05).astype(np.float32)
+    vectors[:2] = 0
+    p = {
+        "words": vectors, "bytes": (rng.standard_normal((259, BYTE_DIM)) * 0.5).astype(np.float32), "filters": (rng.standard_normal((WIDTH, BYTE_DIM, FILTERS)) * 0.3).astype(np.float32), "fb": np.zeros(FILTERS, dtype=np.float32),
+        "W": f(2, WORD_DIM + FILTERS, 3 * HIDDEN), "b": np.zeros((2, 3 * HIDDEN), dtype=np.float32), "U": f(2, HIDDEN, 3 * HIDDEN), "A": f(2 * HIDDEN, ATTEND), "v": (rng.standard_normal(ATTEND) * 0.1).astype(np.float32), "o": (rng.standard_normal(2 * HIDDEN) * 0.3).astype(np.float32), "c": np.zeros(1, dtype=np.float32),
+    }
+    net = Network({words[i]: n + 2 for n, i in enumerate(often)}, p)
+    rows = np.array([net.vocabulary.get(w, 1) for w in words])
+    logit, head, u0 = start_reader(p, words, rows, counts, rng)
+    first = np.append(-9.0, logit)  # by row: 0 is padding
+    gate_start(p, head, u0)
 
     owner, windows = windows_of([d.astype(np.int32) + 1 for d in docs])  # row n + 1 is distinct word n
-    by_text = np.searchsorted(owner, np.arange(len(docs) + 1))
-
-    def all_inputs() -> np.ndarray:
-        out = np.zeros((2, len(words) + 1, 3 * HIDDEN), dtype=np.float32)
-        for i in range(0, len(words), 20_000):
-            a = starts[i]
-            some = slice(i, min(i + 20_000, len(words)))
-            out[:, some.start + 1 : some.stop + 1] = net.project(word_row[some], gram_row[a : starts[some.stop]], starts[some] - a)
-        return out
-
-    by_fold = {x: (evidence(counts, x)[keep], evidence(word_counts, x)[often]) for x in (0, 1, None)}
-
-    def evidence_from(fold: int | None) -> None:
-        p["chars"][1:, 0], p["words"][2:, 0] = by_fold[fold]
-
-    def score_all() -> np.ndarray:
-        """Every window's logit; a text's evidence comes from the texts of the other fold."""
-        out = np.empty(len(windows), dtype=np.float32)
-        for fold in (0, 1):
-            evidence_from(fold)
-            inputs, own = all_inputs(), np.flatnonzero(folds[owner] == fold)
-            for i in range(0, len(own), 1024):
-                out[own[i : i + 1024]] = run(p, inputs, windows[own[i : i + 1024]])[0]
-        return out
-
-    moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
-    steps = 0
-
-    def learn(g: dict[str, np.ndarray]) -> None:
-        nonlocal steps
-        steps += 1
-        for k, d in g.items():
-            if k in ("words", "chars"):
-                continue
-            m, v = moments[k]
-            m += 0.1 * (d - m)
-            v += 0.001 * (d * d - v)
-            p[k] -= (0.01 * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.999**steps)) + 1e-8)).astype(np.float32)
-
-    for epoch in range(max(4, -(-STEPS * BATCH // max(1, len(docs) + int((y == 0).sum()))))):
+    best = first[windows].max(axis=1)
+    edges = np.searchsorted(owner, np.arange(len(docs) + 1))
+    chosen = []
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        top = a + np.argsort(-best[a:b], kind="stable")[:TOP_WINDOWS]
+        chosen.append(np.union1d(top, rng.permutation(np.arange(a, b))[:SOME_WINDOWS]))
+    edges = np.concatenate([[0], np.cumsum([len(c) for c in chosen])])
+    chosen = np.concatenate(chosen)
+    owner, windows, best = owner[chosen], windows[chosen], best[chosen]
+
+    slow = ("bytes", "filters", "fb", "words")
+    adam, reader = Adam({k: v for k, v in p.items() if k not in slow}, RATE), Adam({k: p[k] for k in slow}, READER_RATE)
+    for epoch in range(EPOCHS):
+        adam.rate, reader.rate = (r * (1 - epoch / EPOCHS) for r in (RATE, READER_RATE))  # ends in small steps, so that seeds differ less
         if epoch:
-            best = score_all()
-        else:
-            best = np.empty(len(windows))
-            for fold in (0, 1):
-                evidence_from(fold)
-                first = np.maximum.reduceat(p["chars"][:, 0][gram_row], starts[:-1]) + p["words"][word_row, 0]
-                own = folds[owner] == fold
-                best[own] = np.concatenate([[-9.0], first])[windows[own]].max(axis=1)
-        chosen = []
-        for n in range(len(docs)):
-            a, b = by_text[n], by_text[n + 1]
-            chosen.append(a + int(np.argmax(best[a:b])))
+            used, local = np.unique(windows, return_inverse=True)
+            inputs = inputs_of(net, [words[i - 1] for i in used if i])
+            local = local.reshape(windows.shape) + (used[0] != 0)
+            best = np.concatenate([run(p, inputs, local[i : i + 1024])[0] for i in range(0, len(local), 1024)])
+        lesson = []
+        for n, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+            lesson.append(a + int(np.argmax(best[a:b])))
             if not y[n]:
-                chosen.append(int(rng.integers(a, b)))
-        chosen = rng.permutation(np.array(chosen))
-        toxic = max(1.0, y[owner[chosen]].sum())
-        weight = {1: len(chosen) / (2 * toxic), 0: len(chosen) / (2 * max(1.0, len(chosen) - toxic))}
-        batches = [(fold, own[i : i + BATCH]) for fold in (0, 1) for own in [chosen[folds[owner[chosen]] == fold]] for i in range(0, len(own), BATCH)]
-        for b in rng.permutation(len(batches)):
-            fold, own = batches[b]
-            evidence_from(fold)
-            distinct, local = np.unique(windows[own], return_inverse=True)
-            if distinct[0]:
-                distinct, local = np.concatenate([[0], distinct]), local + 1
-            w = distinct[1:] - 1
-            span = starts[w + 1] - starts[w]
-            begin = np.concatenate([[0], np.cumsum(span)[:-1]])
-            g_rows = gram_row[np.repeat(starts[w] - begin, span) + np.arange(span.sum())]
-            values = p["chars"][g_rows]
-            top = np.maximum.reduceat(values, begin, axis=0)
-            x = np.concatenate([p["words"][word_row[w]], top], axis=1)
-            inputs = np.zeros((2, len(distinct), 3 * HIDDEN), dtype=np.float32)
+                lesson.append(int(rng.integers(a, b)))
+        lesson = rng.permutation(np.array(lesson))
+        toxic = max(1.0, y[owner[lesson]].sum())
+        weight = {1: len(lesson) / (2 * toxic), 0: len(lesson) / (2 * max(1.0, len(lesson) - toxic))}
+        for i in range(0, len(lesson), BATCH):
+            own = lesson[i : i + BATCH]
+            used, local = np.unique(windows[own], return_inverse=True)
+            w = used[used > 0] - 1
+            some = [words[k] for k in w]
+            x = np.concatenate([p["words"][rows[w]], read_words(p, some)], axis=1)
+            inputs = np.zeros((2, len(w) + 1, 3 * HIDDEN), dtype=np.float32)
             inputs[:, 1:] = x @ p["W"] + p["b"][:, None]
-            g, di = gradients(p, inputs, local.reshape(-1, WINDOW), y[owner[own]], np.where(y[owner[own]] == 1, weight[1], weight[0]))
+            g, di = gradients(p, inputs, local.reshape(-1, WINDOW) + (used[0] != 0), y[owner[own]], np.where(y[owner[own]] == 1, weight[1], weight[0]))
             di = di[:, 1:]
             g["W"], g["b"] = x.T @ di, di.sum(axis=1)
             dx = (di @ p["W"].transpose(0, 2, 1)).sum(axis=0)
-            dx[:, 0] = dx[:, WORD_DIM] = 0  # the evidence itself is not trained
-            learn(g)
-            for k, at, d in (("words", word_row[w], dx[:, :WORD_DIM]), ("chars", g_rows, (values == np.repeat(top, span, axis=0)) * np.repeat(dx[:, WORD_DIM:], span, axis=0))):
-                rows_hit, which = np.unique(at, return_inverse=True)
-                grad = np.zeros((len(rows_hit), p[k].shape[1]), dtype=np.float32)
-                np.add.at(grad, which, d)
-                squares = moments[k][0]
-                squares[rows_hit] += grad * grad
-                p[k][rows_hit] -= 0.003 * grad / (np.sqrt(squares[rows_hit]) + 1e-6)
-                p[k][: 2 if k == "words" else 1] = 0
-    top = np.maximum.reduceat(score_all(), by_text[:-1])
-    evidence_from(None)
+            g |= reader_gradients(p, some, dx[:, WORD_DIM:])
+            g["words"] = np.zeros_like(p["words"])
+            np.add.at(g["words"], rows[w], dx[:, :WORD_DIM])
+            g["words"][:2] = 0
+            adam.step({k: v for k, v in g.items() if k not in slow}, {"W": 1e-4, "U": 1e-4, "o": 1e-4})
+            reader.step({k: v for k, v in g.items() if k in slow})
+            p["words"][:2] = 0
+    top = net.logits(texts)
+    net.known, net.inputs, net.used = {}, None, 0
+    net.scale = scaled(top, y)
+    return net
+
+
+def inputs_of(net: Network, words: list[str]) -> np.ndarray:
+    """Gate inputs of distinct words, row 0 for padding first."""
+    out = np.zeros((2, len(words) + 1, 3 * HIDDEN), dtype=np.float32)
+    out[:, 1:] = net.project(words)
+    return out
+
+
+def scaled(top: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """One-dimensional logistic regression of the labels on the largest logits, with its threshold moved towards the toxic side:
+    windows of clean texts that were not learnt from come out higher than those that were, toxic ones do not come out lower."""
     a, b = 1.0, 0.0
-    for _ in range(2000):  # one-dimensional logistic regression
+    for _ in range(2000):
         q = sigmoid(a * top + b) - y
         a -= 0.05 * ((q * top).mean() + 1e-3 * (a - 1))
         b -= 0.2 * q.mean()
-    net.scale = (float(max(a, 0.05)), float(b))
-    return net
+    a = float(max(a, 0.05))
+    between = (1 - TOXIC_SIDE) * np.quantile(top[y == 0], 0.99) + TOXIC_SIDE * np.quantile(top[y == 1], 0.05)
+    return a, -a * max(-float(b) / a, float(between))
 
 
 def held_out(key: Column) -> Column:
@@ -387,7 +447,10 @@ def held_out(key: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Network | None:
-    """Fits on at most FIT_TOXIC and FIT_CLEAN labelled texts of up to FIT_CHARS code points; None if a class has no text."""
+    """Fits on at most FIT_TOXIC and FIT_CLEAN labelled texts of up to FIT_CHARS code points; None if a class has no text.
+
+    An id with both labels is toxic. Of rows that repeat an id the smallest text is learnt from, once. Null texts and null ids are left out.
+    """
     mark = labels.select(labels[key].alias("k"), labels[label].alias("y")).where("k is not null and y in (0, 1)").groupBy("k").agg(F.max("y").alias("y"))
     mark = mark.where(~held_out(F.col("k")))
     d = docs.select(docs[key].alias("k"), docs[text].alias("x")).where(F.length("x") <= FIT_CHARS)
@@ -395,8 +458,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     for y, most in ((1, FIT_TOXIC), (0, FIT_CLEAN)):
         ids = mark.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(most)
         parts.append(ids)
-    rows = d.join(F.broadcast(parts[0].union(parts[1])), "k").toPandas().sort_values("k", kind="stable")  # FIT_TOXIC + FIT_CLEAN ids at most
-    rows = rows.drop_duplicates("k")
+    ids = F.broadcast(parts[0].union(parts[1]))  # FIT_TOXIC + FIT_CLEAN ids at most
+    rows = d.join(ids, "k").groupBy("k", "y").agg(F.min("x").alias("x")).toPandas().sort_values("k", kind="stable")  # a text for each
     if rows["y"].nunique() < 2:
         return None
     return fit(rows["x"].tolist(), rows["y"].to_numpy())
@@ -421,7 +484,8 @@ def probability(docs: DataFrame, model: Network | None, text: str = "text") -> C
 def score(docs: DataFrame, model: Network | None, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """key, held_out, score, predicted for every row.
 
-    Null and empty texts are one window of padding. Words beyond the model's vocabulary are read by their n-grams.
+    Null and empty texts are one window of padding. All words are read byte by byte, those of the vocabulary also have a vector of their own. A run
+    of over WORD_CHARS characters without white space is read as several words.
     Without a model (no labels of both kinds) all rows score 0. Rows are independent: repeated rows score alike, an empty table gives no
     rows, other columns (labels, lang, source among them) are not looked at; the key is only carried.
     """
