@@ -68,15 +68,15 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(conf).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back, which cuts the lineage.
 
     A lost executor costs no more than the tasks it ran: the table is replicated by the
-    shared store. ``release`` removes the tables once nothing reads them.
+    shared store. ``scratch`` and ``release`` remove the tables once nothing reads them; ``keep`` saves one from ``scratch``.
     """
     spark = df.sparkSession
     path = table_path(spark, name)
-    if _SCRATCH:
+    if _SCRATCH and not keep:
         _SCRATCH[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -585,7 +585,7 @@ def window_logit(model, words):
 
 def test_pipeline_keeps_one_row(spark):
     """One row of each group of near copies stays, also where ids are null or repeated."""
-    import corpus_pipeline as cp
+    from tailframe.llm import pipeline as cp
 
     one, two, three = (" ".join(f"{w}{i}" for i in range(60)) for w in ("apple", "river", "stone"))
     data = [(5, one), (5, one), (7, one), (None, one), (None, two), (None, two), (8, three), (9, three), (8, two + " " + one)]
@@ -595,8 +595,36 @@ def test_pipeline_keeps_one_row(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in rows(out)), key=str) == sorted([(5, one), (None, two), (8, three), (8, two + " " + one)], key=str)
 
 
+def test_pipeline_edges(spark, tmp_path, monkeypatch):
+    """Null and repeated ids, empty texts, clashing columns, no labels, an empty table; working tables go when a stage is stored."""
+    from pathlib import Path
+
+    from tailframe.llm import common
+    from tailframe.llm import pipeline as cp
+
+    schema = "doc_id long, text string, digest string, fp long"
+    words = " ".join(f"word{i}" for i in range(50))
+    data = [(1, words, "a", 1), (1, words + "  ", "b", 2), (None, None, "c", 3), (None, "", "d", 4), (2, "other text here", None, None), (2, "other text here", None, None), (None, words.replace("word7 ", "sword "), "e", 5)]
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path / "work"))
+    for name, rows_, want in (("some", data, {("word0", 1), ("other", 2), (None, None)}), ("none", [], set())):
+        sf = str(tmp_path / name)
+        spark.createDataFrame(rows_, schema).write.parquet(f"{sf}/documents.parquet")
+        labels.write.parquet(f"{sf}/labels.parquet")
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        for _, stage in cp.STAGES[:3]:
+            docs = common.materialize(stage(spark, docs, sf), "stage")
+            assert docs.columns == ["doc_id", "text", "digest", "fp"]
+        got = [((r["text"] or "").split(" ")[0] or None, r["doc_id"]) for r in docs.collect()]
+        assert len(got) == len(set(got)) and set(got) >= want - {(None, None)} and len(got) == len(want) + (name == "some")
+        common.release(spark)
+        out = cp.run(spark, sf)
+        assert out.select("doc_id").distinct().count() == (3 if rows_ else 0)
+        assert len(list(Path(tmp_path / "work/tailframe-llm").iterdir())) == 4  # the four results
+
+
 def test_pipeline(spark):
-    import corpus_pipeline as cp
+    from tailframe.llm import pipeline as cp
     from tailframe.llm import exact_dedup, simhash, toxicity
     from tailframe.llm.common import materialize
 
