@@ -1,60 +1,5 @@
-"""A training corpus in four stages: toxicity, exact dedup, SimHash near-dedup, packing.
+"""The corpus pipeline's stages: what ``tailframe.llm.pipeline`` defines, where callers look for it. Goes with that folder."""
 
-Each stage takes (spark, docs, sf_dir) and returns a frame; ``run`` writes it as Parquet in the shared folder
-and reads it again as the next stage's docs. All but the last keep the columns of documents. Counts as part of the
-``llm`` subpackage.
-"""
+from tailframe.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tailframe.llm.common import materialize
-from tailframe.llm.exact_dedup import keep_one
-from tailframe.llm.packing import pack
-from tailframe.llm.simhash import near_dedup
-from tailframe.llm.toxicity import reject, train
-
-
-def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the network calls toxic. It is fitted on the labelled ones among docs."""
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return reject(docs, model)
-
-
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one of the texts that are equal without white space."""
-    return keep_one(docs)
-
-
-def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of every component of near-duplicates, that with the smallest id (null ids last).
-
-    Rows are told apart by a stored number, as ids can be null or repeated.
-    """
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
-    groups = near_dedup(rows.select(row.alias("doc"), "text"), key="doc")
-    keep = materialize(groups.where("doc = component_id").select(F.col("doc.row").alias("_keep")), "keep")
-    return rows.join(keep, rows["_row"] == keep["_keep"], "left_semi").drop("_row")
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the tokens of what is left into sequences; one row per piece, with its ids."""
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
-
-
-STAGES = [("toxicity", toxicity), ("exact dedup", exact), ("simhash near-dedup", simhash), ("packing", packing)]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
-
-
-#: No SQL says what a trained network rejects; the tests hold every stage against brute force.
-ORACLE_SQL = None
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
