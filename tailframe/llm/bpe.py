@@ -204,11 +204,13 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
         for x in parts:
             out = []
             gc.disable()  # what is made here has no cycles
-            for t in x:
-                found = list(b.runs(t or ""))
-                ids = list(chain.from_iterable([f[1] for f in found]))
-                out.append((len(ids), sha(",".join([f[0] for f in found]).encode()), sha(b.decode(ids).encode())))
-            gc.enable()
+            try:
+                for t in x:
+                    found = list(b.runs(t or ""))
+                    ids = list(chain.from_iterable([f[1] for f in found]))
+                    out.append((len(ids), sha(",".join([f[0] for f in found]).encode()), sha(b.decode(ids).encode())))
+            finally:
+                gc.enable()
             yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(docs[key], run(docs[text]).alias("r")).select(key, "r.*")

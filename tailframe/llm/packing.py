@@ -241,18 +241,20 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
             return pa.RecordBatch.from_arrays(cols, names=out.names)
 
         gc.disable()  # the loop makes no cycles
-        for b in batches:
-            key_type = b.schema.field(0).type
-            rows: list[tuple] = []
-            for k, ids in zip(b.column(0).to_pylist(), tokens.texts(b.column(1).to_pylist()), strict=True):
-                rows += packer.add(k, np.concatenate([ids, stop]))
-                if len(rows) > 4096:
+        try:
+            for b in batches:
+                key_type = b.schema.field(0).type
+                rows: list[tuple] = []
+                for k, ids in zip(b.column(0).to_pylist(), tokens.texts(b.column(1).to_pylist()), strict=True):
+                    rows += packer.add(k, np.concatenate([ids, stop]))
+                    if len(rows) > 4096:
+                        yield batch(rows)
+                        rows = []
+                if rows:
                     yield batch(rows)
-                    rows = []
-            if rows:
-                yield batch(rows)
-        rows = list(packer.plan(True))
-        gc.enable()
+            rows = list(packer.plan(True))
+        finally:
+            gc.enable()  # the worker is used again, also after an error
         if rows:
             yield batch(rows)
 

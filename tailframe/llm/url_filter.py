@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: (verdict, host, path); what the query judges by.
 RULES = (
     ("allow", "com", "/"),
@@ -18,6 +20,7 @@ RULES = (
 )
 #: A trie is broadcast up to so many rules (some 50 MB); more rules are joined on the host's suffixes.
 TRIE_RULES = 200_000
+SALTS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,6 +42,7 @@ class UrlTrie:
                 node = node.setdefault(("p", segment), {})
             ends = node.setdefault("ends", {})
             ends.setdefault(last, number)
+            node["sizes"] = sorted({*node.get("sizes", ()), len(last)}, reverse=True)
 
     def find(self, host: str, path: str) -> int:
         """Number of the rule with the longest host, then the longest path, among those that fit; -1 if none."""
@@ -51,10 +55,8 @@ class UrlTrie:
             at: dict | None = node
             for segment in segments:
                 ends = at.get("ends")
-                if ends:
-                    fits = [last for last in ends if segment.startswith(last)]
-                    if fits:
-                        best = ends[max(fits, key=len)]
+                if ends:  # one look for each length of its rules, longest first
+                    best = next((ends[segment[:n]] for n in at["sizes"] if len(segment) >= n and segment[:n] in ends), best)
                 at = at.get(("p", segment))
                 if at is None:
                     break
@@ -104,13 +106,18 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, defau
 
 
 def by_join(d: DataFrame, rules: Sequence[tuple[str, str, str]], default: str) -> DataFrame:
-    """The same for rule sets too large to broadcast: hosts' suffixes (one for each label) meet the rules' hosts."""
+    """The same for rule sets too large to broadcast: hosts' suffixes (one for each label) meet the rules' hosts.
+
+    Pages of one host suffix (``com``) are dealt to SALTS tasks, each with a copy of its rules.
+    """
     spark = d.sparkSession
     table = spark.createDataFrame([(v, h, p, h.count(".") + 1, n) for n, (v, h, p) in enumerate(rules)], "v string, rh string, rp string, depth int, n int")
-    d = d.withColumn("_id", F.monotonically_increasing_id())
+    table = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    d = materialize(d.withColumn("_id", F.monotonically_increasing_id()), "urls")  # stored, so the numbers stay
     labels = F.split("host", r"\.")
     tails = d.withColumn("rh", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
-    met = tails.join(table, "rh").where(F.col("path").startswith(F.col("rp")))
+    tails = tails.withColumn("salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
+    met = tails.join(table, ["rh", "salt"]).where(F.col("path").startswith(F.col("rp")))
     best = met.groupBy("_id").agg(F.max(F.struct("depth", F.length("rp").alias("len"), (-F.col("n")).alias("n"), F.concat("rh", "rp").alias("rule"), "v")).alias("b"))
     return d.join(best, "_id", "left").select("k", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.v", F.lit(default)).alias("verdict"))
 

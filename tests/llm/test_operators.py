@@ -322,6 +322,17 @@ def test_packing(docs, none):
     assert rows(pack(none, path)) == []
 
 
+def test_padding(spark):
+    """Of a whole table's tokens under three in a hundred are padding; a sequence as long as a power of two has none."""
+    from tailframe.llm.packing import op3_packing
+
+    sizes = [r["n"] for r in op3_packing(spark, SF).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()]
+    assert all(0 < n <= 4096 for n in sizes)
+    padding = sum(4096 - n for n in sizes if n & (n - 1))
+    print(f"padding: {padding / sum(sizes):.4f} of {sum(sizes)} tokens in {len(sizes)} sequences")
+    assert padding < 0.03 * sum(sizes)
+
+
 def test_added_tokens_in_other_case():
     """An added token is one token in its own case only, as in the library."""
     from tokenizers import Tokenizer
