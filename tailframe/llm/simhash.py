@@ -68,7 +68,7 @@ def cell_blocks(bits: int, count: int) -> int:
 
 
 def cells(table: DataFrame, bits: int, count: int) -> DataFrame:
-    """fp, table, cell: two fingerprints within ``bits`` share all bits of at least blocks - bits of the blocks,
+    """fp, choice, cell: two fingerprints within ``bits`` share all bits of at least blocks - bits of the blocks,
     so they meet in a cell for each such choice of blocks. Which choice is part of the cell's key."""
     from itertools import combinations
 
@@ -78,7 +78,7 @@ def cells(table: DataFrame, bits: int, count: int) -> DataFrame:
     chosen = [sum(masks[i] for i in c) for c in combinations(range(blocks), blocks - bits)]
     signed = [m - (1 << 64) if m >> 63 else m for m in chosen]
     keys = F.array(*(F.struct(F.lit(n).cast("short").alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for n, m in enumerate(signed)))
-    return table.select("fp", "t", F.explode(keys).alias("cell")).select("fp", "t", F.col("cell.c").alias("c"), F.col("cell.v").alias("v"))
+    return table.select("fp", F.explode(keys).alias("cell")).select("fp", F.col("cell.c").alias("c"), F.col("cell.v").alias("v"))
 
 
 def forest(fp: np.ndarray, table: np.ndarray, block: np.ndarray, i: int, j: int, bits: int) -> list[tuple[int, int]]:
@@ -108,22 +108,23 @@ def forest(fp: np.ndarray, table: np.ndarray, block: np.ndarray, i: int, j: int,
     return out
 
 
-def near_links(table: DataFrame, count: int, bits: int = BITS, block: int = BLOCK) -> DataFrame:
+def near_links(table: DataFrame, count: int, bits: int = BITS, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """a, b: links that connect exactly the fingerprints that all pairs within ``bits`` would connect.
 
-    ``table`` has distinct fingerprints fp and their distances t (binary). No link is lost: see ``cells``; a cell too large
-    for one task is split into tasks that together compare all its pairs.
+    ``table`` has distinct fingerprints fp. No link is lost: see ``cells``; a cell too large
+    for one task is split into tasks that together compare all its pairs. A task first makes the pivot table of its fingerprints: distances
+    follow from the fingerprint, so they do not travel with its many copies.
     """
-    dealt = materialize(cells(table, bits, count), "cells")
+    dealt, refs = materialize(cells(table, bits, count), "cells"), pivot_bits(pivots)
     tasks = pair_tasks(dealt, ["c", "v"], "fp", block)
     where = ["c", "v", "_i", "_j"]
-    tasks = tasks.repartition(*where).sortWithinPartitions(*where).select(*where, "_b", "fp", "t")
+    tasks = tasks.repartition(*where).sortWithinPartitions(*where).select(*where, "_b", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, edges in task_runs(batches, where):
             i, j, b, fp = (t.column(n).to_numpy() for n in ("_i", "_j", "_b", "fp"))
-            data = np.frombuffer(b"".join(t.column("t").to_pylist()), dtype=np.uint8).reshape(len(fp), -1)
             size, bits_of = np.diff(edges), fp.view(np.uint64)
+            data = pivot_table(bits_of, refs)
             two = edges[:-1][size == 2]  # most cells, all at once
             two = two[(i[two] == j[two]) | (b[two] != b[two + 1])]
             two = two[(np.abs(data[two].astype(np.int16) - data[two + 1]) <= bits).all(axis=1)]
@@ -140,9 +141,9 @@ def near_links(table: DataFrame, count: int, bits: int = BITS, block: int = BLOC
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS, shingle: int = SHINGLE, pivots: int = PIVOTS) -> DataFrame:
     """Fingerprint and component of every row; fingerprints within ``bits`` differing bits are linked.
 
-    Equal fingerprints are one node from the start, so groups of exact copies cost nothing. The pivot table holds each
-    node's distances to the reference fingerprints. Nodes meet in cells, pairs are discarded by their largest
-    difference in the table, survivors verified, and links become components.
+    Equal fingerprints are one node from the start, so groups of exact copies cost nothing. Nodes meet in cells; the
+    pivot table of a task holds each node's distances to the reference fingerprints, pairs are discarded by their largest
+    difference in it, survivors verified, and links become components.
 
     Columns: key, fingerprint (16 hex digits), component_id (smallest key reachable). Null text is empty; a text without words has
     fingerprint zero and is linked like any other. Null keys are members but never name a component unless all its keys
@@ -150,16 +151,8 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: i
     """
     rows = materialize(fingerprints(docs, key, text, shingle), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("k").alias("low"), F.count("*").alias("n")), "nodes")
-    refs = pivot_bits(pivots)
-
-    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            t = pivot_table(b.column(0).to_numpy().view(np.uint64), refs)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in t], pa.binary())], names=["fp", "t"])
-
-    table = materialize(nodes.select("fp").mapInArrow(distances, "fp long, t binary"), "pivots")
     count = nodes.count()
-    links = materialize(near_links(table, count, bits), "links")
+    links = materialize(near_links(nodes.select("fp"), count, bits, pivots=pivots), "links")
     labels = components(links)
     named = materialize(nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "low", "n", F.coalesce("label", "fp").alias("label")), "labelled")
     lows = materialize(named.groupBy("label").agg(F.min("low").alias("component_id"), F.count("*").alias("_size")), "lows")
