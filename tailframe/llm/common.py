@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -82,6 +83,15 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nobody holds any more: it does so when their driver-side objects are collected.
+
+    Called where a stage begins with a stored table, so that the disk holds one stage's shuffles and not those of all before.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Deletes every working table. Call it when all results built on them are written."""
     jvm = spark.sparkContext._jvm

@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch
+from .common import free_shuffles, materialize, scratch
 from .exact_dedup import keep_one
 from .packing import pack
 from .simhash import near_dedup
@@ -30,6 +30,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one of the texts that are equal without white space: the longest, then the smallest id (null ids last). Empty texts are equal to
     each other; of rows that repeat id and text one stays."""
+    free_shuffles(spark)
     return keep_one(docs)
 
 
@@ -38,6 +39,7 @@ def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are told apart by a stored number, as ids can be null or repeated. Texts without words have one fingerprint and are a component.
     """
+    free_shuffles(spark)
     rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
     groups = near_dedup(rows.select(row.alias("doc"), "text"), key="doc")
@@ -47,6 +49,7 @@ def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the tokens of what is left into sequences; one row per piece, with its ids. An empty text is its end token alone."""
+    free_shuffles(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -37,7 +37,9 @@ TOXIC_SIDE = 0.7
 #: Windows of a text that the fit looks at, of the highest word logits and at random.
 TOP_WINDOWS, SOME_WINDOWS = 6, 6
 #: Distinct words that the reader's start takes at most, and distinct words whose projected inputs a worker keeps.
-FIT_WORDS, CACHE = 120_000, 250_000
+FIT_WORDS, CACHE = 120_000, 150_000
+#: Characters of words that are read at once, about; what every filter says of each takes 130 bytes twice.
+READ_BYTES = 50_000
 THRESHOLD = 0.5
 STRIP = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -84,7 +86,7 @@ def read_words(p: dict, words: list[str]) -> np.ndarray:
     i = 0
     while i < len(words):
         j, size = i, 0
-        while j < len(words) and size < 400_000:
+        while j < len(words) and size < READ_BYTES:
             size += len(words[j])
             j += 1
         codes, at, first = byte_codes(words[i:j])
