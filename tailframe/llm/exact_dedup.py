@@ -245,8 +245,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     kept = out.where("kept").select(F.col(key).alias("_kept_key"), F.col("text_sha256").alias("_kept_sha"))
     met = docs[key].eqNullSafe(kept["_kept_key"])
     n = out.agg(F.count("*").alias("n"), F.count_distinct(key).alias("d")).first()
-    if n["n"] == n["d"]:
-        return docs.join(kept, met, "left_semi")
+    if n["n"] == n["d"]:  # texts are shuffled only where the kept keys are too many to broadcast
+        keys = gated(materialize(kept.select("_kept_key"), "keys"))
+        return docs.join(keys, docs[key].eqNullSafe(keys["_kept_key"]), "left_semi")
     sha = F.sha2(normalised(docs[text]), 256)
     return docs.join(kept, met & (sha == kept["_kept_sha"]), "left_semi").withColumn("_sha", sha).dropDuplicates([key, "_sha"]).drop("_sha")
 

@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, materialize, scratch
+from .common import free_shuffles, gated, materialize, scratch
 from .exact_dedup import keep_one
 from .packing import pack
 from .simhash import near_dedup
@@ -44,6 +44,7 @@ def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
     groups = near_dedup(rows.select(row.alias("doc"), "text"), key="doc")
     keep = materialize(groups.where("doc = component_id").select(F.col("doc.row").alias("_keep")), "keep")
+    keep = gated(keep)  # texts are shuffled only where the kept numbers are too many to broadcast
     return rows.join(keep, rows["_row"] == keep["_keep"], "left_semi").drop("_row")
 
 
