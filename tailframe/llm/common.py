@@ -32,6 +32,11 @@ def loaded(blob, make: Callable[[bytes], object]):
     return _LOADED[key]
 
 
+def unload() -> None:
+    """Lets a worker drop the model of an operator before, where the next one needs none."""
+    _LOADED.clear()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 

@@ -26,7 +26,8 @@ RUN = 1 << 20
 INSIDE_DOCUMENT, INSIDE_SENTENCE = 32, 64
 #: A sentence of more tokens may be cut within, every so many tokens.
 LONG_SENTENCE = 1024
-CACHE = 500_000
+#: Units that a worker remembers, and texts that it holds as Python strings at once.
+CACHE, TEXTS = 120_000, 256
 
 #: Letters that the vocabulary's normalizer leaves alone, and marks that may follow a word. The vocabulary's own split has an edge between such a word and such marks, and drops white space.
 LETTERS = "a-z\xdf-\xf6\xf8-\xff"
@@ -99,8 +100,8 @@ class WordTokens:
         return bool(ODD_SPACE.search(text)) or any((n := small.count(a)) and n != raw.count(a) for a in self.added)
 
     def texts(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        for i in range(0, len(texts), 512):
-            some = [t or "" for t in texts[i : i + 512]]
+        for i in range(0, len(texts), TEXTS):
+            some = [t or "" for t in texts[i : i + TEXTS]]
             odd = [self.odd(t) for t in some]
             units = [[] if o else t.encode().lower().decode().split() for t, o in zip(some, odd, strict=True)]  # A-Z alone; the library does the rest
             self.learn(units)
@@ -245,11 +246,12 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
             for b in batches:
                 key_type = b.schema.field(0).type
                 rows: list[tuple] = []
-                for k, ids in zip(b.column(0).to_pylist(), tokens.texts(b.column(1).to_pylist()), strict=True):
-                    rows += packer.add(k, np.concatenate([ids, stop]))
-                    if len(rows) > 4096:
-                        yield batch(rows)
-                        rows = []
+                for part in (b.slice(i, TEXTS) for i in range(0, b.num_rows, TEXTS)):
+                    for k, ids in zip(part.column(0).to_pylist(), tokens.texts(part.column(1).to_pylist()), strict=True):
+                        rows += packer.add(k, np.concatenate([ids, stop]))
+                        if len(rows) > 4096:
+                            yield batch(rows)
+                            rows = []
                 if rows:
                     yield batch(rows)
             rows = list(packer.plan(True))

@@ -10,13 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, join_groups, materialize, pair_tasks, task_runs
+from .common import Forest, components, join_groups, materialize, pair_tasks, task_runs, unload
 
 SHINGLE, SEED, BITS = 4, 42, 4
 #: Reference fingerprints; the table has the distance of every fingerprint to each.
 PIVOTS = 16
-#: Fingerprints of one cell that are compared in one task.
-BLOCK = 2048
+#: Fingerprints of one cell that are compared in one task; texts that a worker holds as Python strings at once.
+BLOCK, TEXTS = 2048, 256
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -42,8 +42,10 @@ def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE) -
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unload()
         for b in batches:
-            fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
+            parts = (b.column(1).slice(i, TEXTS) for i in range(0, b.num_rows, TEXTS))
+            fps = np.array([fingerprint(t, shingle) for x in parts for t in x.to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["k", "fp"])
 
     return docs.select(docs[key].alias("k"), docs[text].alias("x")).mapInArrow(run, f"k {kind}, fp long")
