@@ -19,6 +19,7 @@ MODULES = {
     "op8_sharding": "sharding",
     "op9_chat_perspectives": "chat",
     "op10_exact_dedup": "exact_dedup",
+    "op12_spelling_variants": "spelling",
 }
 
 
