@@ -19,7 +19,9 @@ MODULES = {
     "op8_sharding": "sharding",
     "op9_chat_perspectives": "chat",
     "op10_exact_dedup": "exact_dedup",
+    "op11_conversation_trie": "conv_trie",
     "op12_spelling_variants": "spelling",
+    "op13_pii": "pii",
 }
 
 
