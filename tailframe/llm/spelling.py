@@ -122,6 +122,8 @@ def pivots(freq: np.ndarray, prefix: np.ndarray) -> np.ndarray:
 
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a key that travel; keys that agree by chance only cost a check.
+KEY_BITS = np.uint64(2**48 - 1)
 
 
 def mixed(*parts: np.ndarray | int) -> np.ndarray:
@@ -206,7 +208,7 @@ def keyed(words: DataFrame, ranks: list[tuple[str, int]], probes: bool) -> DataF
                         codes = grams.number[np.frombuffer(text.encode("utf-32-le"), dtype="<u4")].reshape(len(some), length)
                         ir, ik, pr, pk = keys_of(codes, grams)
                         rows, keys = (some[pr], pk) if probes else (some[ir], ik)
-                        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), ids.take(pa.array(rows))], names=["key", "id"])
+                        yield pa.RecordBatch.from_arrays([pa.array((keys & KEY_BITS).view(np.int64)), ids.take(pa.array(rows))], names=["key", "id"])
 
     return words.select("id", "word").mapInArrow(run, "key long, id long")
 
@@ -220,7 +222,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """
     ranks = gram_ranks(words)
     met = keyed(words, ranks, True).toDF("key", "x").join(keyed(words, ranks, False).toDF("key", "y"), "key").where("x <> y")
-    pair = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pair = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).repartition("a").distinct()  # dealt as the join with a's words needs it
     one, two = (words.select(F.col("id").alias(c), F.col("word").alias(f"w{c}")) for c in "ab")
     return pair.join(one, "a").join(two, "b").where(F.levenshtein("wa", "wb", EDITS) == EDITS)
 
