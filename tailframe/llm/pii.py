@@ -28,7 +28,7 @@ BASE = {
 WIDE = {
     "email": rf"(?<![{LOCAL}@])[A-Za-z0-9_%+-][{LOCAL}]{{0,63}}\x20?[(\[]\x20?(?:at|AT|@)\x20?[)\]]\x20?[A-Za-z0-9-]{{1,63}}(?:(?:\.|\x20?[(\[]\x20?(?:dot|DOT)\x20?[)\]]\x20?)[A-Za-z0-9-]{{1,63}}){{1,8}}",
     "card": r"(?<![0-9.])[0-9]{4}([./])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])",
-    "phone": r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,5}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20./-][0-9]{3,5}(?![0-9A-Za-z-])",
+    "phone": r"(?<![0-9A-Za-z./+-])\(?[0-9]{2,5}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20./-][0-9]{3,5}(?![0-9A-Za-z-]|[\x20./][0-9])",
 }
 #: What a text must hold before a pattern is tried on it.
 GATE = {"email": "@", "ip": ".", "phone": "+", "card": ""}
@@ -47,8 +47,10 @@ CUES = {
 OTHER = r"(?i)(?:version|release|\bv|isbn|issn|order|invoice|serial|article|section|chapter|page|total|price|amount|sku|build|ref|lot|item|\bid|\bno|[$€£#])\W{0,3}$"
 #: Labelers in order: each says 1 (personal data), -1 (not) or 0 (nothing) of a candidate.
 LABELERS = ("pattern", "structure", "gazetteer", "cue", "other_number", "edges", "variety")
-#: Rounds of expectation-maximisation and of the classifier's descent, its rate and weight decay, the smoothing of counts, and from what probability a span is added.
-ROUNDS, STEPS, RATE, DECAY, SMOOTH, THRESHOLD = 12, 40, 2.0, 1e-3, 1.0, 0.9
+#: Rounds of expectation-maximisation; right answers of how many a labeler has before any is counted, the most that it is trusted, and the smoothing of the share of true spans.
+ROUNDS, SURE, MOST, SMOOTH = 12, (4.0, 5.0), 0.99, 1.0
+#: Steps of the classifier's descent, their rate and the weights' decay; from what probability a span is added.
+STEPS, RATE, DECAY, THRESHOLD = 40, 2.0, 1e-3, 0.9
 
 
 def found_in(text: Column, pattern: str, gate: Column) -> Column:
@@ -131,28 +133,26 @@ def with_votes(spans: DataFrame) -> DataFrame:
         "phone": vote(F.col("hit").startswith("+") & ~digits.startswith("0"), ~F.col("hit").startswith("+") & digits.rlike(r"^[01]{2}")),
     }
     cue = by_kind({k: vote(F.col("before").rlike(p)) for k, p in CUES.items()})
-    glued = F.col("before").rlike(r"[0-9A-Za-z_/=#]$") | F.col("behind").rlike(r"^(?:[0-9A-Za-z_=]|[.,-][0-9])")
+    glued = F.col("before").rlike(r"[0-9A-Za-z_/=#]$") | F.col("behind").rlike(r"^(?:[0-9A-Za-z_=]|[.,/-][0-9])")
     alike = by_kind({k: (F.lit(False) if k == "email" else digits.rlike(r"^(.)\1*$") if k != "ip" else F.col("hit").rlike(r"^([0-9]+)(?:\.\1){3}$")) for k in KINDS}) | F.contains(F.lit("01234567890123456789"), digits) & (size > 0)
     votes = {
-        "pattern": vote(F.col("base"), F.lit(True)), "structure": by_kind(structure), "gazetteer": by_kind(gazetteer), "cue": cue, "other_number": vote(F.lit(False), F.col("before").rlike(OTHER)),
-        "edges": vote(~glued, F.lit(True)), "variety": vote(F.lit(False), alike),
+        "pattern": vote(F.col("base")), "structure": by_kind(structure), "gazetteer": by_kind(gazetteer), "cue": cue, "other_number": vote(F.lit(False), F.col("before").rlike(OTHER)),
+        "edges": vote(F.lit(False), glued), "variety": vote(F.lit(False), alike),
     }
     return spans.withColumns({**{f"v_{n}": votes[n] for n in LABELERS}, "many": (size >= 10).cast("int"), "parted": F.col("hit").rlike(r"[\x20./()-]").cast("int")})
 
 
 VOTES = [f"v_{n}" for n in LABELERS]
-ANSWERS = (-1, 0, 1)
 
 
-def answers() -> Column:
-    """What every labeler answered, as ones and zeros."""
-    return F.array(*(F.when(F.col(v) == a, 1.0).otherwise(0.0) for v in VOTES for a in ANSWERS))
+def answers() -> list[Column]:
+    """A constant, and yes and no of every labeler, as ones and zeros."""
+    return [F.lit(1.0), *(F.when(F.col(v) == a, 1.0).otherwise(0.0) for v in VOTES for a in (1, -1))]
 
 
 def features() -> Column:
-    """What the classifier sees of a span: a constant, yes and no of every labeler, and the span's form."""
-    said = [F.when(F.col(v) == a, 1.0).otherwise(0.0) for v in VOTES for a in (1, -1)]
-    return F.array(F.lit(1.0), *said, F.col("many").cast("double"), F.col("parted").cast("double"))
+    """What the classifier sees of a span: the labelers' answers and the span's form."""
+    return F.array(*answers(), F.col("many").cast("double"), F.col("parted").cast("double"))
 
 
 def chance(x: str, weights: list[list[float]]) -> Column:
@@ -167,24 +167,34 @@ def sums_by_kind(patterns: DataFrame, x: str, value: Column) -> dict[tuple[int,
     return {(r["kind_no"], r["i"]): r["s"] for r in rows.collect()}
 
 
+def log_odds(x: float) -> float:
+    return math.log(x / (1 - x))
+
+
 def weighed(patterns: DataFrame) -> DataFrame:
     """patterns (kind_no, votes, times) with p, the probability that such a span is personal data.
 
-    Each labeler has, for each kind, chances of its three answers given a true and a false span; expectation-maximisation starts from the majority and fits
-    them and the share of true spans. ``patterns`` is a stored table of at most kinds * 3^labelers * 4 rows, however many spans there are; a round is one small
-    aggregation, whose sums weigh the next round.
+    A labeler that says something is right with a chance of its own for each kind; one that says nothing tells nothing. Expectation-maximisation starts
+    from the majority and fits the chances and the share of true spans; a chance begins at SURE[0] of SURE[1] answers and is never taken for less than one half, as what a labeler says is not
+    evidence of the opposite. ``patterns`` is a stored table of at most kinds * 3^labelers * 4 rows, however many spans there are; a round is one
+    small aggregation, whose sums weigh the next round.
     """
     total = reduce(lambda a, b: a + b, (F.col(v) for v in VOTES))
-    p = F.when(total > 0, F.lit(0.9)).when(total < 0, F.lit(0.1)).otherwise(F.lit(0.5))
-    patterns = patterns.withColumn("x", F.concat(F.array(F.lit(1.0)), answers()))
-    all_of = sums_by_kind(patterns, "x", F.col("times"))
+    p = F.when(total > 1, F.lit(0.9)).when(total < 1, F.lit(0.1)).otherwise(F.lit(0.5))  # one voice alone leaves it open
+    patterns = patterns.withColumn("x", F.array(*answers()))
+    spans = sums_by_kind(patterns, "x", F.col("times"))
     for _ in range(ROUNDS):
         true = sums_by_kind(patterns, "x", F.col("times") * p)
         weights = []
         for kind in range(len(KINDS)):
-            t = [true.get((kind, i), 0.0) for i in range(1 + len(VOTES) * len(ANSWERS))]
-            f = [all_of.get((kind, i), 0.0) - y for i, y in enumerate(t)]
-            weights.append([math.log((t[0] + SMOOTH) / (f[0] + SMOOTH)), *(math.log((a + SMOOTH) / (t[0] + len(ANSWERS) * SMOOTH)) - math.log((max(b, 0.0) + SMOOTH) / (f[0] + len(ANSWERS) * SMOOTH)) for a, b in zip(t[1:], f[1:], strict=True))])
+            share = (true.get((kind, 0), 0.0) + SMOOTH) / (spans.get((kind, 0), 0.0) + 2 * SMOOTH)
+            own = [log_odds(share)]
+            for i in range(1, 2 * len(VOTES), 2):
+                said = spans.get((kind, i), 0.0) + spans.get((kind, i + 1), 0.0)
+                right = true.get((kind, i), 0.0) + spans.get((kind, i + 1), 0.0) - true.get((kind, i + 1), 0.0)
+                weight = log_odds(min(max((right + SURE[0]) / (said + SURE[1]), 0.5), MOST))
+                own += [weight, -weight]
+            weights.append(own)
         p = chance("x", weights)
     return patterns.withColumn("p", p).drop("x")
 
@@ -220,7 +230,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
 
     A base span is a leftmost match of its kind's pattern that holds (``base_holds``); a match that does not is dropped, and the search goes on behind it. Candidates are
     the base spans, the base patterns' failed matches of ten digits or more, and matches of wider patterns. All of them are voted on and teach; of those that are no base span,
-    the ones to which the classifier gives ``threshold`` or more are added, unless they overlap a base span or an added one that begins earlier.
+    the ones of right structure (check digit, number of digits, octets) to which the classifier gives ``threshold`` or more are added, unless they overlap a base span or an added one that begins earlier.
 
     Places are in code points, end exclusive; spans are ordered by kind, then start. Null texts are empty and, like texts without a match, have no
     spans: an empty string, whose digest is base_sha256. Null and repeated keys are rows like others, equal rows have equal results, an empty table gives no rows, other
@@ -232,7 +242,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     voted = materialize(with_votes(reduce(DataFrame.unionByName, spans)).drop("hit", "before", "behind"), "spans")
     patterns = materialize(voted.groupBy("kind_no", *VOTES, "many", "parted").agg(F.count("*").alias("times")).coalesce(1), "patterns")
     soft = materialize(weighed(patterns).coalesce(1), "weighed")
-    kept = voted.withColumn("x", features()).withColumn("p", chance("x", classifier(soft))).where(F.col("base") | (F.col("p") >= threshold)).select("rid", "kind_no", "start", "stop", "base")
+    kept = voted.withColumn("x", features()).withColumn("p", chance("x", classifier(soft))).where(F.col("base") | ((F.col("p") >= threshold) & (F.col("v_structure") == 1))).select("rid", "kind_no", "start", "stop", "base")
     kept = without_overlaps(kept)
     names = F.array(*(F.lit(k) for k in KINDS))
     written = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", F.get(names, s["kind_no"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
