@@ -180,6 +180,11 @@ def against_snapshot(docs: DataFrame, path: str, key: str = "doc_id", text: str
 
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = 2) -> DataFrame:
+    """``grouped`` as the contract names its columns: key, keep_id, group_size, kept, text_sha256."""
+    return grouped(docs, key, text, batches).drop("n_cp")
+
+
+def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = 2) -> DataFrame:
     """Groups texts that are identical without ASCII white space and names the row that stays.
 
     Rows arrive in ``batches`` (by a hash of the key). Each batch groups its own duplicates, then its
@@ -190,7 +195,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", batche
     Of equal texts the row with the most code points in the original text stays, then the smallest key
     (a null key comes last). Null text counts as empty, and empty texts are equal to each other. A row that
     is repeated, key and all, is a member each time; exactly one copy is kept. Columns: key, keep_id,
-    group_size, kept, text_sha256. Other columns are ignored. An empty table gives no rows.
+    group_size, kept, text_sha256, n_cp (code points of the original text). Other columns are ignored. An empty table gives no rows.
     """
     rows = materialize(digests(docs, key, text, batches), "digests")
     groups = None  # digest, side (batch), n, best
@@ -222,7 +227,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", batche
     out = join_groups(rows, merged.withColumn("_size", F.col("group_size")), ["digest", "batch"], "_size", rows.count())
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("k")).otherwise(F.col("keep"))
-    return out.select(F.col("k").alias(key), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (alone | (F.col("rid") == F.col("keep_rid"))).alias("kept"), F.col("digest").alias("text_sha256"))
+    return out.select(F.col("k").alias(key), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (alone | (F.col("rid") == F.col("keep_rid"))).alias("kept"), F.col("digest").alias("text_sha256"), "n_cp")
 
 
 def same_bytes(docs: DataFrame, key: str, text: str, met: DataFrame) -> DataFrame:
@@ -240,16 +245,20 @@ def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns. Where keys repeat, the text decides too."""
-    out = materialize(exact_dedup(docs, key, text), "kept")
-    kept = out.where("kept").select(F.col(key).alias("_kept_key"), F.col("text_sha256").alias("_kept_sha"))
-    met = docs[key].eqNullSafe(kept["_kept_key"])
+    """The rows that stay, with all their columns.
+
+    Where keys repeat, a row is told by its text without white space and by its length too, so of rows that share a key the longest stays; of rows that are alike
+    in all three one does.
+    """
+    out = materialize(grouped(docs, key, text), "kept")
+    kept = out.where("kept").select(F.col(key).alias("_kept_key"), F.col("text_sha256").alias("_kept_sha"), F.col("n_cp").alias("_kept_n"))
     n = out.agg(F.count("*").alias("n"), F.count_distinct(key).alias("d")).first()
     if n["n"] == n["d"]:  # texts are shuffled only where the kept keys are too many to broadcast
         keys = gated(materialize(kept.select("_kept_key"), "keys"))
         return docs.join(keys, docs[key].eqNullSafe(keys["_kept_key"]), "left_semi")
-    sha = F.sha2(normalised(docs[text]), 256)
-    return docs.join(kept, met & (sha == kept["_kept_sha"]), "left_semi").withColumn("_sha", sha).dropDuplicates([key, "_sha"]).drop("_sha")
+    sha, size = F.sha2(normalised(docs[text]), 256), F.char_length(F.coalesce(docs[text], F.lit("")))
+    rows = docs.join(kept, docs[key].eqNullSafe(kept["_kept_key"]) & (sha == kept["_kept_sha"]) & (size == kept["_kept_n"]), "left_semi")
+    return rows.withColumn("_sha", sha).dropDuplicates([key, "_sha"]).drop("_sha")
 
 
 ORACLE_SQL = r"""
