@@ -112,6 +112,8 @@ def vectors_of(column: pa.ChunkedArray) -> np.ndarray:
     """Rows of a list column of one length, as unit vectors in double precision."""
     flat = pa.concat_arrays([c.flatten() for c in column.chunks]).to_numpy(zero_copy_only=False).astype(np.float64)
     x = flat.reshape(len(column), -1)
+    most = np.abs(x).max(axis=1, keepdims=True)
+    x = np.where((most > 1e100) | (most < 1e-100), x / most, x)  # their squares would overflow or vanish
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
