@@ -6,9 +6,11 @@ Each word is read as a sequence of bytes by a small convolution, beside a vector
 from __future__ import annotations
 
 import pickle
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -17,8 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import loaded
 
-#: Words in a window and words between starts; the last window ends with the text, so all words are scored.
-WINDOW, STRIDE = 32, 24
+#: Words in a window, and words between the starts of windows that are scored and that are learnt from; the last window ends with the text. Every run of
+#: WINDOW - STRIDE + 1 words lies whole in a window, wherever it stands.
+WINDOW, STRIDE, FIT_STRIDE = 32, 16, 24
 #: Labelled texts that the fit may use, of each label, and the longest of them in code points. The sample is taken by a hash of the id.
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 900, 1800, 30_000
 HIDDEN, WORD_DIM, ATTEND = 8, 6, 4
@@ -36,8 +39,11 @@ WORD_TEXTS, WORD_CHARS = 4, 40
 TOXIC_SIDE = 0.7
 #: Windows of a text that the fit looks at, of the highest word logits and at random.
 TOP_WINDOWS, SOME_WINDOWS = 6, 6
-#: Distinct words that the reader's start takes at most, and distinct words whose projected inputs a worker keeps.
-FIT_WORDS, CACHE = 120_000, 150_000
+#: Distinct words that the reader's start takes at most; words whose projected inputs a worker keeps; words that it takes at once (a multiple of
+#: STRIDE), and windows that it runs at once. Memory follows from these, whatever the texts' number, length and variety.
+FIT_WORDS, CACHE, SEGMENT, WINDOWS = 120_000, 60_000, 16_000, 1024
+#: From so many code points a text's words are taken one after the other instead of all at once.
+LONG = 1 << 20
 #: Characters of words that are read at once, about; what every filter says of each takes 130 bytes twice.
 READ_BYTES = 50_000
 THRESHOLD = 0.5
@@ -56,6 +62,27 @@ def words_of(text: str | None) -> list[str]:
     return words
 
 
+def runs_of(text: str | None) -> Iterator[list[str]]:
+    """The words in runs of SEGMENT to twice as many and some more, so that the windows of the runs are the windows of the text."""
+    if text is None or len(text) < LONG:
+        words = words_of(text)
+        if len(words) <= SEGMENT:
+            yield words
+            return
+        stream = iter(words)
+    else:
+        stream = (w for m in re.finditer(r"\S+", text) for w in words_of(m.group()))
+    more = WINDOW - STRIDE
+    run = list(islice(stream, SEGMENT + more))
+    while True:
+        ahead = list(islice(stream, SEGMENT))
+        if len(ahead) < SEGMENT:
+            yield run + ahead
+            return
+        yield run
+        run = run[SEGMENT:] + ahead
+
+
 def byte_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes of all words' bytes (0 padding, 1 a word's begin, 2 its end, a byte plus 3), where each filter's look
     begins (as many for a word as it has bytes), and the number of each word's first look."""
@@ -127,50 +154,67 @@ class Network:
         own = self.p["words"][[self.vocabulary.get(w, 1) for w in words]]
         return np.concatenate([own, read_words(self.p, words)], axis=1) @ self.p["W"] + self.p["b"][:, None]
 
-    def index(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Rows of ``inputs`` for every word of every text; new words are projected."""
-        if self.inputs is None or self.used > CACHE:
-            self.known, self.used = {}, 1
-            self.inputs = np.zeros((2, 1 << 14, 3 * HIDDEN), dtype=np.float32)
-        split = [words_of(t) for t in texts]
-        new = set().union(*split).difference(self.known)
-        if new:
-            forms: dict[str, int] = {}
-            bare = [w.strip(STRIP) or w for w in new]
-            for w in bare:
-                forms.setdefault(w, len(forms))
-            distinct = list(forms)
-            while self.used + len(distinct) > self.inputs.shape[1]:
-                self.inputs = np.concatenate([self.inputs, np.zeros_like(self.inputs)], axis=1)
-            self.inputs[:, self.used : self.used + len(distinct)] = self.project(distinct)
-            base = self.used
-            self.known.update((u, base + forms[w]) for u, w in zip(new, bare, strict=True))
-            self.used += len(distinct)
-        get = self.known.__getitem__
-        return [np.fromiter(map(get, ws), dtype=np.int32, count=len(ws)) for ws in split]
-
-    def logits(self, texts: list[str | None]) -> np.ndarray:
-        """The largest logit of any window of each text."""
-        out = np.full(len(texts), -np.inf)
-        step = max(1, min(256, len(texts)))
-        for i in range(0, len(texts), step):
-            rows = self.index(texts[i : i + step])
-            owner, windows = windows_of(rows)
-            for k in range(0, len(windows), 1024):
-                np.maximum.at(out, i + owner[k : k + 1024], run(self.p, self.inputs, windows[k : k + 1024])[0])
-        return out
-
-    def scores(self, texts: list[str | None]) -> np.ndarray:
+    def forget(self) -> None:
+        self.known, self.used = {}, 1
+        if self.inputs is None:
+            self.inputs = np.zeros((2, CACHE + 1, 3 * HIDDEN), dtype=np.float32)
+
+    def learn(self, new: set[str]) -> None:
+        """Projects new words and gives them rows of ``inputs``. Words that differ in the punctuation around them share a row."""
+        forms: dict[str, int] = {}
+        bare = [w.strip(STRIP) or w for w in new]
+        for w in bare:
+            forms.setdefault(w, len(forms))
+        self.inputs[:, self.used : self.used + len(forms)] = self.project(list(forms))
+        self.known.update((u, self.used + forms[w]) for u, w in zip(new, bare, strict=True))
+        self.used += len(forms)
+
+    def logits(self, texts: Iterable[str | None]) -> np.ndarray:
+        """The largest logit of any window of each text. Runs of words are gathered until they are SEGMENT, read together, and run."""
+        if self.inputs is None:
+            self.forget()
+        top: list[float] = []
+        held: list[tuple[int, list[str]]] = []
+        count = 0
+
+        def flush() -> None:
+            new = set().union(*(words for _, words in held)).difference(self.known)
+            if self.used + len(new) > CACHE:
+                self.forget()
+                new = set().union(*(words for _, words in held))
+            if new:
+                self.learn(new)
+            get = self.known.__getitem__
+            owner, windows = windows_of([np.fromiter(map(get, words), dtype=np.int32, count=len(words)) for _, words in held])
+            owner, best = np.array([n for n, _ in held])[owner], np.array(top)
+            for k in range(0, len(windows), WINDOWS):
+                np.maximum.at(best, owner[k : k + WINDOWS], run(self.p, self.inputs, windows[k : k + WINDOWS])[0])
+            top[:] = best.tolist()
+            held.clear()
+
+        for n, text in enumerate(texts):
+            top.append(-np.inf)
+            for words in runs_of(text):
+                held.append((n, words))
+                count += len(words) + WINDOW
+                if count >= SEGMENT:
+                    flush()
+                    count = 0
+        if held:
+            flush()
+        return np.array(top)
+
+    def scores(self, texts: Iterable[str | None]) -> np.ndarray:
         a, b = self.scale
         return sigmoid(a * self.logits(texts) + b)
 
 
-def windows_of(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def windows_of(rows: list[np.ndarray], stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """(text number, rows) of all windows; texts shorter than a window are padded with row 0."""
     flat, owner, starts, at = [], [], [], 0
     for n, r in enumerate(rows):
         size = max(len(r), WINDOW)
-        s = np.arange(0, size - WINDOW + 1, STRIDE)
+        s = np.arange(0, size - WINDOW + 1, stride)
         if s[-1] + WINDOW < size:
             s = np.append(s, size - WINDOW)
         flat.append(r if len(r) == size else np.concatenate([r, np.zeros(size - len(r), dtype=np.int32)]))
@@ -370,7 +414,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Network:
     first = np.append(-9.0, logit)  # by row: 0 is padding
     gate_start(p, head, u0)
 
-    owner, windows = windows_of([d.astype(np.int32) + 1 for d in docs])  # row n + 1 is distinct word n
+    owner, windows = windows_of([d.astype(np.int32) + 1 for d in docs], FIT_STRIDE)  # row n + 1 is distinct word n
     best = first[windows].max(axis=1)
     edges = np.searchsorted(owner, np.arange(len(docs) + 1))
     chosen = []
@@ -478,7 +522,7 @@ def probability(docs: DataFrame, model: Network | None, text: str = "text") -> C
     def value_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = loaded(blob, pickle.loads)
         for x in parts:
-            yield pd.Series(model.scores(x.tolist()))
+            yield pd.Series(model.scores(x))
 
     return value_of(docs[text])
 
