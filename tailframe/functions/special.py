@@ -81,33 +81,55 @@ def log_pmf(k: int, n: int, p: float) -> float:
     return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
 
 
-def upper_tail(x: int, n: int, p: float) -> float:
-    """P(X >= x), summed from its largest terms outwards."""
-    if x <= 0:
-        return 1.0
-    if x > n:
-        return 0.0
-    return min(1.0, math.fsum(math.exp(log_pmf(k, n, p)) for k in range(x, n + 1)))
+def fraction_of_beta(x: float, a: float, b: float) -> float:
+    """The continued fraction of the regularised incomplete beta function, evaluated from the front (quick for x below (a + 1) / (a + b + 2))."""
+    tiny = 1e-300
+    c, d = 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    out = d
+    for m in range(1, 100_000):
+        for up in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + up * d, 1 + up / c
+            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+            out *= d * c
+        if abs(d * c - 1) < 1e-16:
+            break
+    return out
+
+
+def beta_law(x: float, a: float, b: float) -> tuple[float, float, float]:
+    """Distribution function of the beta law, its complement (each from the side on which it is exact), and the density."""
+    scale = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    if x < (a + 1) / (a + b + 2):
+        low = scale * fraction_of_beta(x, a, b) / a
+        return low, 1 - low, scale / (x * (1 - x))
+    high = scale * fraction_of_beta(1 - x, b, a) / b
+    return 1 - high, high, scale / (x * (1 - x))
+
+
+def beta_point(q: float, a: float, b: float, upper: bool) -> float:
+    """Where the beta law's lower (or ``upper``) tail is q: Newton's steps, halving where a step leaves the bracket."""
+    low, high, x = 0.0, 1.0, a / (a + b)
+    for _ in range(200):
+        under, over, density = beta_law(x, a, b)
+        miss = (q - over) if upper else (under - q)
+        low, high = (low, x) if miss > 0 else (x, high)
+        step = x - miss / density if density > 0 else low
+        new = step if low < step < high else (low + high) / 2
+        if abs(new - x) <= 1e-16 * x or new in (low, high) and high - low < 1e-15:
+            return new
+        x = new
+    return x
 
 
 @lru_cache(maxsize=65536)
 def clopper_pearson(x: int, n: int, level: float) -> tuple[float, float]:
-    """Exact interval for a binomial rate; 0 and 1 at the boundaries."""
+    """Exact interval for a binomial rate: points of beta laws; 0 and 1 at the boundaries. Some steps whatever n is."""
     if not 0 <= x <= n or n < 1 or not 0 < level < 1:
         raise ValueError("0 <= x <= n, n >= 1 and a level between 0 and 1 are needed")
     tail = (1 - level) / 2
-
-    def solve(f) -> float:
-        lo, hi = 0.0, 1.0
-        for _ in range(200):
-            mid = (lo + hi) / 2
-            if mid in (lo, hi):
-                break
-            lo, hi = (mid, hi) if f(mid) < 0 else (lo, mid)
-        return (lo + hi) / 2
-
-    low = 0.0 if x == 0 else solve(lambda p: upper_tail(x, n, p) - tail)
-    high = 1.0 if x == n else solve(lambda p: tail - (1 - upper_tail(x + 1, n, p)))
+    low = 0.0 if x == 0 else beta_point(tail, x, n - x + 1, False)
+    high = 1.0 if x == n else beta_point(tail, x + 1, n - x, True)
     return low, high
 
 
@@ -122,14 +144,27 @@ def exact_interval(x: Column, n: Column, level: float) -> Column:
 
 
 def binomial_quantile(q: float, n: int, p: float) -> int:
-    total = 0.0
-    for k in range(n + 1):
-        total += math.exp(log_pmf(k, n, p))
-        if total >= q:
-            return k
-    return n
+    """The least k with P(X <= k) >= q, by halving on the distribution function."""
+    low, high = -1, n
+    while high - low > 1:
+        mid = (low + high) // 2
+        if 1 - beta_law(p, mid + 1, n - mid)[0] >= q:
+            high = mid
+        else:
+            low = mid
+    return high
 
 
 def reference_band(n: int, p: float, level: float = 0.95) -> tuple[float, float]:
     """Rates between which a correct model's exception rate lies with the stated probability."""
     return binomial_quantile((1 - level) / 2, n, p) / n, binomial_quantile((1 + level) / 2, n, p) / n
+
+
+def reference_interval(n: Column, p: Column) -> Column:
+    """struct(lower, upper) of ``reference_band``: one call for each distinct number of observations and rate."""
+
+    @F.pandas_udf("lower double, upper double")
+    def band(ns: pd.Series, ps: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([reference_band(int(a), float(b)) for a, b in zip(ns, ps, strict=True)], columns=["lower", "upper"])
+
+    return band(n, p)

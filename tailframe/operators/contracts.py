@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 TOLERANCE = 1e-12
@@ -99,16 +99,10 @@ def check_alignment(daily: DataFrame, weights: DataFrame) -> None:
     check_same_keys(daily.select("session_date"), n.select("session_date"), ["session_date"])
 
 
-def check_forecasts(f: DataFrame, schedule: DataFrame, levels: Sequence[float]) -> DataFrame:
-    """A complete grid of schedule dates and levels without look-ahead, with consistent outcomes, flags and ES >= VaR."""
-    require_unique(f, ["model", "forecast_date", "level_bp"])
-    expected = schedule.count() * len(levels)
-    short = f.groupBy("model").count().where(F.col("count") != expected)
-    if not short.isEmpty():
-        raise ContractError("a model's grid of dates and levels is not complete")
-    s = schedule.select("forecast_date", F.col("estimation_start_date").alias("s0"), F.col("estimation_end_date").alias("s1"), F.col("realized_return").alias("sr"))
-    enforce(f.join(s, "forecast_date", "left"), {
-        "date or window is not the schedule's": ~F.col("estimation_start_date").eqNullSafe(F.col("s0")) | ~F.col("estimation_end_date").eqNullSafe(F.col("s1")) | F.col("s0").isNull(),
+def outcome_rules(levels: Sequence[float]) -> dict[str, Column]:
+    """What a forecast and the schedule's facts for its date (s0, s1, sr) can break, by rule."""
+    return {
+        "date or window is not the schedule's": F.col("s0").isNull() | ~F.col("estimation_start_date").eqNullSafe(F.col("s0")) | ~F.col("estimation_end_date").eqNullSafe(F.col("s1")),
         "window reaches the forecast date": F.col("estimation_end_date") >= F.col("forecast_date"),
         "level is unknown": ~F.col("confidence_level").isin(*levels),
         "number is not finite": ~(finite("realized_return") & finite("realized_loss") & finite("value_at_risk") & finite("expected_shortfall")),
@@ -116,10 +110,71 @@ def check_forecasts(f: DataFrame, schedule: DataFrame, levels: Sequence[float])
         "loss is not minus return": F.col("realized_loss") != -F.col("realized_return"),
         "ES is below VaR": F.col("expected_shortfall") < F.col("value_at_risk") - TOLERANCE,
         "flag does not match": F.col("var_exceedance") != (F.col("realized_loss") > F.col("value_at_risk")),
-    })
+    }
+
+
+#: Rules of ``outcome_rules`` that a forecast can be held to by itself.
+ALONE = ("window reaches the forecast date", "number is not finite", "loss is not minus return", "ES is below VaR", "flag does not match")
+
+
+def forecast_rules(levels: Sequence[float]) -> dict[str, Column]:
+    """What is wrong with a row of ``forecast_grid_rows``, by rule; unknown counts as broken."""
+    there, own = F.col("_rows") > 0, outcome_rules(levels)
+    return {"forecast is missing": F.col("_rows") == 0, "model, date and level repeat": F.col("_rows") > 1, **{name: there & F.coalesce(c, F.lit(True)) for name, c in own.items()}}
+
+
+def forecast_grid_rows(f: DataFrame, schedule: DataFrame, levels: Sequence[float]) -> DataFrame:
+    """A row for each model, date and level that the schedule asks for or that is there, with the number of its forecasts (``_rows``) and the schedule's facts (s0, s1, sr).
+
+    One grouping of the forecasts and one join with a grid of some rows a date.
+    """
+    key = ["model", "forecast_date", "level_bp"]
+    rest = ["confidence_level", "estimation_start_date", "estimation_end_date", "realized_return", "realized_loss", "value_at_risk", "expected_shortfall", "var_exceedance"]
+    one = f.groupBy(*key).agg(F.count("*").alias("_rows"), *(F.first(c).alias(c) for c in rest))
+    s = schedule.select("forecast_date", F.col("estimation_start_date").alias("s0"), F.col("estimation_end_date").alias("s1"), F.col("realized_return").alias("sr"))
+    wanted = f.sparkSession.createDataFrame([(round(x * 10000),) for x in levels], "level_bp int")
+    grid = s.crossJoin(F.broadcast(wanted)).crossJoin(F.broadcast(f.select("model").distinct()))  # a row for each level, for each model
+    out = one.join(grid.select(*key, F.lit(True).alias("_due")), key, "full").join(F.broadcast(s), "forecast_date", "left")  # a row for each session
+    return out.withColumn("_rows", F.coalesce("_rows", F.lit(0)))
+
+
+def rule_counts(f: DataFrame, schedule: DataFrame, levels: Sequence[float]) -> DataFrame:
+    """rule, rows_checked, rows_broken of all forecast rules, in one pass."""
+    rules = forecast_rules(levels)
+    counts = forecast_grid_rows(f, schedule, levels).agg(F.count("*").alias("n"), *(F.count_if(c).alias(f"r{i}") for i, c in enumerate(rules.values())))
+    pairs = F.array(*(F.struct(F.lit(name).alias("rule"), F.col("n").alias("rows_checked"), F.col(f"r{i}").alias("rows_broken")) for i, name in enumerate(rules)))
+    return counts.select(F.explode(pairs).alias("x")).select("x.*")
+
+
+def check_forecasts(f: DataFrame, schedule: DataFrame, levels: Sequence[float]) -> DataFrame:
+    """A complete grid of schedule dates and levels without look-ahead, with consistent outcomes, flags and ES >= VaR: all rules in one job."""
+    broken = {r["rule"]: r["rows_broken"] for r in rule_counts(f, schedule, levels).collect() if r["rows_broken"]}  # a row for each rule
+    if broken:
+        raise ContractError("; ".join(f"{name}: {n} rows" for name, n in broken.items()))
     return f
 
 
+class Watched:
+    """Rules that are counted while a table is written: ``table`` goes to the writer, ``enforce`` raises what was broken once it is written."""
+
+    def __init__(self, df: DataFrame, rules: Mapping[str, Column]):
+        self.names, self.seen = list(rules), Observation()
+        self.table = df.observe(self.seen, *(F.count_if(F.coalesce(c, F.lit(True))).alias(f"r{n}") for n, c in enumerate(rules.values())))
+
+    def broken(self) -> dict[str, int]:
+        found = self.seen.get
+        return {name: found[f"r{n}"] for n, name in enumerate(self.names) if found[f"r{n}"]}
+
+    def enforce(self) -> None:
+        if broken := self.broken():
+            raise ContractError("; ".join(f"{name}: {n} rows" for name, n in broken.items()))
+
+
+def row_rules() -> dict[str, Column]:
+    """The forecast rules that a row alone can break."""
+    return {name: c for name, c in outcome_rules([]).items() if name in ALONE}
+
+
 def check_common_dates(f: DataFrame) -> DataFrame:
     """All models share dates, levels and realised losses."""
     models = f.select("model").distinct().count()

@@ -275,6 +275,13 @@ def period_calibration(f: DataFrame, periods: DataFrame) -> DataFrame:
     return rows.groupBy(*PERIOD_KEY).agg(F.count("*").alias("observation_count"), F.avg(identification()).alias("mean_identification"))
 
 
+def companion_table(scores: DataFrame) -> DataFrame:
+    """``period_scores`` with their period_type, by the names under which they are published."""
+    return scores.select(
+        "period_id", "period_type", "model", "confidence_level", "observation_count", F.col("mean_quantile_loss").alias("mean_var_quantile_loss"), F.col("quantile_loss_rank").alias("var_quantile_loss_rank"), "mean_fz0_loss", "fz0_loss_rank"
+    )
+
+
 def period_scores(f: DataFrame, periods: DataFrame) -> DataFrame:
     rows = by_period(f, periods)
     s = rows.groupBy(*PERIOD_KEY).agg(F.count("*").alias("observation_count"), F.avg(quantile_loss()).alias("mean_quantile_loss"), F.avg(fz0_loss()).alias("mean_fz0_loss"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -28,6 +29,22 @@ def normal_shocks(scenarios: int, assets: int, seed: int) -> np.ndarray:
     return z
 
 
+def generator_states(scenarios: int, assets: int, seed: int, block: int) -> Iterator[tuple[int, str]]:
+    """(first scenario, the generator's state there) for every ``block`` scenarios. A normal takes one or more steps of the generator, so states are found by
+    drawing once through all of them: quick, in the memory of one block, and for all dates that share the seed."""
+    rng = np.random.default_rng(seed)
+    for first in range(0, scenarios, block):
+        yield first, json.dumps(rng.bit_generator.state)
+        rng.standard_normal((min(block, scenarios - first), assets))
+
+
+def draws_from(state: str, scenarios: int, assets: int) -> np.ndarray:
+    """``scenarios`` rows of the shocks that follow a stored state."""
+    rng = np.random.default_rng()
+    rng.bit_generator.state = json.loads(state)
+    return rng.standard_normal((scenarios, assets))
+
+
 def lower_factor(cov: np.ndarray, strict: bool = False) -> np.ndarray:
     """Lower Cholesky factor. ``strict`` refuses matrices that are all but singular."""
     cov = np.asarray(cov, dtype=float)

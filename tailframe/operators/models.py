@@ -96,8 +96,12 @@ def historical_simulation(portfolio: DataFrame, window: int, levels: Sequence[fl
 
 
 def as_forecasts(model: str, model_no: int, tails: DataFrame, schedule: DataFrame, extra: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
-    """The fact table's rows of one model: what was forecast, what happened, and whether the loss exceeded the VaR."""
-    rows = tails.join(schedule, [*by, "forecast_date"])
+    """The fact table's rows of one model: what was forecast, what happened, and whether the loss exceeded the VaR.
+
+    Every date of the schedule has a forecast and every forecast a date: one without the other fails the job.
+    """
+    rows = schedule.withColumn("_due", F.lit(True)).join(tails.withColumn("_made", F.lit(True)), [*by, "forecast_date"], "full")
+    rows = rows.withColumn("value_at_risk", guarded(F.col("_due").isNotNull() & F.col("_made").isNotNull(), F.col("value_at_risk"), f"{model}: a date has a forecast or an outcome only"))
     return rows.select(
         *by, F.lit(model).alias("model"), F.lit(model_no).alias("model_no"), "forecast_date", "confidence_level", "level_bp", "estimation_start_date", "estimation_end_date",
         "realized_return", "realized_loss", "value_at_risk", "expected_shortfall", (F.col("realized_loss") > F.col("value_at_risk")).alias("var_exceedance"), *extra,

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailframe.functions.special import reference_band
+from tailframe.functions import special
+from tailframe.operators import contracts, kernels, market, models, moments, portfolio, schedule, simulation, tails
 from tailframe.operators import evaluate as ev
-from tailframe.operators import kernels, market, models, moments, portfolio, schedule, simulation
-from tailframe.sources import panel, store
+from tailframe.sources import market as market_source
+from tailframe.sources import panel, snapshots, store
 
 from .sql import DECAY, ORACLES, SCENARIOS, SEED, STRESS, WINDOW
 
@@ -142,32 +142,52 @@ def _inference(spark, d):
 
 
 def _band(spark, d):
-    """Exception rates that a right model shows with 95 % probability, in a year and in a quarter of stress."""
-    rows = [(n, round(x * 10000), *reference_band(n, 1.0 - x)) for n in (252, 62) for x in schedule.LEVELS]
-    return spark.createDataFrame(rows, "sessions int, level_bp int, rate_lower double, rate_upper double")
+    """Exception rates that a right model shows with 95 % probability in as many sessions as each period of the data has."""
+    sizes = periods(spark, d).select(F.col("observation_count").alias("sessions")).distinct()
+    levels = spark.createDataFrame([(round(x * 10000), 1.0 - x) for x in schedule.LEVELS], "level_bp int, rate double")
+    rows = sizes.crossJoin(F.broadcast(levels))  # a row for each level
+    band = special.reference_interval(F.col("sessions"), F.col("rate"))
+    return rows.select("sessions", "level_bp", band.alias("b")).select("sessions", "level_bp", F.col("b.lower").alias("rate_lower"), F.col("b.upper").alias("rate_upper"))
 
 
 def _draws(spark, d):
-    rows = [(n, int(k)) for n, k in enumerate(kernels.multiplicity(WINDOW, SCENARIOS, SEED))]
-    return spark.createDataFrame(rows, "pool_position int, draws long")
+    """How often the last forecast date draws each residual of its pool: the session's number and date, and the seeded generator's draws."""
+    r = residuals(spark, d).select("session_no", "residual_date")
+    last = r.agg((F.max("session_no") - WINDOW).alias("first"))
+    pool = r.crossJoin(F.broadcast(last)).select((F.col("session_no") - F.col("first")).alias("pool_position"), "residual_date").where(f"pool_position between 0 and {WINDOW - 1}")
+    times = F.array(*(F.lit(int(k)).cast("long") for k in kernels.multiplicity(WINDOW, SCENARIOS, SEED)))
+    return pool.select("pool_position", "residual_date", F.get(times, F.col("pool_position")).alias("draws"))
 
 
-def _last_date(spark, d):
-    """mu, cov and w of the last forecast date; None if there is none."""
-    last = packed(spark, d).orderBy(F.desc("forecast_date")).select("mu", "cov", "w").first()
-    return None if last is None else (np.asarray(last["mu"]), simulation.square(last["cov"], len(last["mu"])), np.asarray(last["w"]))
+def last_losses(spark, d):
+    """The simulated losses of the last forecast date, drawn by many tasks."""
+
+    def make():
+        dates = packed(spark, d)
+        last = dates.agg(F.max("forecast_date").alias("forecast_date"))
+        return simulation.scenario_losses(dates.join(F.broadcast(last), "forecast_date"), SCENARIOS, SEED)
+
+    return shared("last-losses", spark, d, make)
+
+
+def _stress_mc(spark, d):
+    """Monte Carlo of the stress period's dates, each date's scenarios over many tasks and their tails selected by counts."""
+    dates = packed(spark, d).where(F.col("forecast_date").between(STRESS[2], STRESS[3]))
+    return shared("stress-mc", spark, d, lambda: simulation.monte_carlo_by_scenario(dates, scenarios=SCENARIOS, seed=SEED))
 
 
-def _histogram(spark, d):
-    """Simulated losses of the last forecast date, as a density."""
-    date = _last_date(spark, d)
-    return spark.createDataFrame([] if date is None else simulation.loss_histogram(*date, SCENARIOS, SEED), "left double, right double, density double")
+def quotes(spark, d):
+    """The order lines' market tree, read back by the market source."""
+    tree = store.made_once(spark, d, "market-tree", PANEL, lambda path: market_source.write_tree(panel.market_quotes(spark, d), path))
+    return market_source.read_tree(spark, tree)
 
 
-def _marks(spark, d):
-    """VaR and ES of the histogram's losses."""
-    date = _last_date(spark, d)
-    return spark.createDataFrame([] if date is None else simulation.loss_marks(*date, SCENARIOS, SEED), "level_bp int, value_at_risk double, expected_shortfall double")
+def companion_scores(spark, d):
+    """Scores and ranks by period, as they are published: nine columns."""
+    f, p = forecasts(spark, d), periods(spark, d)
+    kinds = p.select("period_id", "period_type")
+    s = ev.period_scores(f, p).join(F.broadcast(kinds), "period_id")  # a row for each period
+    return ev.companion_table(s)
 
 
 def _columns(spark, d, years=False):
@@ -234,8 +254,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "full_sample_scores": lambda s, d: rounded(ev.full_sample_scores(ev.period_scores(f(s, d), periods(s, d))), coarse=("mean_fz0_loss",), drop=LV),
         "binomial_reference_band": _band,
         "fhs_multiplicity": _draws,
-        "loss_histogram": _histogram,
-        "loss_marks": _marks,
+        "loss_histogram": lambda s, d: simulation.loss_histogram(last_losses(s, d)),
+        "loss_marks": lambda s, d: simulation.loss_marks(last_losses(s, d)),
+        "loss_tails": lambda s, d: rounded(tails.tail_risk(panel.line_losses(s, d), by=["flag"], times="times"), 6, drop=LV),
+        "stress_mc_by_scenario": lambda s, d: rounded(_stress_mc(s, d)),
+        "market_quotes": lambda s, d: rounded(quotes(s, d), 6),
+        "market_coverage": lambda s, d: snapshots.coverage(quotes(s, d)),
+        "forecast_contract": lambda s, d: contracts.rule_counts(f(s, d), schedule.forecast_schedule(path(s, d), WINDOW), schedule.LEVELS),
+        "companion_scores": lambda s, d: rounded(companion_scores(s, d), coarse=("mean_fz0_loss",)),
         "gaussian_mc": lambda s, d: rounded(_mc(s, d)),
         "ewma_mc": lambda s, d: rounded(_mc(s, d, DECAY)),
         "mc_error_summary": lambda s, d: rounded(simulation.simulation_errors(gaussian(s, d), _mc(s, d)), 4),

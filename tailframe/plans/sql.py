@@ -180,6 +180,10 @@ tp AS (SELECT * FROM (SELECT model, model_no, forecast_date, first_value(forecas
   WINDOW w AS (PARTITION BY model ORDER BY forecast_date ROWS BETWEEN 249 PRECEDING AND CURRENT ROW)) WHERE c = 250),
 tz AS (SELECT *, CASE WHEN exception_count <= 4 THEN 'green' WHEN exception_count <= 9 THEN 'amber' ELSE 'red' END AS zone FROM tp)"""
 
+#: The order lines as long market data.
+QUOTES = """SELECT session_date, asset, unnest(['Adj Close', 'Volume']) AS field, unnest([paid / units, units]) AS value FROM (SELECT CAST(l_shipdate AS DATE) AS session_date, l_returnflag AS asset,
+  CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS paid, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS units FROM lineitem GROUP BY 1, 2)"""
+
 ORACLES = {
     "asset_returns": sql(f"SELECT session_date, session_no, asset, asset_no, {r('ret')} AS ret FROM ret"),
     "large_return_flags": sql(f"SELECT session_date, asset, {r('ret')} AS ret, abs(ret) >= 0.5 AS flag FROM ret"),
@@ -257,11 +261,27 @@ ORACLES = {
       f"pc AS (SELECT period_id, {KEY}, confidence_level, count(*) AS n, count(*) FILTER (hit) AS x FROM sp GROUP BY ALL)", intervals("pc")),
     "rank_by_period": sql("SELECT 'quantile_loss' AS score_name, level_bp, model, period_id, rq AS rank FROM pk UNION ALL SELECT 'fz0_loss', level_bp, model, period_id, rf FROM pk", PERIODS),
     "exception_rate_by_period": sql(f"SELECT level_bp, model, period_id, {r('count(*) FILTER (hit) / count(*) - (1.0 - confidence_level)')} AS rate_gap FROM sp GROUP BY period_id, {KEY}, confidence_level", PERIODS),
-    "binomial_reference_band": f"""WITH lv(level_bp, level) AS (VALUES {', '.join(f"({round(x * 10000)}, CAST({x!r} AS DOUBLE))" for x in LEVELS)}), t(sessions) AS (VALUES (252), (62)),
-      pm AS (SELECT sessions, level_bp, k, exp(lgamma(sessions + 1) - lgamma(k + 1) - lgamma(sessions - k + 1) + k * ln(1 - level) + (sessions - k) * ln(level)) AS q FROM t, lv, LATERAL (SELECT unnest(range(0, sessions + 1)) AS k)),
-      cu AS (SELECT *, sum(q) OVER (PARTITION BY sessions, level_bp ORDER BY k) AS c FROM pm)
-      SELECT sessions, level_bp, min(k) FILTER (c >= 0.025) / sessions AS rate_lower, min(k) FILTER (c >= 0.975) / sessions AS rate_upper FROM cu GROUP BY 1, 2""",
-    "fhs_multiplicity": f"SELECT p AS pool_position, CAST(n AS BIGINT) AS draws FROM (VALUES {draw_values()}) AS t(p, n)",
+    "binomial_reference_band": sql("""SELECT sessions, level_bp, min(k) FILTER (c >= 0.025) / sessions AS rate_lower, min(k) FILTER (c >= 0.975) / sessions AS rate_upper FROM cu GROUP BY 1, 2""", PERIODS, """
+      t AS (SELECT DISTINCT n AS sessions FROM pe),
+      pb AS (SELECT sessions, level_bp, k, exp(lgamma(sessions + 1) - lgamma(k + 1) - lgamma(sessions - k + 1) + k * ln(1 - confidence_level) + (sessions - k) * ln(confidence_level)) AS q FROM t, lv, LATERAL (SELECT unnest(range(0, sessions + 1)) AS k)),
+      cu AS (SELECT *, sum(q) OVER (PARTITION BY sessions, level_bp ORDER BY k) AS c FROM pb)"""),
+    "fhs_multiplicity": sql(f"SELECT p AS pool_position, session_date AS residual_date, CAST(times AS BIGINT) AS draws FROM dr0 JOIN (SELECT DISTINCT session_no, session_date FROM ret) ON session_no = (SELECT max(session_no) FROM ret) - {WINDOW} + p"),
+    "loss_tails": f"""WITH l AS (SELECT l_returnflag AS flag, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (CAST(l_discount AS DECIMAL(4,2)) - CAST(l_tax AS DECIMAL(4,2))) AS DOUBLE) AS loss, unnest(range(CAST(l_quantity AS BIGINT))) AS unit FROM lineitem),
+      v AS ({' UNION ALL '.join(f"SELECT flag, {round(x * 10000)} AS level_bp, quantile_cont(loss, {x!r}) AS var, count(*) AS n FROM l GROUP BY flag" for x in LEVELS)})
+      SELECT v.flag, level_bp, n AS observation_count, count(*) AS tail_count, {r('var', 6)} AS value_at_risk, {r('avg(loss)', 6)} AS expected_shortfall FROM v JOIN l ON l.flag = v.flag AND loss >= var GROUP BY v.flag, level_bp, n, var""",
+    "market_quotes": f"""WITH q AS ({QUOTES}) SELECT session_date, asset, field, {r('value', 6)} AS value FROM q""",
+    "market_coverage": f"""WITH q AS ({QUOTES}), d AS (SELECT session_date, row_number() OVER (ORDER BY session_date) AS no FROM (SELECT DISTINCT session_date FROM q))
+      SELECT CASE grouping(asset, field) WHEN 0 THEN 'asset_field' WHEN 1 THEN 'asset' WHEN 2 THEN 'field' ELSE 'table' END AS scope, asset, field, count(*) AS rows, CAST(0 AS BIGINT) AS missing, count(DISTINCT no) AS sessions, max(no) - min(no) + 1 - count(DISTINCT no) AS gaps,
+      min(session_date) AS first_date, max(session_date) AS last_date, {r('min(value)', 6)} AS lowest, {r('max(value)', 6)} AS highest FROM q JOIN d USING (session_date) GROUP BY GROUPING SETS ((asset, field), (asset), (field), ())""",
+    "forecast_contract": sql("SELECT rule, n AS rows_checked, broken AS rows_broken FROM (SELECT n, unnest(names) AS rule, unnest(counts) AS broken FROM rc)", f"""
+      gr AS (SELECT model, level_bp, sc.forecast_date AS forecast_date FROM (SELECT DISTINCT model FROM f), lv, sc),
+      fg AS (SELECT model, level_bp, forecast_date, count(*) AS c FROM f GROUP BY ALL),
+      ck AS (SELECT coalesce(c, 0) AS c, f.*, sc.estimation_start_date AS s0, sc.estimation_end_date AS s1, sc.realized_return AS sr FROM gr FULL JOIN fg USING (model, level_bp, forecast_date) LEFT JOIN f USING (model, level_bp, forecast_date) LEFT JOIN sc USING (forecast_date)),
+      rc AS (SELECT count(*) AS n, ['forecast is missing', 'model, date and level repeat', 'date or window is not the schedule''s', 'window reaches the forecast date', 'level is unknown', 'number is not finite', 'outcome is not the schedule''s', 'loss is not minus return', 'ES is below VaR', 'flag does not match'] AS names,
+        [count(*) FILTER (c = 0), count(*) FILTER (c > 1), count(*) FILTER (c > 0 AND (s0 IS NULL OR estimation_start_date <> s0 OR estimation_end_date <> s1)), count(*) FILTER (c > 0 AND estimation_end_date >= forecast_date), count(*) FILTER (c > 0 AND level_bp NOT IN (SELECT level_bp FROM lv)),
+         count(*) FILTER (c > 0 AND NOT (isfinite(realized_return) AND isfinite(realized_loss) AND isfinite(value_at_risk) AND isfinite(expected_shortfall))), count(*) FILTER (c > 0 AND abs(realized_return - sr) > 1e-15 + 1e-12 * abs(sr)), count(*) FILTER (c > 0 AND realized_loss <> -realized_return),
+         count(*) FILTER (c > 0 AND expected_shortfall < value_at_risk - 1e-12), count(*) FILTER (c > 0 AND hit <> (realized_loss > value_at_risk))] AS counts FROM ck)"""),
+    "companion_scores": sql(f"SELECT period_id, period_type, model, confidence_level, n AS observation_count, {r('ql')} AS mean_var_quantile_loss, rq AS var_quantile_loss_rank, {r('fz', 6)} AS mean_fz0_loss, rf AS fz0_loss_rank FROM pk JOIN (SELECT period_id, period_type FROM pe) USING (period_id) JOIN (SELECT level_bp, confidence_level FROM lv) USING (level_bp)", PERIODS),
     "standardized_residuals": sql(f"SELECT session_date AS residual_date, asset_no, {r('z')} AS z FROM (SELECT session_no, unnest([0, 1, 2]) AS asset_no, unnest([z0, z1, z2]) AS z FROM zz) JOIN (SELECT DISTINCT session_no, session_date FROM ret) USING (session_no)"),
     "residual_pool_window": sql(f"SELECT forecast_date, {WINDOW} AS pool_size, estimation_start_date AS pool_start_date, estimation_end_date AS pool_end_date FROM sc"),
     "fhs_forecasts": sql(f"""SELECT forecast_date, level_bp, confidence_level, {r('mean')} AS simulated_mean_return, {r('sqrt(v)')} AS simulated_volatility, CAST({SCENARIOS} AS BIGINT) AS scenario_count, CAST({SEED} AS BIGINT) AS random_seed, tail_scenario_count,

@@ -26,6 +26,21 @@ def line_prices(spark: SparkSession, sf_dir: str, grain: str = "day") -> DataFra
     return line.groupBy(day.alias("session_date"), F.col("l_returnflag").alias("asset")).agg((paid / units).alias("price"))
 
 
+def market_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order lines as long market data: unit price and volume of each return flag and ship date."""
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    paid, units = (F.sum(F.col(c).cast("decimal(18,2)")).cast("double") for c in ("l_extendedprice", "l_quantity"))
+    day = line.groupBy(F.to_date("l_shipdate").alias("session_date"), F.col("l_returnflag").alias("asset")).agg((paid / units).alias("Adj Close"), units.alias("Volume"))
+    return day.unpivot(["session_date", "asset"], ["Adj Close", "Volume"], "field", "value")
+
+
+def line_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """flag, loss, times: what an order line gives away, its discount less its tax, counted as often as it has units. Exact, as decimals."""
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    rate = F.col("l_discount").cast("decimal(4,2)") - F.col("l_tax").cast("decimal(4,2)")
+    return line.select(F.col("l_returnflag").alias("flag"), (F.col("l_extendedprice").cast("decimal(18,2)") * rate).cast("double").alias("loss"), F.col("l_quantity").cast("long").alias("times"))
+
+
 def segment_prices(spark: SparkSession, sf_dir: str, grain: str = "week") -> DataFrame:
     """A second panel, with gaps: mean order value by market segment."""
     orders, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))

@@ -12,6 +12,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MANIFEST = "manifest.json"
 
@@ -41,6 +42,19 @@ def working_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes that a broadcast may take, and what a row takes besides its values.
+BROADCAST, ROW = 32 << 20, 48
+
+
+def sized(df: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """A broadcast hint for a stored table that is measured to be small enough: as wide as its values, 8 bytes for a number, and ROW for a row."""
+    width = F.lit(ROW).cast("long")
+    for c, kind in df.dtypes:
+        width = width + (F.coalesce(F.octet_length(F.col(c)), F.lit(0)) if kind in ("string", "binary") else F.lit(8 if not kind.startswith(("array", "map", "struct")) else 256))
+    size = df.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
+
+
 def release(spark: SparkSession) -> None:
     """Deletes every working table. Call it when all results built on them are written."""
     fs, p = _filesystem(spark, f"{shared_dir(spark)}/tailframe")
@@ -75,12 +89,28 @@ def stage(spark: SparkSession, path: str, name: str, tables: Iterable[str], make
         fs, p = _filesystem(spark, f"{at}/_SUCCESS")
         if seen == state and fs.exists(p):
             return table
+        if at:
+            fs.delete(p.getParent(), True)  # the input has changed: nothing is built on the old table any more
     table = working_table(make(), name)
     at = table.inputFiles()[0].rsplit("/", 1)[0] if table.inputFiles() else ""
     _STAGES[key] = (state, at, table)
     return table
 
 
+def made_once(spark: SparkSession, path: str, name: str, tables: Iterable[str], make: Callable[[str], object]) -> str:
+    """The path of a folder that ``make`` fills, once for each session and state of the input, as ``stage`` does for tables."""
+    key, state = (name, spark.sparkContext.applicationId, path), input_state(spark, path, tables)
+    if key in _STAGES:
+        seen, at, _ = _STAGES[key]
+        fs, p = _filesystem(spark, at)
+        if seen == state and fs.exists(p):
+            return at
+    at = f"{shared_dir(spark)}/tailframe/{name}-{uuid.uuid4().hex}"
+    make(at)
+    _STAGES[key] = (state, at, None)
+    return at
+
+
 def _filesystem(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
