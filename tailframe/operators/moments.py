@@ -19,13 +19,40 @@ def check_window(window: int) -> None:
         raise ValueError("a window has two sessions or more")
 
 
+def windowed(rows: DataFrame, keys: Sequence[str], at: str, x: str, y: str, window: int, keep: Sequence[str]) -> DataFrame:
+    """keys, at, keep, n, mean, cov: of the ``window`` sessions before each row from number ``window`` on, the pairs of x and y that are known, x's mean and
+    the sample covariance.
+
+    Time is cut into blocks of ``window`` sessions. A window is the end of one block and the beginning of the next, so what runs forwards over the
+    one and backwards over the other is merged: a step for each row instead of a window of rows, and blocks are tasks of their own.
+    """
+    block, own = F.expr(f"{at} div {window}"), F.col("_own")
+    r = rows.withColumn("_b", F.explode(F.array(block, block + 1))).withColumns({"_own": F.col("_b") == block, "_o": F.col(at) % window})
+    r = r.repartition(*keys, "_b").withColumns({"_x": F.when(F.col(y).isNotNull(), F.col(x)), "_y": F.when(F.col(x).isNotNull(), F.col(y))})
+    part = W.partitionBy(*keys, "_b", "_own")
+    past, rest = part.orderBy(at).rowsBetween(W.unboundedPreceding, -1), part.orderBy(F.desc(at)).rowsBetween(W.unboundedPreceding, 0)
+    for name, w in (("p", past), ("s", rest)):
+        r = r.withColumns({f"_{name}n": F.count("_x").over(w), f"_{name}x": F.avg("_x").over(w), f"_{name}y": F.avg("_y").over(w), f"_{name}c": F.covar_pop("_x", "_y").over(w)})
+    mine = lambda c: F.max(F.when(own, F.col(c)))
+    other = lambda c: F.max(F.when(~own, F.col(c)))
+    parts = {f"p{c}": mine(f"_p{c}") for c in "nxyc"} | {f"s{c}": other(f"_s{c}") for c in "nxyc"}
+    g = r.groupBy(*keys, "_b", "_o").agg(mine(at).alias(at), *(mine(c).alias(c) for c in keep if c != at), *(c.alias(f"_{n}") for n, c in parts.items())).where(f"{at} >= {window}")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    n1, n2 = (F.coalesce(f"_{k}n", F.lit(0)).cast("double") for k in "ps")
+    n = n1 + n2
+    mean = (n1 * zero("_px") + n2 * zero("_sx")) / n
+    apart = F.when((n1 > 0) & (n2 > 0), (F.col("_px") - F.col("_sx")) * (F.col("_py") - F.col("_sy")) * n1 * n2 / n).otherwise(F.lit(0.0))
+    cov = (n1 * zero("_pc") + n2 * zero("_sc") + apart) / (n - 1)
+    return g.select(*keys, at, *(c for c in keep if c != at), n.cast("long").alias("n"), F.when(n > 0, mean).alias("mean"), F.when(n > 1, cov).alias("cov"))
+
+
 def rolling_univariate(portfolio: DataFrame, window: int, by: Sequence[str] = ()) -> DataFrame:
     """forecast_date, mean_return, volatility over the ``window`` sessions before. A missing return in a window is an error."""
     check_window(window)
-    w = W.partitionBy(*by).orderBy("session_date").rowsBetween(-window, -1)
-    x = F.col("portfolio_return")
-    r = portfolio.select(*by, "session_date", F.avg(x).over(w).alias("m"), F.stddev_samp(x).over(w).alias("volatility"), F.count("*").over(w).alias("n"), F.count(x).over(w).alias("known")).where(F.col("n") == window)
-    return r.select(*by, F.col("session_date").alias("forecast_date"), guarded(F.col("known") == window, F.col("m"), SHORT).alias("mean_return"), "volatility")
+    number = (F.row_number().over(W.partitionBy(*by).orderBy("session_date")) - 1).alias("_t")  # a row for each session
+    x = portfolio.select(*by, "session_date", F.col("portfolio_return").alias("r"), number)
+    r = windowed(x, by, "_t", "r", "r", window, ["session_date"])
+    return r.select(*by, F.col("session_date").alias("forecast_date"), guarded(F.col("n") == window, F.col("mean"), SHORT).alias("mean_return"), F.sqrt("cov").alias("volatility"))
 
 
 def rolling_means(returns: DataFrame, window: int) -> DataFrame:
@@ -34,9 +61,8 @@ def rolling_means(returns: DataFrame, window: int) -> DataFrame:
     A window that does not hold ``window`` returns, or a session without one, is an error.
     """
     check_window(window)
-    w = W.partitionBy("asset_no").orderBy("session_no").rowsBetween(-window, -1)
-    r = returns.withColumns({"m": F.avg("ret").over(w), "n": F.count("ret").over(w)}).where(F.col("session_no") >= window)
-    r = r.withColumn("mu", guarded((F.col("n") == window) & F.col("ret").isNotNull(), F.col("m"), SHORT))
+    r = windowed(returns.select("session_date", "session_no", "asset_no", "ret"), ["asset_no"], "session_no", "ret", "ret", window, ["session_date", "ret"])
+    r = r.withColumn("mu", guarded((F.col("n") == window) & F.col("ret").isNotNull(), F.col("mean"), SHORT))
     return r.select(F.col("session_date").alias("forecast_date"), "session_no", "asset_no", "mu", (F.col("ret") - F.col("mu")).alias("u"))
 
 
@@ -50,9 +76,8 @@ def asset_pairs(returns: DataFrame) -> DataFrame:
 def rolling_covariance(returns: DataFrame, window: int) -> DataFrame:
     """forecast_date, session_no, i, j, cov: sample covariance of the ``window`` sessions before, by pair, all of them whole."""
     check_window(window)
-    w = W.partitionBy("i", "j").orderBy("session_no").rowsBetween(-window, -1)
-    p = asset_pairs(returns).withColumns({"c": F.covar_samp("ri", "rj").over(w), "n": F.count(F.col("ri") + F.col("rj")).over(w)}).where(F.col("session_no") >= window)
-    return p.select(F.col("session_date").alias("forecast_date"), "session_no", "i", "j", guarded(F.col("n") == window, F.col("c"), SHORT).alias("cov"))
+    p = windowed(asset_pairs(returns), ["i", "j"], "session_no", "ri", "rj", window, ["session_date"])
+    return p.select(F.col("session_date").alias("forecast_date"), "session_no", "i", "j", guarded(F.col("n") == window, F.col("cov"), SHORT).alias("cov"))
 
 
 def first_covariance(returns: DataFrame, window: int) -> DataFrame:

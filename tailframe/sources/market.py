@@ -34,8 +34,10 @@ def write_tree(market: DataFrame, path: str) -> str:
 
 
 def opened(path: str) -> tuple[arrow.FileSystem, str]:
-    """The file system of a path or address, and the path there."""
-    return arrow.FileSystem.from_uri(path if re.match("[a-z0-9]+:/", path) and not path.startswith("file:/") else "file://" + path.removeprefix("file://").removeprefix("file:"))
+    """The file system of a path or address, and the path there. Local names are taken as they are: what looks like an escape is part of the name."""
+    if re.match("[a-z0-9]+:/", path) and not path.startswith("file:/"):
+        return arrow.FileSystem.from_uri(path)
+    return arrow.LocalFileSystem(), re.sub("^file:/+", "/", path)
 
 
 @dataclass
@@ -102,13 +104,14 @@ class MarketReader(DataSourceReader):
             for info in where.get_file_info(arrow.FileSelector(folder.path, recursive=True)):
                 year = re.search(r"/year=(\d+)/[^/]*\.parquet$", info.path)
                 if year and b.low.year <= int(year[1]) <= b.high.year:
-                    out.append(Files(self.path.removesuffix(inner) + info.path if "://" in self.path else info.path, unescaped(asset[1]), int(year[1])))
+                    out.append(Files(info.path, unescaped(asset[1]), int(year[1])))
         return sorted(out, key=lambda p: p.path)
 
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        where, inner = opened(partition.path)
+    def read(self, partition: Files | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no file is left
+            return
         b = self.bounds
-        with where.open_input_file(inner) as f:
+        with opened(self.path)[0].open_input_file(partition.path) as f:
             for batch in pq.ParquetFile(f).iter_batches(ROWS, columns=["session_date", "field", "value"]):
                 day = batch.column("session_date").cast(pa.date32())
                 keep = pc.and_(pc.greater_equal(day, pa.scalar(b.low, pa.date32())), pc.less_equal(day, pa.scalar(b.high, pa.date32())))

@@ -112,3 +112,24 @@ def test_states_are_made_in_runs():
     assert peak < 8e6 and len(states) == 16
     last = kernels.draws_from(states[-1][1], 2_000_000 - 15 * (1 << 17), 3)
     assert (last == np.random.default_rng(5).standard_normal((2_000_000, 3))[15 * (1 << 17) :]).all()
+
+
+@pytest.mark.parametrize("window", [2, 3, 7, 30])
+def test_block_moments_equal_numpy(spark, window):
+    """Windows that begin and end anywhere in the blocks, with returns far from zero, against numpy to twelve digits; the plan deals blocks, not pairs."""
+    from tailframe.operators import moments
+
+    from .test_golden import business, returns_of
+
+    x = 5 + np.random.default_rng(1).normal(0, 1e-3, (61, 2))
+    r = returns_of(spark, business(61), A=x[:, 0].tolist(), B=x[:, 1].tolist())
+    cov = {(q["session_no"], q["i"], q["j"]): q["cov"] for q in moments.rolling_covariance(r, window).collect()}
+    mu = {(q["session_no"], q["asset_no"]): q["mu"] for q in moments.rolling_means(r, window).collect()}
+    assert len(cov) == 3 * (61 - window) and len(mu) == 2 * (61 - window)
+    for t in range(window, 61):
+        c, m = np.cov(x[t - window : t].T), x[t - window : t].mean(axis=0)
+        assert [cov[t, 0, 0], cov[t, 0, 1], cov[t, 1, 1]] == pytest.approx([c[0, 0], c[0, 1], c[1, 1]], rel=1e-9, abs=1e-18)
+        assert [mu[t, 0], mu[t, 1]] == pytest.approx(m, rel=1e-14)
+    gap = r.where("NOT (asset = 'A' AND session_no = 40)")
+    with pytest.raises(Exception, match="missing returns"):
+        moments.rolling_covariance(gap, window).collect()
