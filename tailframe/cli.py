@@ -1,5 +1,6 @@
 """Commands: each stage reads verified snapshots and writes a new one.
 
+python -m tailframe.cli raw        --market DIR --root R --id ID [--format F] [--start D] [--end D] [--assets A,B] [--fields F,G]
 python -m tailframe.cli returns    --config C --market DIR --root R --id ID
 python -m tailframe.cli portfolio  --config C --returns DIR --root R --id ID
 python -m tailframe.cli backtest   --config C --returns DIR --portfolio DIR --model M --root R --id ID [--scenarios N]
@@ -18,18 +19,33 @@ from collections.abc import Callable, Sequence
 from datetime import UTC, datetime
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tailframe.operators import contracts, market, models, moments, portfolio, schedule, simulation
 from tailframe.operators import evaluate as ev
-from tailframe.sources import config, panel, store
+from tailframe.sources import config, panel, snapshots, store
+from tailframe.sources import market as market_source
 
 #: Published comparisons (model, reference) in their order.
 PAIRS = (("ewma-gaussian", "rolling-gaussian"), ("filtered-historical", "rolling-gaussian"), ("filtered-historical", "ewma-gaussian"))
 
 
+def process_raw(spark: SparkSession, path: str, root: str, name: str, fmt: str = "parquet", **request: str | None) -> str:
+    """What is asked of a market (dates, assets, fields), as an immutable snapshot with its coverage. ``fmt`` may be the market source's name: then whole files are left out."""
+    asked = {k: v for k, v in request.items() if v}
+    if fmt == market_source.NAME:
+        rows = market_source.read_tree(spark, path, **asked)
+    else:
+        rows = panel.read_market(spark, path, fmt)
+        for column, key in (("asset", "assets"), ("field", "fields")):
+            if key in asked:
+                rows = rows.where(F.col(column).isin(*(x.strip() for x in asked[key].split(","))))
+        for key, keep in (("start", F.col("session_date") >= asked.get("start")), ("end", F.col("session_date") <= asked.get("end"))):
+            rows = rows.where(keep) if key in asked else rows
+    return snapshots.save_raw(root, name, rows, {"path": path, "format": fmt, **asked})
+
+
 def process_returns(spark: SparkSession, c: config.Config, path: str, root: str, name: str, field: str = "Adj Close", fmt: str = "parquet") -> str:
     """Returns with gaps, those of sessions in which every asset has one, and the large ones, which are kept."""
     raw = contracts.check_market(panel.read_market(spark, path, fmt), c.assets, [field], [field])
@@ -83,7 +99,9 @@ def run_backtest(spark: SparkSession, c: config.Config, returns_at: str, portfol
     config.require_runnable(c)
     returns, path = load_sources(spark, returns_at, portfolio_at)
     n = c.scenarios if scenarios is None else scenarios
-    f = store.working_table(models.model_forecasts(model, returns, path["daily"], path["weights"], c.window, c.levels, c.decay, n, c.seed), "forecasts")
+    watched = contracts.Watched(models.model_forecasts(model, returns, path["daily"], path["weights"], c.window, c.levels, c.decay, n, c.seed), contracts.row_rules())
+    f = store.working_table(watched.table, "forecasts")
+    watched.enforce()  # what a row can break by itself was counted while it was written
     contracts.check_forecasts(f, schedule.forecast_schedule(path["daily"], c.window), c.levels)
     ids = {k: store.load_manifest(spark, at)["snapshot_id"] for k, at in (("returns", returns_at), ("portfolio", portfolio_at))}
     lineage = {"stage": "backtest", "model": model, **ids, "window": c.window, "levels": list(c.levels), "scenarios": n, "seed": c.seed, "decay": c.decay}
@@ -166,15 +184,14 @@ def simulate(spark: SparkSession, c: config.Config, returns_at: str, portfolio_a
     dates = models.packed_dates(returns, path["weights"], c.window)
     if date is not None:
         dates = dates.where(F.col("forecast_date") == F.to_date(F.lit(date)))
-    one = dates.orderBy(F.desc("forecast_date")).first()
-    if one is None:
+    dates = store.working_table(dates, "dates")
+    day = dates.agg(F.max("forecast_date")).first()[0]
+    if day is None:
         raise contracts.ContractError(f"there is no forecast for {date}")
-    mu, cov, w, n = np.asarray(one["mu"]), simulation.square(one["cov"], len(one["mu"])), np.asarray(one["w"]), c.scenarios if scenarios is None else scenarios
-    tables = {
-        "histogram": spark.createDataFrame(simulation.loss_histogram(mu, cov, w, n, c.seed), "left double, right double, density double"),
-        "marks": spark.createDataFrame(simulation.loss_marks(mu, cov, w, n, c.seed, c.levels), "level_bp int, value_at_risk double, expected_shortfall double"),
-    }
-    return store.write_report(root, name, tables, datetime.now(UTC), {"report": "simulation", "date": str(one["forecast_date"]), "scenarios": n, "seed": c.seed})
+    n = c.scenarios if scenarios is None else scenarios
+    losses = store.working_table(simulation.scenario_losses(dates.where(F.col("forecast_date") == F.lit(day)), n, c.seed), "losses")
+    tables = {"histogram": simulation.loss_histogram(losses), "marks": simulation.loss_marks(losses, c.levels)}
+    return store.write_report(root, name, tables, datetime.now(UTC), {"report": "simulation", "date": str(day), "scenarios": n, "seed": c.seed})
 
 
 def stress_period(text: str) -> tuple[str, str, str, str]:
@@ -186,8 +203,8 @@ def stress_period(text: str) -> tuple[str, str, str, str]:
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="tailframe")
-    p.add_argument("command", choices=["returns", "portfolio", "backtest", "report", "publish", "validate", "simulate", "summary"])
-    for a in ("config", "market", "returns", "portfolio", "model", "root", "id", "kind", "primary", "plain", "periods", "date"):
+    p.add_argument("command", choices=["raw", "returns", "portfolio", "backtest", "report", "publish", "validate", "simulate", "summary"])
+    for a in ("config", "market", "returns", "portfolio", "model", "root", "id", "kind", "primary", "plain", "periods", "date", "start", "end", "assets", "fields"):
         p.add_argument(f"--{a}")
     p.add_argument("--format", default="parquet")
     p.add_argument("--backtest", nargs="+")
@@ -200,6 +217,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("tailframe").getOrCreate()
     c = config.load(a.config) if a.config else None
     do = {
+        "raw": lambda: process_raw(spark, a.market, a.root, a.id, a.format, start=a.start, end=a.end, assets=a.assets, fields=a.fields),
         "returns": lambda: process_returns(spark, c, a.market, a.root, a.id, fmt=a.format),
         "portfolio": lambda: process_portfolio(spark, c, a.returns, a.root, a.id),
         "backtest": lambda: run_backtest(spark, c, a.returns, a.portfolio, a.model, a.root, a.id, a.scenarios),

@@ -158,7 +158,11 @@ def test_monte_carlo(spark):
     assert len(out) == 30 and all(q["scenario_count"] == 2000 and q["expected_shortfall"] >= q["value_at_risk"] for q in out)
     errors = rows(simulation.simulation_errors(models.rolling_gaussian(r, wt, 20), simulation.monte_carlo(r, wt, 20, scenarios=20000)))
     assert len(errors) == 6 and all(e["max_absolute_error_bps"] < 30 for e in errors)
-    assert len(simulation.loss_histogram(mu, cov, w, 1000, 1)) == 90
+    for x in (kernels.portfolio_losses(mu, cov, w, 1000, 1), np.full(7, 2.0), np.arange(91) / 90, np.array([0.3])):
+        bars = simulation.loss_histogram(spark.createDataFrame([(float(v),) for v in x], "loss double")).orderBy("left").collect()
+        density, edges = np.histogram(x, bins=90, density=True)
+        assert [b["density"] for b in bars] == pytest.approx(density, rel=1e-9) and [b["left"] for b in bars] + [bars[-1]["right"]] == pytest.approx(edges, rel=1e-12, abs=1e-15)
+    assert simulation.loss_histogram(spark.createDataFrame([], "loss double")).isEmpty()
 
 
 def test_filtered_historical(spark):

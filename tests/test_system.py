@@ -12,7 +12,7 @@ import pytest
 
 from tailframe import cli
 from tailframe.operators import contracts
-from tailframe.sources import config, store
+from tailframe.sources import config, market, store
 from tailframe.streaming import monitor
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -97,6 +97,10 @@ def test_commands(spark, tmp_path):
         rows += [(first + timedelta(n), a, "Adj Close", float(x)) for n, x in enumerate(p)]
     spark.createDataFrame(rows, "session_date date, asset string, field string, value double").write.parquet(f"{tmp_path}/market")
     c, root = config.parse(CONFIG), str(tmp_path)
+    tree = market.write_tree(spark.read.parquet(f"{tmp_path}/market"), f"{tmp_path}/tree")
+    asked = {"start": "2020-01-05", "end": "2020-01-20", "assets": "B"}
+    counts = [store.load_manifest(spark, cli.process_raw(spark, at, root, f"raw-{fmt}", fmt, fields=None, **asked))["facts"]["rows"] for at, fmt in ((f"{tmp_path}/market", "parquet"), (tree, market.NAME))]
+    assert counts == [16, 16]
     returns = cli.process_returns(spark, c, f"{tmp_path}/market", root, "returns")
     path = cli.process_portfolio(spark, c, returns, root, "portfolio")
     tests = [cli.run_backtest(spark, c, returns, path, m, root, m) for m in ("rolling-gaussian", "ewma-gaussian", "filtered-historical")]
