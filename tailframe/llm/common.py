@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -88,6 +89,19 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of texts that go to a Python worker at once: a batch is held by the executor and, as columns and as strings, by the worker.
+TEXT_BYTES = 4 << 20
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Lets texts travel to Python in batches of TEXT_BYTES at most, instead of some ten thousand rows. A setting of the session, read where a plan runs; a smaller one stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(name, "64m").lower()
+    size = int(re.match("-?[0-9]+", own)[0]) << {"k": 10, "m": 20, "g": 30}.get(own.rstrip("b")[-1:], 0)  # type: ignore[index]
+    if not 0 < size <= TEXT_BYTES:
+        spark.conf.set(name, str(TEXT_BYTES))
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of frames that nobody holds any more: it does so when their driver-side objects are collected.
 

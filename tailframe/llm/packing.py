@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import byte_letters, vocabulary
-from .common import loaded
+from .common import loaded, text_batches
 
 WINDOW, END_ID = 4096, 2
 #: Tokens that are planned together; the rest of a plan is carried into the next.
@@ -260,6 +260,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
         if rows:
             yield batch(rows)
 
+    text_batches(docs.sparkSession)
     return d.mapInArrow(run_partition, out)
 
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, join_groups, materialize, pair_tasks, task_runs, unload
+from .common import Forest, components, join_groups, materialize, pair_tasks, task_runs, text_batches, unload
 
 SHINGLE, SEED, BITS = 4, 42, 4
 #: Reference fingerprints; the table has the distance of every fingerprint to each.
@@ -48,6 +48,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE) -
             fps = np.array([fingerprint(t, shingle) for x in parts for t in x.to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["k", "fp"])
 
+    text_batches(docs.sparkSession)
     return docs.select(docs[key].alias("k"), docs[text].alias("x")).mapInArrow(run, f"k {kind}, fp long")
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, text_batches
 from .sharding import crc_table
 
 #: Shortest word, and rarest one that counts.
@@ -65,6 +65,7 @@ def vocabulary(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
         yield out()
 
     rows = docs.select(F.coalesce(docs[key].cast("string"), F.lit("")).alias("k"), docs[text].alias("x")).where("x is not null")
+    text_batches(docs.sparkSession)
     return rows.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= count)
 
 

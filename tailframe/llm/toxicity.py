@@ -13,11 +13,11 @@ from dataclasses import dataclass, field
 from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import loaded
+from .common import loaded, text_batches
 
 #: Words in a window, and words between the starts of windows that are scored and that are learnt from; the last window ends with the text. Every run of
 #: WINDOW - STRIDE + 1 words lies whole in a window, wherever it stands.
@@ -516,13 +516,14 @@ def probability(docs: DataFrame, model: Network | None, text: str = "text") -> C
     if model is None:
         return F.lit(0.0)
     model.known, model.inputs, model.used = {}, None, 0
+    text_batches(docs.sparkSession)
     blob = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # some MB: the sample is bounded
 
-    @F.pandas_udf("double")
-    def value_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def value_of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = loaded(blob, pickle.loads)
         for x in parts:
-            yield pd.Series(model.scores(x))
+            yield pa.array(model.scores(t.as_py() for t in x), pa.float64())
 
     return value_of(docs[text])
 
