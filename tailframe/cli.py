@@ -105,7 +105,7 @@ def run_backtest(spark: SparkSession, c: config.Config, returns_at: str, portfol
     contracts.check_forecasts(f, schedule.forecast_schedule(path["daily"], c.window), c.levels)
     ids = {k: store.load_manifest(spark, at)["snapshot_id"] for k, at in (("returns", returns_at), ("portfolio", portfolio_at))}
     lineage = {"stage": "backtest", "model": model, **ids, "window": c.window, "levels": list(c.levels), "scenarios": n, "seed": c.seed, "decay": c.decay}
-    base = store.save_snapshot(root, name, {"forecasts": f}, datetime.now(UTC), lineage, facts=backtest_facts(f))
+    base = store.save_snapshot(root, name, {"forecasts": f}, datetime.now(UTC), lineage, {"forecasts": ["model"]}, backtest_facts(f))
     load_backtest(spark, base)
     return base
 
@@ -170,10 +170,10 @@ def validate(spark: SparkSession, c: config.Config, returns_at: str, portfolio_a
     """How far the simulated VaR and ES of a Gaussian backtest lie from their closed forms, in basis points."""
     returns, path = load_sources(spark, returns_at, portfolio_at)
     lineage = store.load_manifest(spark, backtest_at)["lineage"]
-    if lineage["model"] not in ("rolling-gaussian", "ewma-gaussian"):
+    exact = models.model_of(lineage["model"]).closed_form
+    if exact is None:
         raise store.SnapshotError("only Gaussian models have a closed form")
-    decay = c.decay if lineage["model"] == "ewma-gaussian" else None
-    analytic = models.gaussian_forecasts(moments.moments_of(models.packed_dates(returns, path["weights"], c.window, decay)), c.levels)
+    analytic = exact(models.Inputs(returns, path["daily"], path["weights"], c.window, c.levels, c.decay))
     errors = simulation.simulation_errors(analytic, load_backtest(spark, backtest_at))
     return store.write_report(root, name, {"errors": store.working_table(errors, "errors")}, datetime.now(UTC), {"report": "validation", "backtest": backtest_at, **lineage})
 

@@ -252,10 +252,23 @@ def subperiods(f: DataFrame, stress: Sequence[tuple[str, str, str, str]] = ()) -
 PERIOD_KEY = ("period_id", *KEY)
 
 
+#: Periods that are held against every forecast; more of them meet forecasts by stretches of so many days.
+FEW, STRETCH = 200, 64
+
+
 def by_period(f: DataFrame, periods: DataFrame) -> DataFrame:
-    """Each forecast with every period that holds its date: a range join with a broadcast of some tens of rows."""
+    """Each forecast with every period that holds its date.
+
+    A few periods are broadcast and compared. Of many, each is cut at the stretches of STRETCH days that it reaches into, so forecasts and periods meet by equal stretches, and dates
+    are checked there: no forecast is held against all periods.
+    """
     p = periods.select("period_id", "requested_start_date", "requested_end_date")
-    return f.join(F.broadcast(p), F.col("forecast_date").between(F.col("requested_start_date"), F.col("requested_end_date")))
+    inside = F.col("forecast_date").between(F.col("requested_start_date"), F.col("requested_end_date"))
+    if p.limit(FEW + 1).count() <= FEW:
+        return f.join(F.broadcast(p), inside)
+    stretch = lambda c: F.expr(f"CAST(floor(unix_date({c}) / {STRETCH}) AS INT)")
+    cut = p.where("requested_start_date <= requested_end_date").withColumn("_stretch", F.explode(F.sequence(stretch("requested_start_date"), stretch("requested_end_date"))))
+    return f.withColumn("_stretch", stretch("forecast_date")).join(cut, "_stretch").where(inside).drop("_stretch")
 
 
 def period_coverage(f: DataFrame, periods: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -112,14 +113,91 @@ def as_forecasts(model: str, model_no: int, tails: DataFrame, schedule: DataFram
 DRAWS = ("simulated_mean_return", "simulated_volatility", "scenario_count", "random_seed", "tail_scenario_count")
 
 
-def model_forecasts(model: str, returns: DataFrame, portfolio: DataFrame, weights: DataFrame, window: int, levels: Sequence[float] = LEVELS, decay: float = 0.94, scenarios: int = 100_000, seed: int = 20261002) -> DataFrame:
-    """Forecasts of a named model on the schedule of the portfolio."""
-    from .simulation import filtered_historical, monte_carlo
+@dataclass(frozen=True)
+class Inputs:
+    """What a model may look at. Rows of the columns ``by`` are portfolios of their own; asset returns are shared by all of them."""
 
-    if model not in MODELS:
-        raise ValueError(f"model is one of {MODELS}")
-    if model == "filtered-historical":
-        tails = filtered_historical(returns, weights, window, levels, decay, scenarios, seed)
-    else:
-        tails = monte_carlo(returns, weights, window, levels, scenarios, seed, decay if model == "ewma-gaussian" else None)
-    return as_forecasts(model, MODELS.index(model), tails, forecast_schedule(portfolio, window), DRAWS)
+    returns: DataFrame
+    portfolio: DataFrame
+    weights: DataFrame
+    window: int
+    levels: Sequence[float] = LEVELS
+    decay: float = 0.94
+    scenarios: int = 100_000
+    seed: int = 20261002
+    by: Sequence[str] = ()
+
+
+@dataclass(frozen=True)
+class Model:
+    """A forecast model: from ``Inputs`` to tails (by, forecast_date, level_bp, confidence_level, value_at_risk, expected_shortfall, extra), one row for each scheduled
+    date and level. ``closed_form``: the exact tails that simulated ones can be held against, where there are any."""
+
+    name: str
+    tails: Callable[[Inputs], DataFrame]
+    extra: Sequence[str] = ()
+    closed_form: Callable[[Inputs], DataFrame] | None = None
+
+
+#: Registered models by name; a model's number is its place.
+_REGISTRY: dict[str, Model] = {}
+
+
+def register(model: Model) -> Model:
+    """Makes a model known to forecasts, reports and commands. A name is taken once; models keep the order of their registration, which pairwise tests follow."""
+    if model.name in _REGISTRY and _REGISTRY[model.name] != model:
+        raise ValueError(f"there is a model {model.name} already")
+    _REGISTRY[model.name] = model
+    return model
+
+
+def registered() -> tuple[str, ...]:
+    return tuple(_REGISTRY)
+
+
+def model_of(name: str) -> Model:
+    if name not in _REGISTRY:
+        raise ValueError(f"a model is one of {registered()}")
+    return _REGISTRY[name]
+
+
+TAIL_COLUMNS = ("forecast_date", "level_bp", "confidence_level", "value_at_risk", "expected_shortfall")
+
+
+def forecasts_of(model: str | Model, inputs: Inputs) -> DataFrame:
+    """The fact table's rows of a registered model, on the schedule of each portfolio. A model whose tails lack a column is refused before anything runs."""
+    m = model if isinstance(model, Model) else model_of(model)
+    tails = m.tails(inputs)
+    if missing := {*TAIL_COLUMNS, *inputs.by, *m.extra} - set(tails.columns):
+        raise ValueError(f"{m.name} lacks {sorted(missing)}")
+    tails = tails.select(*inputs.by, *TAIL_COLUMNS, *m.extra)
+    number = registered().index(m.name) if m.name in _REGISTRY else len(_REGISTRY)
+    return as_forecasts(m.name, number, tails, forecast_schedule(inputs.portfolio, inputs.window, inputs.by), m.extra, inputs.by)
+
+
+def _gaussian_of(decay: bool) -> Model:
+    def drawn(i: Inputs) -> DataFrame:
+        from .simulation import monte_carlo
+
+        return monte_carlo(i.returns, i.weights, i.window, i.levels, i.scenarios, i.seed, i.decay if decay else None, i.by)
+
+    def exact(i: Inputs) -> DataFrame:
+        return ewma_gaussian(i.returns, i.weights, i.window, i.decay, i.levels, i.by) if decay else rolling_gaussian(i.returns, i.weights, i.window, i.levels, i.by)
+
+    return Model(MODELS[decay], drawn, DRAWS, exact)
+
+
+def _filtered(i: Inputs) -> DataFrame:
+    from .simulation import filtered_historical
+
+    return filtered_historical(i.returns, i.weights, i.window, i.levels, i.decay, i.scenarios, i.seed, i.by)
+
+
+register(_gaussian_of(False))
+register(_gaussian_of(True))
+register(Model(MODELS[2], _filtered, DRAWS))
+
+
+def model_forecasts(model: str, returns: DataFrame, portfolio: DataFrame, weights: DataFrame, window: int, levels: Sequence[float] = LEVELS, decay: float = 0.94, scenarios: int = 100_000, seed: int = 20261002, by: Sequence[str] = ()) -> DataFrame:
+    """``forecasts_of`` a model by its name."""
+    return forecasts_of(model, Inputs(returns, portfolio, weights, window, levels, decay, scenarios, seed, by))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tailframe.functions import special
-from tailframe.operators import contracts, kernels, market, models, moments, portfolio, schedule, simulation, tails
+from tailframe.operators import contracts, kernels, market, models, moments, portfolio, scenarios, schedule, simulation, tails
 from tailframe.operators import evaluate as ev
 from tailframe.sources import market as market_source
 from tailframe.sources import panel, snapshots, store
@@ -112,7 +112,7 @@ NO = ("model_no", "confidence_level")
 
 
 def periods(spark, d):
-    return ev.subperiods(forecasts(spark, d), [STRESS])
+    return shared("periods", spark, d, lambda: ev.subperiods(forecasts(spark, d), [STRESS]))
 
 
 def _path_query(spark, d):
@@ -170,9 +170,18 @@ def last_losses(spark, d):
     return shared("last-losses", spark, d, make)
 
 
+#: Scenarios of a date in the table of return scenarios.
+TABLE_SCENARIOS = 500
+
+
+def stress_dates(spark, d, decay=None):
+    """What the stress period's forecasts need."""
+    return packed(spark, d, decay).where(F.col("forecast_date").between(F.to_date(F.lit(STRESS[2])), F.to_date(F.lit(STRESS[3]))))
+
+
 def _stress_mc(spark, d):
     """Monte Carlo of the stress period's dates, each date's scenarios over many tasks and their tails selected by counts."""
-    dates = packed(spark, d).where(F.col("forecast_date").between(STRESS[2], STRESS[3]))
+    dates = stress_dates(spark, d)
     return shared("stress-mc", spark, d, lambda: simulation.monte_carlo_by_scenario(dates, scenarios=SCENARIOS, seed=SEED))
 
 
@@ -261,6 +270,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "market_quotes": lambda s, d: rounded(quotes(s, d), 6),
         "market_coverage": lambda s, d: snapshots.coverage(quotes(s, d)),
         "forecast_contract": lambda s, d: contracts.rule_counts(f(s, d), schedule.forecast_schedule(path(s, d), WINDOW), schedule.LEVELS),
+        "return_scenarios": lambda s, d: rounded(scenarios.return_scenarios(stress_dates(s, d), TABLE_SCENARIOS, SEED)),
+        "filtered_scenarios": lambda s, d: rounded(scenarios.filtered_scenarios(stress_dates(s, d, DECAY), residuals(s, d), WINDOW, SCENARIOS, SEED)),
+        "filtered_losses": lambda s, d: rounded(scenarios.losses_of(scenarios.filtered_scenarios(stress_dates(s, d, DECAY), residuals(s, d), WINDOW, SCENARIOS, SEED), weights(s, d))),
         "companion_scores": lambda s, d: rounded(companion_scores(s, d), coarse=("mean_fz0_loss",)),
         "gaussian_mc": lambda s, d: rounded(_mc(s, d)),
         "ewma_mc": lambda s, d: rounded(_mc(s, d, DECAY)),

@@ -180,6 +180,10 @@ tp AS (SELECT * FROM (SELECT model, model_no, forecast_date, first_value(forecas
   WINDOW w AS (PARTITION BY model ORDER BY forecast_date ROWS BETWEEN 249 PRECEDING AND CURRENT ROW)) WHERE c = 250),
 tz AS (SELECT *, CASE WHEN exception_count <= 4 THEN 'green' WHEN exception_count <= 9 THEN 'amber' ELSE 'red' END AS zone FROM tp)"""
 
+#: The stress period's pools, rescaled by each date's factor.
+RESCALED = f"""
+m3 AS (SELECT session_no, forecast_date, max(mu) FILTER (asset_no = 0) AS m0, max(mu) FILTER (asset_no = 1) AS m1, max(mu) FILTER (asset_no = 2) AS m2 FROM mu WHERE forecast_date BETWEEN DATE '{STRESS[2]}' AND DATE '{STRESS[3]}' GROUP BY 1, 2),
+rs AS (SELECT forecast_date, p, times, unnest([0, 1, 2]) AS asset_no, unnest([m0 + l00 * z0, m1 + l10 * z0 + l11 * z1, m2 + l20 * z0 + l21 * z1 + l22 * z2]) AS ret FROM m3 JOIN fc USING (session_no), dr0 JOIN zz ON zz.session_no = m3.session_no - {WINDOW} + p)"""
 #: The order lines as long market data.
 QUOTES = """SELECT session_date, asset, unnest(['Adj Close', 'Volume']) AS field, unnest([paid / units, units]) AS value FROM (SELECT CAST(l_shipdate AS DATE) AS session_date, l_returnflag AS asset,
   CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS paid, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS units FROM lineitem GROUP BY 1, 2)"""
@@ -281,6 +285,8 @@ ORACLES = {
         [count(*) FILTER (c = 0), count(*) FILTER (c > 1), count(*) FILTER (c > 0 AND (s0 IS NULL OR estimation_start_date <> s0 OR estimation_end_date <> s1)), count(*) FILTER (c > 0 AND estimation_end_date >= forecast_date), count(*) FILTER (c > 0 AND level_bp NOT IN (SELECT level_bp FROM lv)),
          count(*) FILTER (c > 0 AND NOT (isfinite(realized_return) AND isfinite(realized_loss) AND isfinite(value_at_risk) AND isfinite(expected_shortfall))), count(*) FILTER (c > 0 AND abs(realized_return - sr) > 1e-15 + 1e-12 * abs(sr)), count(*) FILTER (c > 0 AND realized_loss <> -realized_return),
          count(*) FILTER (c > 0 AND expected_shortfall < value_at_risk - 1e-12), count(*) FILTER (c > 0 AND hit <> (realized_loss > value_at_risk))] AS counts FROM ck)"""),
+    "filtered_scenarios": sql(f"SELECT forecast_date, p AS pool_position, CAST(times AS BIGINT) AS draws, asset_no, {r('ret')} AS ret FROM rs", RESCALED),
+    "filtered_losses": sql(f"SELECT rs.forecast_date, p AS pool_position, CAST(times AS BIGINT) AS draws, {r('-sum(bw * ret)')} AS loss FROM rs JOIN wt ON session_date = rs.forecast_date AND wt.asset_no = rs.asset_no GROUP BY ALL", RESCALED),
     "companion_scores": sql(f"SELECT period_id, period_type, model, confidence_level, n AS observation_count, {r('ql')} AS mean_var_quantile_loss, rq AS var_quantile_loss_rank, {r('fz', 6)} AS mean_fz0_loss, rf AS fz0_loss_rank FROM pk JOIN (SELECT period_id, period_type FROM pe) USING (period_id) JOIN (SELECT level_bp, confidence_level FROM lv) USING (level_bp)", PERIODS),
     "standardized_residuals": sql(f"SELECT session_date AS residual_date, asset_no, {r('z')} AS z FROM (SELECT session_no, unnest([0, 1, 2]) AS asset_no, unnest([z0, z1, z2]) AS z FROM zz) JOIN (SELECT DISTINCT session_no, session_date FROM ret) USING (session_no)"),
     "residual_pool_window": sql(f"SELECT forecast_date, {WINDOW} AS pool_size, estimation_start_date AS pool_start_date, estimation_end_date AS pool_end_date FROM sc"),
