@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MANIFEST = "manifest.json"
+MANIFEST, BLOCKS = "manifest.json", "blocks"
 
 
 class SnapshotError(ValueError):
@@ -161,6 +161,85 @@ def checksums(spark: SparkSession, path: str) -> dict[str, str]:
     return {"/".join(r["at"].split("/")[-2:]): r["h"] for r in tasks.mapInPandas(run, "at string, h string").collect()}  # one row per file
 
 
+#: Bytes of a file that are hashed together: a large file is several tasks, and a change is found to a block.
+HASH_BLOCK = 16 << 20
+
+
+def data_files(spark: SparkSession, path: str, where: Mapping[str, Any] | None = None) -> list[tuple[str, str, int]]:
+    """(name below path, address, bytes) of the table's data files; ``where`` names values of partition columns, and leaves the files of others out."""
+    fs, p = _filesystem(spark, path)
+    base, out, found = fs.makeQualified(p).toString().rstrip("/") + "/", [], fs.listFiles(p, True)
+    wanted = {f"{c}={v}" for c, v in (where or {}).items()}
+    while found.hasNext():
+        f = found.next()
+        at = f.getPath().toString()
+        name = at.removeprefix(base)
+        if name.endswith(".parquet") and wanted <= set(name.split("/")[:-1]):
+            out.append((name, at, f.getLen()))
+    return sorted(out)
+
+
+def block_hashes(spark: SparkSession, files: Iterable[tuple[str, str, int]]) -> DataFrame:
+    """file, block, sha256 of every block of some files, hashed by tasks."""
+    size = HASH_BLOCK
+    rows = spark.createDataFrame([(n, a, b) for n, a, b in files], "file string, at string, bytes long")
+    cut = rows.select("file", "at", "bytes", F.explode(F.expr(f"sequence(0L, greatest(0L, (bytes - 1) div {size}))")).alias("block"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from tailframe.sources.market import opened
+
+        for part in parts:
+            out = []
+            for at, block in zip(part["at"], part["block"], strict=True):
+                where, inner = opened(at)
+                with where.open_input_file(inner) as f:
+                    f.seek(int(block) * size)
+                    h, left = hashlib.sha256(), size
+                    while left and (piece := f.read(min(left, 1 << 22))):
+                        h.update(piece)
+                        left -= len(piece)
+                out.append(h.hexdigest())
+            yield pd.DataFrame({"file": part["file"], "block": part["block"], "sha256": out})
+
+    return cut.repartition("file", "block").mapInPandas(run, "file string, block long, sha256 string")
+
+
+def file_roots(blocks: DataFrame) -> dict[str, str]:
+    """Of each file the hash over its blocks' hashes, in order: one row for each file."""
+    joined = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("block", "sha256"))), lambda x: x["sha256"]))
+    return {r["file"]: r["root"] for r in blocks.groupBy("file").agg(F.sha2(joined, 256).alias("root")).collect()}
+
+
+def table_root(roots: Mapping[str, str]) -> str:
+    """The hash over a table's files."""
+    return hashlib.sha256("".join(f"{n}:{h};" for n, h in sorted(roots.items())).encode()).hexdigest()
+
+
+def verify(spark: SparkSession, base: str, name: str, where: Mapping[str, Any] | None = None) -> int:
+    """Holds a table's files, or those of some partitions, to the manifest's hash tree; gives the number of bytes that were hashed.
+
+    The roots of the files are in the manifest; the hashes of their blocks, stored beside the tables, tell which block of a file was changed.
+    """
+    facts = load_manifest(spark, base)["tables"][name]
+    roots = facts["files"]
+    if table_root(roots) != facts["root"]:
+        raise SnapshotError(f"{name}: the manifest's files are not those of its root")
+    files = data_files(spark, f"{base}/{name}", where)
+    wanted = {n for n in roots if {f"{c}={v}" for c, v in (where or {}).items()} <= set(n.split("/")[:-1])}
+    if {n for n, _, _ in files} != wanted:
+        raise SnapshotError(f"{name}: a file is missing or was added, so it differs from the manifest")
+    if not files:
+        return 0
+    blocks = block_hashes(spark, files)
+    found = file_roots(blocks)
+    wrong = sorted(n for n in wanted if found[n] != roots[n])
+    if wrong:
+        stored = spark.read.parquet(f"{base}/{BLOCKS}/{name}").select("file", "block", F.col("sha256").alias("was"))
+        changed = blocks.where(F.col("file").isin(wrong)).join(stored, ["file", "block"], "full").where("not (sha256 <=> was)").orderBy("file", "block").select("file", "block").limit(5).collect()
+        raise SnapshotError(f"{name}: a file differs from the manifest, in " + ", ".join(f"block {r['block']} of {r['file']}" for r in changed))
+    return sum(b for _, _, b in files)
+
+
 def file_sha256(path: str) -> str:
     with open(path, "rb") as f:
         return hashlib.file_digest(f, "sha256").hexdigest()
@@ -184,7 +263,10 @@ def save_snapshot(root: str, snapshot_id: str, tables: Mapping[str, DataFrame],
         if partition_by and name in partition_by:
             writer = writer.partitionBy(*partition_by[name])
         writer.parquet(f"{base}/{name}")
-        found[name] = {"columns": [[c, t] for c, t in df.dtypes], "rows": spark.read.parquet(f"{base}/{name}").count(), "sha256": checksums(spark, f"{base}/{name}")}
+        files = data_files(spark, f"{base}/{name}")
+        block_hashes(spark, files).coalesce(8).write.parquet(f"{base}/{BLOCKS}/{name}")
+        roots = file_roots(spark.read.parquet(f"{base}/{BLOCKS}/{name}"))
+        found[name] = {"columns": [[c, t] for c, t in df.dtypes], "rows": spark.read.parquet(f"{base}/{name}").count() if files else 0, "files": roots, "root": table_root(roots)}
     manifest = {"snapshot_id": snapshot_id, "created_at": created_at.isoformat(), "tables": found, "lineage": dict(lineage or {}), "facts": dict(facts or {})}
     write_text(spark, f"{base}/{MANIFEST}", json.dumps(manifest, indent=1, sort_keys=True))
     return base
@@ -194,17 +276,21 @@ def load_manifest(spark: SparkSession, base: str) -> dict[str, Any]:
     return json.loads(read_text(spark, f"{base}/{MANIFEST}"))
 
 
+def load_table(spark: SparkSession, base: str, name: str, where: Mapping[str, Any] | None = None) -> DataFrame:
+    """One table of a snapshot, or with ``where`` its partitions of some values, after the files that are read are found to be the manifest's."""
+    facts = load_manifest(spark, base)["tables"][name]
+    verify(spark, base, name, where)
+    df = spark.read.schema(", ".join(f"`{c}` {t}" for c, t in facts["columns"])).parquet(f"{base}/{name}")
+    for c, v in (where or {}).items():
+        df = df.where(F.col(c) == v)
+    if not where and df.count() != facts["rows"]:
+        raise SnapshotError(f"{name}: the row count differs from the manifest")
+    return df.select(*(c for c, _ in facts["columns"]))
+
+
 def load_snapshot(spark: SparkSession, base: str) -> dict[str, DataFrame]:
-    """The tables, after their checksums, columns and row counts are found to be the manifest's."""
-    out = {}
-    for name, facts in load_manifest(spark, base)["tables"].items():
-        if checksums(spark, f"{base}/{name}") != facts["sha256"]:
-            raise SnapshotError(f"{name}: a file differs from the manifest")
-        df = spark.read.schema(", ".join(f"`{c}` {t}" for c, t in facts["columns"])).parquet(f"{base}/{name}")
-        if df.count() != facts["rows"]:
-            raise SnapshotError(f"{name}: the row count differs from the manifest")
-        out[name] = df.select(*(c for c, _ in facts["columns"]))
-    return out
+    """All tables, after their files, columns and row counts are found to be the manifest's."""
+    return {name: load_table(spark, base, name) for name in load_manifest(spark, base)["tables"]}
 
 
 def require_same_lineage(manifests: Iterable[Mapping[str, Any]], keys: Iterable[str]) -> None:
