@@ -188,6 +188,8 @@ def test_without_text_operators(tmp_path):
     shutil.rmtree(tmp_path / "tailframe/llm", ignore_errors=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'asset_returns' in q and not any(k.startswith('op') and k[2].isdigit() for k in q) and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    shutil.copytree(ROOT / "tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", "tests/test_golden.py", "-k", "test_special or test_returns or test_schedule"], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
     for f in (ROOT / "tailframe").rglob("*.py"):
         if "llm" not in f.parts:
             assert "tailframe.llm" not in f.read_text()
