@@ -29,7 +29,6 @@ def rank_scale(loss: Column) -> Column:
 def met(rows: DataFrame, found: DataFrame, by: Sequence[str]) -> DataFrame:
     """rows with what is known of their group, a row for each level. Brackets are broadcast while they are measured to be few; else groups are met by
     a join that adaptive execution splits where a group is hot."""
-    found = store.sized(found)
     if not by:
         return rows.crossJoin(F.broadcast(found))  # a row for each level
     keys = found.select(*(F.col(c).alias(f"_{c}") for c in by), *(c for c in found.columns if c not in by))
@@ -70,7 +69,7 @@ def tail_risk(losses: DataFrame, levels: Sequence[float] = LEVELS, by: Sequence[
     brackets = store.working_table(brackets.select(*names), "brackets")
     wide = (F.col("inside") > EXACT) & (F.col("low") < F.col("high"))
     for _ in range(ROUNDS):
-        if brackets.where(wide).isEmpty():
+        if brackets.where(wide).limit(1).count() == 0:
             break
         brackets = store.working_table(narrowed(rows, brackets.where(wide), by).select(*names).unionByName(brackets.where(~wide)), "brackets")
     keys = [*by, "level_bp"]

@@ -265,7 +265,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fhs_multiplicity": _draws,
         "loss_histogram": lambda s, d: simulation.loss_histogram(last_losses(s, d)),
         "loss_marks": lambda s, d: simulation.loss_marks(last_losses(s, d)),
-        "loss_tails": lambda s, d: rounded(tails.tail_risk(panel.line_losses(s, d), by=["flag"], times="times"), 6, drop=LV),
+        "loss_tails": lambda s, d: rounded(tails.tail_risk(shared("line-losses", s, d, lambda: panel.line_losses(s, d)), by=["flag"], times="times"), 6, drop=LV),
         "stress_mc_by_scenario": lambda s, d: rounded(_stress_mc(s, d)),
         "market_quotes": lambda s, d: rounded(quotes(s, d), 6),
         "market_coverage": lambda s, d: snapshots.coverage(quotes(s, d)),
