@@ -26,8 +26,8 @@ RUN = 1 << 20
 INSIDE_DOCUMENT, INSIDE_SENTENCE = 32, 64
 #: A sentence of more tokens may be cut within, every so many tokens.
 LONG_SENTENCE = 1024
-#: Units that a worker remembers, and texts that it holds as Python strings at once.
-CACHE, TEXTS = 120_000, 256
+#: Units that a worker remembers, beside other stages and where packing is all that runs, and texts that it holds as Python strings at once.
+CACHE, ALONE, TEXTS = 120_000, 500_000, 256
 
 #: Letters that the vocabulary's normalizer leaves alone, and marks that may follow a word. The vocabulary's own split has an edge between such a word and such marks, and drops white space.
 LETTERS = "a-z\xdf-\xf6\xf8-\xff"
@@ -55,6 +55,7 @@ class WordTokens:
         self.letters = {b: c for c, b in byte_letters().items() if b > 127}
         self.added = sorted({a.content.encode().lower() for a in self.full.get_added_tokens_decoder().values()})
         self.known: dict[str, bytes] = {}
+        self.most = CACHE
         suffix = self.full.model.end_of_word_suffix
         if not suffix:
             raise ValueError("a vocabulary whose words end in a suffix is needed")
@@ -63,7 +64,7 @@ class WordTokens:
 
     def learn(self, units: list[list[str]]) -> None:
         known = self.known
-        if len(known) > CACHE:
+        if len(known) > self.most:
             known.clear()
         words, ended, rest = set(), [], []
         for u in set().union(*units).difference(known):
@@ -210,7 +211,7 @@ class Packer:
         self.waiting = sum(len(ids) - done for _, ids, done in docs)
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, run: int = RUN, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, run: int = RUN, key: str = "doc_id", text: str = "text", remember: int = CACHE) -> DataFrame:
     """Cuts the token stream, in key order, into sequences of at most ``window`` tokens.
 
     A document is its text's ids and ``end_id``. Cuts lie at ends of documents or sentences (within a sentence only where it has more
@@ -230,6 +231,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
 
     def run_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = loaded(spec, WordTokens)
+        tokens.most = remember
         ends = tokens.sentence_ends()
         packer = Packer(ends, window, run)
         base = TaskContext.get().partitionId() << 33
@@ -265,5 +267,5 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:
-    pieces = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+    pieces = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), remember=ALONE)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
